@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import lang_id, packing, quality
+from . import lang_id, mixing, packing, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,5 +33,15 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op4_best_fit_packing, op5_quality_classifier)}
-SQL: dict[str, str] = {}
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole document: known shapes and high-entropy strings."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to the sources' targets, in training order."""
+    return mixing.mix(table(spark, sf_dir, "documents")).withColumn("position", F.round("position", 6))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op4_best_fit_packing, op5_quality_classifier, op7_secret_scans, op8_curriculum_mixing)}
+SQL: dict[str, str] = {"op8_curriculum_mixing": mixing.SQL}

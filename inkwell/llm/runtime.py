@@ -81,7 +81,7 @@ def bounded_sample(df: DataFrame, key: str, most: int, seed: int = 7) -> DataFra
     return df.where(F.col(key).isNotNull() & (order <= F.lit(last))) if last is not None else df.limit(0)
 
 
-def running(df: DataFrame, group: list[str], order: list[Column], amount: Column, out: str, rows: int, per: int = 20_000) -> DataFrame:
+def running(df: DataFrame, group: list[str], order: list[Column], amount: Column, out: str, rows: int, per: int = 20_000, hashed: tuple[Column, Column] | None = None) -> DataFrame:
     """Exclusive running sum of `amount` inside each group, without one task per group.
 
     Rows of a group are dealt into cells by the leading bits of a hash of the
@@ -90,23 +90,24 @@ def running(df: DataFrame, group: list[str], order: list[Column], amount: Column
     order of rows is therefore (hash, order columns): fixed, and the same in
     each run. A cell holds about `per` rows whatever the size of its group.
     `rows` is the number of rows of df, from which the number of cells follows.
+    hashed: another hash, and the same as a number from 0 to 1 in its order.
     """
     cells = max(1, -(-rows // per))
-    h = F.xxhash64(*order)
-    cell = F.floor((h.cast("double") / F.lit(2.0**64) + 0.5) * cells).cast("int")
+    h, unit = hashed or (F.xxhash64(*order), F.xxhash64(*order).cast("double") / F.lit(2.0**64) + 0.5)
+    cell = F.least(F.floor(unit * cells), F.lit(cells - 1)).cast("int")
     df = df.withColumn("_h", h).withColumn("_cell", cell).withColumn("_amount", amount)
     named = [F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]
     sums = df.groupBy(*named, F.col("_cell").alias("_c")).agg(F.sum("_amount").alias("_sum"))
     keys = [f"_g{i}" for i in range(len(group))]
     before = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, "_c", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    sums = sums.select(*keys, "_c", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_cellstart"))
     on = F.col("_cell") == F.col("_c")
     for g, k in zip(group, keys, strict=True):
         on = on & F.col(g).eqNullSafe(F.col(k))
     joined = df.join(sums, on, "left").drop("_c", *keys)
     inside = Window.partitionBy(*group, "_cell").orderBy("_h", *order).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("_amount").over(inside), F.lit(0)) + F.col("_before")
-    return joined.withColumn(out, start.cast("long")).drop("_h", "_cell", "_amount", "_before")
+    start = F.coalesce(F.sum("_amount").over(inside), F.lit(0)) + F.col("_cellstart")
+    return joined.withColumn(out, start.cast("long")).drop("_h", "_cell", "_amount", "_cellstart")
 
 
 def components(edges: DataFrame) -> DataFrame:
