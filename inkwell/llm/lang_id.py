@@ -78,7 +78,7 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     Lower case is taken one code point at a time, so positions are those of the text.
     """
     codes, starts = tv.points(texts)
-    codes = lower(codes)
+    codes = tv.lower(codes)
     kind = scripts()[codes]
     edge = np.flatnonzero(np.diff(kind, prepend=np.uint8(0)))
     real = kind[edge] > 0
@@ -86,17 +86,6 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return codes, begin, end, kind[begin], np.append(np.searchsorted(begin, starts), len(begin))
 
 
-def lower(codes: np.ndarray) -> np.ndarray:
-    if not len(_table) or len(_table) < 2:
-        scripts()
-        table = np.arange(0x110000, dtype=np.uint32)
-        for i in np.flatnonzero(tv.classes() == tv.LETTER):
-            if len(c := chr(i).lower()) == 1:
-                table[i] = ord(c)
-        _table.append(table)
-    return _table[1][codes]
-
-
 def train(rows: list[tuple[int, str, object]]) -> Model:
     """Counts of hashed features by language, smoothed, as log-likelihoods around their mean."""
     langs = sorted({str(y) for *_, y in rows})

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lang_id, mixing, packing, quality, secrets
+from . import lang_id, mixing, order_minhash, packing, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,11 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies of every document."""
+    return order_minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole document: known shapes and high-entropy strings."""
     return secrets.scan(table(spark, sf_dir, "documents"))
@@ -43,5 +48,5 @@ def op8_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).withColumn("position", F.round("position", 6))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op4_best_fit_packing, op5_quality_classifier, op7_secret_scans, op8_curriculum_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op4_best_fit_packing, op5_quality_classifier, op6_order_minhash, op7_secret_scans, op8_curriculum_mixing)}
 SQL: dict[str, str] = {"op8_curriculum_mixing": mixing.SQL}

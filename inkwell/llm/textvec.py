@@ -37,6 +37,17 @@ def classes() -> np.ndarray:
     return _tables["class"]
 
 
+def lower(codes: np.ndarray) -> np.ndarray:
+    """Lower case of each code point by itself, where that is one code point, so that positions stay."""
+    if "lower" not in _tables:
+        table = np.arange(0x110000, dtype=np.uint32)
+        for i in np.flatnonzero(classes() == LETTER):
+            if len(c := chr(i).lower()) == 1:
+                table[i] = ord(c)
+        _tables["lower"] = table
+    return _tables["lower"][codes]
+
+
 def salts() -> np.ndarray:
     """A random odd number for each code point."""
     if "salt" not in _tables:
