@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lang_id, mixing, order_minhash, packing, quality, secrets
+from . import ann, embed_dedup, lang_id, mixing, order_minhash, packing, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,5 +48,15 @@ def op8_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).withColumn("position", F.round("position", 6))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op4_best_fit_packing, op5_quality_classifier, op6_order_minhash, op7_secret_scans, op8_curriculum_mixing)}
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.9 or more between all embeddings, and their components."""
+    return embed_dedup.links(table(spark, sf_dir, "embeddings"))
+
+
+def op10_ann_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest neighbours of every twentieth embedding."""
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op4_best_fit_packing, op5_quality_classifier, op6_order_minhash, op7_secret_scans, op8_curriculum_mixing, op9_embedding_dedup, op10_ann_ivf_pq)}
 SQL: dict[str, str] = {"op8_curriculum_mixing": mixing.SQL}
