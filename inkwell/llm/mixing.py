@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import clean, keep, running
+from .runtime import boxed, clean, keep, running, unboxed
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
@@ -108,12 +108,13 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix in training order, one row for each time one is taken; a document taken in part keeps its first words."""
-    sized = docs.withColumn("size", sizes(docs))
-    one = assign(sized).withColumn("_take", F.explode("takes"))
-    part = F.regexp_extract("text", F.concat(F.lit(rf"^[\x20\x09-\x0D]*(?:{WORD}[\x20\x09-\x0D]*){{"), F.col("_take.words"), F.lit("}")), 0)
-    text = F.when(F.col("_take.words") < F.col("size"), part).otherwise(F.col("text"))
-    kept = [text.alias("text") if c == "text" else F.length(text).cast("long").alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return one.repartitionByRange("_take.position", "doc_id", "_take.pass").sortWithinPartitions("_take.position", "doc_id", "_take.pass").select(*kept)
+    used = ["doc_id", "source", "text"]
+    one = assign(boxed(docs, *used).withColumn("size", sizes(docs))).withColumn("take", F.explode("takes"))
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("take.words").cast("int")), "")
+    text = F.when(F.col("take.words") < F.col("size"), part).otherwise(F.col("text"))
+    whole = one.repartitionByRange("take.position", "doc_id", "take.pass").sortWithinPartitions("take.position", "doc_id", "take.pass").withColumn("text", text)
+    out = unboxed(whole, docs.columns, *used)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 SQL = r"""

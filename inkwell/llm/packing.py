@@ -137,7 +137,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, e
     for. A null text is an empty one; each document ends in end_id, so every
     document has a piece. Repeated rows are kept. Null doc_ids stay null.
     """
-    spark = ready(docs.sparkSession)
+    ready(docs.sparkSession)
     kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     kinds += [("ids", pa.list_(pa.int32()))] * with_ids
 
@@ -157,7 +157,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, e
                 yield pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in kinds])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return spark and clean(docs, "doc_id", "text").mapInArrow(cut, schema)
+    return clean(docs, "doc_id", "text").mapInArrow(cut, schema)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

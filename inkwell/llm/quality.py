@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textvec as tv
-from .runtime import chunks, ready
+from .runtime import boxed, chunks, ready, unboxed
 from .subwords import documents, ngrams, remainder, training_rows
 
 THRESHOLD = 0.3
@@ -159,30 +160,29 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = ROWS, chars: int = CH
     return train(training_rows(documents(docs).join(F.broadcast(some), "doc_id"), rows, chars), shape)
 
 
-def score(docs: DataFrame, model: Model, *, keep_columns: list[str] | None = None) -> DataFrame:
-    """Adds score to doc_id (or keep_columns). Null and empty texts score what the model gives an empty one."""
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """Adds score to all columns of docs but the text's copy. Null and empty texts score what the model gives an empty one."""
     spark = ready(docs.sparkSession)
-    names = keep_columns or ["doc_id"]
     sent = spark.sparkContext.broadcast(model)  # a table of `buckets` numbers, whatever the corpus
-    given = docs.select(*(F.col(f"`{n}`") for n in names), F.col("text").alias("_text"))
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, memo = sent.value, tv.Memo(2, bits=20)
         for batch in batches:
-            texts = [t or "" for t in batch.column(len(names)).to_pylist()]
+            texts = [t or "" for t in batch.column(at).to_pylist()]
             got = pa.array(score_texts(texts, known, memo), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], got], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, got], names=[*batch.schema.names, "score"])
 
-    schema = given.drop("_text").schema.add("score", "double")
-    return given.mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs; a null doc_id counts as not held out."""
-    scored = score(docs, fit(docs, labels))
+    scored = score(documents(docs), fit(docs, labels))
     return scored.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score at least the threshold, all columns of docs kept."""
-    return score(docs, fit(docs, labels), keep_columns=docs.columns).where(F.col("score") >= threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
+    scored = score(boxed(docs, "text"), fit(docs, labels))
+    return unboxed(scored.where(F.col("score") >= threshold), docs.columns, "text")

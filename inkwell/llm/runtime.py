@@ -158,3 +158,14 @@ def chunks(texts: list, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
         size += n + 1
     if begin < len(texts):
         yield begin, len(texts)
+
+
+def boxed(docs: DataFrame, *used: str) -> DataFrame:
+    """The used columns, and all others in one struct `_rest`, so that no name of theirs can clash."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*(F.col(f"`{c}`") for c in used), (F.struct(*rest) if rest else F.lit(None).cast("int")).alias("_rest"))
+
+
+def unboxed(df: DataFrame, columns: list[str], *used: str) -> DataFrame:
+    """What was boxed, in the order of `columns`."""
+    return df.select(*(F.col(f"`{c}`") if c in used else F.col("_rest")[c].alias(c) for c in columns))

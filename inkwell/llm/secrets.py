@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import clean
+from .runtime import boxed, clean, unboxed
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: As long runs are matched whole, asking for the least length in the pattern drops just the short ones.
@@ -153,8 +153,6 @@ def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
         return F.struct(F.greatest(s["end"], a["at"]).alias("at"), F.when(fresh, F.concat(a["out"], between, F.lit(mask))).otherwise(a["out"]).alias("out"))
 
     rest = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring("text", (a["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    marked = scanned(docs)
-    text = F.when((F.size("base") > 0) | (F.size("added") > 0), rest).otherwise(F.col("text"))
-    changed = marked.withColumn("_text", text)
-    kept = [F.col("_text").alias("text") if c == "text" else F.when(F.col("_text").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length("_text")).cast("long").alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return changed.select(*kept)
+    marked = scanned(boxed(docs, "text"))
+    out = unboxed(marked.withColumn("text", F.when((F.size("base") > 0) | (F.size("added") > 0), rest).otherwise(F.col("text"))), docs.columns, "text")
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
