@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embed_dedup, lang_id, mixing, order_minhash, packing, quality, secrets
+from . import ann, embed_dedup, lang_id, licenses, mixing, order_minhash, packing, preference, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,16 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.predict(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices and texts in every whole document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k and 2k + 1 as chosen and rejected."""
+    return preference.paired_by_id(table(spark, sf_dir, "conversations"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of at most 4096 tokens."""
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -58,5 +68,5 @@ def op10_ann_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op4_best_fit_packing, op5_quality_classifier, op6_order_minhash, op7_secret_scans, op8_curriculum_mixing, op9_embedding_dedup, op10_ann_ivf_pq)}
-SQL: dict[str, str] = {"op8_curriculum_mixing": mixing.SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_license_scans, op3_preference_formatting, op4_best_fit_packing, op5_quality_classifier, op6_order_minhash, op7_secret_scans, op8_curriculum_mixing, op9_embedding_dedup, op10_ann_ivf_pq)}
+SQL: dict[str, str] = {"op8_curriculum_mixing": mixing.SQL, "op3_preference_formatting": preference.SQL}
