@@ -1,0 +1 @@
+"""Stylometry and controlled rewriting as Spark plans."""
