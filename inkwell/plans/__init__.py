@@ -1,6 +1,6 @@
 """Registered queries of the library."""
 
-from . import texts
+from . import rules, texts
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "texts"]
+__all__ = ["QUERIES", "SQL", "rules", "texts"]
