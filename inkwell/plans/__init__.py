@@ -1,6 +1,6 @@
 """Registered queries of the library."""
 
-from . import rules, texts
+from . import pairs, rules, sequences, texts
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "rules", "texts"]
+__all__ = ["QUERIES", "SQL", "pairs", "rules", "sequences", "texts"]
