@@ -1,6 +1,6 @@
 """Registered queries of the library."""
 
-from . import pairs, rules, sequences, stores, texts
+from . import answers, pairs, rules, sequences, stores, texts
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "pairs", "rules", "sequences", "stores", "texts"]
+__all__ = ["QUERIES", "SQL", "answers", "pairs", "rules", "sequences", "stores", "texts"]
