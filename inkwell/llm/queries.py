@@ -69,4 +69,4 @@ def op10_ann_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_license_scans, op3_preference_formatting, op4_best_fit_packing, op5_quality_classifier, op6_order_minhash, op7_secret_scans, op8_curriculum_mixing, op9_embedding_dedup, op10_ann_ivf_pq)}
-SQL: dict[str, str] = {"op8_curriculum_mixing": mixing.SQL, "op3_preference_formatting": preference.SQL}
+SQL: dict[str, str] = {"op7_secret_scans": secrets.SQL, "op8_curriculum_mixing": mixing.SQL, "op3_preference_formatting": preference.SQL}

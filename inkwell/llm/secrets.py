@@ -156,3 +156,32 @@ def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     marked = scanned(boxed(docs, "text"))
     out = unboxed(marked.withColumn("text", F.when((F.size("base") > 0) | (F.size("added") > 0), rest).otherwise(F.col("text"))), docs.columns, "text")
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def _sql() -> str:
+    """The scan in DuckDB's SQL: runs are taken whole and filtered, and every window's entropy is counted anew."""
+
+    def quoted(x: str) -> str:
+        return x.replace("'", "''")
+
+    def spans(name: str, pattern: str, rank: int, test: str = "true") -> str:
+        p = quoted(pattern)
+        return f"""{name} AS (SELECT doc_id, row, list_filter(list_transform(range(1, len(m) + 1), lambda i: {{'start': CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT), 'rank': {rank}, 'value': m[i], 'group2': w[i]}}), lambda s: {test}) AS z
+  FROM (SELECT doc_id, row, string_split_regex(text, '{p}') AS g, regexp_extract_all(text, '{p}') AS m, {"regexp_extract_all(text, '" + p + "', 2)" if rank == 0 else "regexp_extract_all(text, '" + p + "')"} AS w FROM d))"""
+
+    allowed = " OR ".join(f"regexp_matches(s.value, '{quoted(p)}')" for p in ALLOWED)
+    weight = "list_sum(list_transform(list_distinct(string_split(w, '')), lambda c: CAST(round((length(w) - length(replace(w, c, ''))) * log2(length(w) - length(replace(w, c, ''))) * 1000000) AS BIGINT)))"
+    bits = {k: round((math.log2(WINDOW) - b) * WINDOW * 1e6) for k, b in LEAST_BITS.items()}
+    shown = "array_to_string(list_transform(list_sort({x}), lambda s: ['assign', 'access', 'hex', 'entropy_hex', 'entropy_base64'][s.rank + 1] || ':' || s.start || ':' || s.stop), ',')"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS row FROM documents),
+{spans("a0", ASSIGN, 0, f"length(s.group2) >= {LEAST_VALUE}")},
+{spans("a1", ACCESS, 1)},
+{spans("a2", HEX, 2)},
+{spans("a3", "[A-Za-z0-9+/_=-]{20,}", 3, f"regexp_matches(s.value, '[A-Za-z]') AND regexp_matches(s.value, '[0-9]') AND NOT ({allowed})")},
+base AS (SELECT a0.doc_id, a0.row, list_transform(list_concat(a0.z, list_concat(a1.z, a2.z)), lambda s: {{'start': s.start, 'rank': s.rank, 'stop': CAST(s.start + length(s.value) AS BIGINT)}}) AS b, a3.z AS c FROM a0 JOIN a1 USING (row) JOIN a2 USING (row) JOIN a3 USING (row)),
+warm AS (SELECT doc_id, row, b, list_transform(c, lambda s: {{'start': s.start, 'rank': CASE WHEN regexp_matches(s.value, '{HEX_ONLY}') THEN 3 ELSE 4 END, 'hot': list_filter(range(0, length(s.value) - {WINDOW - 1}), lambda i: list_extract(list_transform([s.value[i + 1:i + {WINDOW}]], lambda w: {weight}), 1) <= CASE WHEN regexp_matches(s.value, '{HEX_ONLY}') THEN {bits["entropy_hex"]} ELSE {bits["entropy_base64"]} END)}}) AS c FROM base),
+found AS (SELECT doc_id, b, list_transform(list_filter(c, lambda s: len(s.hot) > 0), lambda s: {{'start': CAST(s.start + list_min(s.hot) AS BIGINT), 'rank': s.rank, 'stop': CAST(s.start + list_max(s.hot) + {WINDOW} AS BIGINT)}}) AS e FROM warm)
+SELECT doc_id, len(list_filter(b, lambda s: s.rank = 0)) AS n_assign, len(list_filter(b, lambda s: s.rank = 1)) AS n_access, len(list_filter(b, lambda s: s.rank = 2)) AS n_hex, sha256({shown.format(x="b")}) AS base_sha256, {shown.format(x="list_concat(b, e)")} AS spans, len(e) AS n_entropy FROM found"""
+
+
+SQL = _sql()
