@@ -1,6 +1,6 @@
 """Registered queries of the library."""
 
-from . import answers, pairs, rules, sequences, stores, structures, texts
+from . import answers, pairs, rules, sequences, stores, structures, tags, texts
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "answers", "pairs", "rules", "sequences", "stores", "structures", "texts"]
+__all__ = ["QUERIES", "SQL", "answers", "pairs", "rules", "sequences", "stores", "structures", "tags", "texts"]
