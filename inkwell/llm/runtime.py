@@ -63,13 +63,6 @@ def clean(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(f"`{n}`") for n in names))
 
 
-def bounded_ids(df: DataFrame, key: str, most: int, seed: int = 7) -> list:
-    """At most `most` distinct keys, those with the smallest hash: a reproducible uniform sample."""
-    order = F.xxhash64(F.lit(seed), F.col(key))
-    rows = df.where(F.col(key).isNotNull()).select(key, order.alias("_o")).distinct().orderBy("_o", key).limit(most)
-    return [r[0] for r in rows.collect()]
-
-
 def bounded_sample(df: DataFrame, key: str, most: int, seed: int = 7) -> DataFrame:
     """Rows of df whose key is among at most `most` sampled keys.
 
@@ -100,7 +93,8 @@ def running(df: DataFrame, group: list[str], order: list[Column], amount: Column
     sums = df.groupBy(*named, F.col("_cell").alias("_c")).agg(F.sum("_amount").alias("_sum"))
     keys = [f"_g{i}" for i in range(len(group))]
     before = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, "_c", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_cellstart"))
+    # a table of known size: Spark can see at planning time whether it is small, before it shuffles df for the join
+    sums = keep(sums.select(*keys, "_c", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_cellstart")), "cells")
     on = F.col("_cell") == F.col("_c")
     for g, k in zip(group, keys, strict=True):
         on = on & F.col(g).eqNullSafe(F.col(k))
