@@ -25,8 +25,12 @@ WORDS, SIMILAR = 5, 0.8
 #: Sketches of each document, and labelled shingles in a sketch. A pair at 0.8 shares one sketch with probability
 #: 0.8**5 = 0.33, so all 30 miss it with probability 7e-6; a pair at 0.2 meets with probability 0.01.
 SKETCHES, TAKEN = 30, 5
-#: Largest bucket whose pairs are all counted, buckets that such a pair must share (at 0.8 all pairs but 0.0001 share two), and turns at most.
-SMALL, AGREEING, TURNS = 16, 2, 4
+#: Largest bucket whose pairs are all counted, buckets that such a pair must share (at 0.8 all pairs but 0.0001 share two).
+SMALL, AGREEING = 16, 2
+#: Documents of a larger bucket in one block, pairs that a document hands on in the first round, and their growth from round to round.
+BLOCK, FIRST, GROWTH = 2048, 4, 16
+#: Most bits of a document's bitmap of shingles.
+BITS = 1 << 17
 #: Bits of the filter on the ids of documents to be aligned: at most FILTER / 64 rows are broadcast (4 MB).
 FILTER = 1 << 24
 
@@ -100,8 +104,16 @@ def sketches(labels: np.ndarray, number: int = SKETCHES, taken: int = TAKEN) ->
     return out
 
 
+def bitmap(labels: np.ndarray) -> bytes:
+    """A text's labelled shingles as the set bits of a power of two of bits, at least two for each shingle up to BITS."""
+    size = min(BITS, max(64, 1 << (2 * len(labels) - 1).bit_length()))
+    bits = np.zeros(size, np.uint8)
+    bits[(tv.mix(labels) & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
 def signatures(docs: DataFrame, *, words: int = WORDS, number: int = SKETCHES, taken: int = TAKEN) -> DataFrame:
-    """doc_id, two hashes of the words (null without words), n shingles, and the sketches of every whole text."""
+    """doc_id, two hashes of the words (null without words), n shingles, the sketches and the bitmap of every whole text."""
     ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,9 +125,10 @@ def signatures(docs: DataFrame, *, words: int = WORDS, number: int = SKETCHES, t
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in got]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(got) if got else np.zeros(0, np.int64)))
                 ids = batch.column(0).slice(a, b - a).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(m.view(np.int64), mask=n == 0) for m in marks), pa.array(np.diff(edge)), lists], names=["doc_id", "mark1", "mark2", "n", "sketches"])
+                maps = pa.array([bitmap(own[i:j]) if j > i else None for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(m.view(np.int64), mask=n == 0) for m in marks), pa.array(np.diff(edge)), lists, maps], names=["doc_id", "mark1", "mark2", "n", "sketches", "bits"])
 
-    return clean(docs, "doc_id", "text").mapInArrow(run, "doc_id long, mark1 long, mark2 long, n long, sketches array<long>")
+    return clean(docs, "doc_id", "text").mapInArrow(run, "doc_id long, mark1 long, mark2 long, n long, sketches array<long>, bits binary")
 
 
 def aligned(a: np.ndarray, b: np.ndarray, similar: float = SIMILAR) -> float:
@@ -169,22 +182,26 @@ def verified(pairs: DataFrame, texts: DataFrame, *, words: int = WORDS, similar:
     return both.mapInArrow(run, "a long, b long")
 
 
-def involved(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One text for each document that a pair names.
+def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is among ids.
 
     A filter of FILTER bits, of fixed size whatever the corpus, drops most
     other documents before any text is shuffled; the join after it is exact.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def place(column: str) -> Column:
         return F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER))
 
-    words = ids.select(F.floor(place("doc_id") / 64).cast("long").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place("doc_id") % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    rows = clean(docs, "doc_id", "text").where(F.col("doc_id").isNotNull())
-    near = rows.join(F.broadcast(words), F.floor(place("doc_id") / 64).cast("long") == F.col("word")).where(F.getbit("bits", (place("doc_id") % 64).cast("int")) == 1)
-    near = keep(near.select("doc_id", "text"), "near")  # else the exact join is moved below the filter
-    return near.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    words = ids.select(F.floor(place("doc_id") / 64).cast("long").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place("doc_id") % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("_bits"))
+    near = rows.where(F.col("doc_id").isNotNull()).join(F.broadcast(words), F.floor(place("doc_id") / 64).cast("long") == F.col("word")).where(F.getbit("_bits", (place("doc_id") % 64).cast("int")) == 1)
+    near = keep(near.select(*rows.columns), "near")  # else the exact join is moved below the filter
+    return near.join(ids, "doc_id", "left_semi")
+
+
+def involved(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One text for each document that a pair names."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    return among(clean(docs, "doc_id", "text"), ids).groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
 def labelled(rows: DataFrame, column: str, reached: DataFrame, out: str) -> DataFrame:
@@ -193,31 +210,133 @@ def labelled(rows: DataFrame, column: str, reached: DataFrame, out: str) -> Data
     return rows.join(parts, F.col(column) == F.col("_id"), "left").withColumn(out, F.coalesce("_part", column)).drop("_id", "_part")
 
 
-def still_apart(members: DataFrame, reached: DataFrame, turn: int, *, similar: float = SIMILAR) -> DataFrame:
-    """(a, b): pairs of a bucket that lie in different components and are to be aligned in this turn.
+def distances(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Bits in which each row of `one` differs from each row of `two`, of the same width."""
+    out = np.empty((len(one), len(two)), np.int64)
+    step = max(1, 2_000_000 // max(1, two.size))
+    for a in range(0, len(one), step):
+        out[a : a + step] = np.bitwise_count(one[a : a + step, None, :] ^ two[None, :, :]).sum(axis=2, dtype=np.int64)
+    return out
+
+
+def block_pairs(side: np.ndarray, ids: np.ndarray, n: np.ndarray, part: np.ndarray, bits: list[bytes], limit: int, similar: float = SIMILAR) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs (smaller id first) of one block pair that differ in class and may be near copies, and whether any was left out.
+
+    side: 0 and 1 where rows of side 0 meet those of side 1 only, 2 where all
+    meet. Each row hands on its `limit` nearest by bitmap. Two near copies
+    share at least `need` shingles, so at most n1 + n2 - 2 need bits differ:
+    no near copy is dropped by that. A wider bitmap is folded to the narrower
+    one's width; lengths of near copies are so close that one fold serves.
+    """
+    width = np.array([len(x) // 8 for x in bits])
+    far: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for w in np.unique(width):
+        at, up = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        own = np.frombuffer(b"".join(bits[i] for i in at), np.uint64).reshape(len(at), w)
+        if len(up):
+            wide = np.frombuffer(b"".join(bits[i] for i in up), np.uint64).reshape(len(up), 2 * w)
+            own, at = np.concatenate([own, wide[:, :w] | wide[:, w:]]), np.concatenate([at, up])
+        low = width[at] == w
+        # parts in order of size, so that each row meets only rows of other parts
+        _, code, size = np.unique(part[at], return_inverse=True, return_counts=True)
+        order = np.lexsort((at, code, -size[code]))
+        at, own, low, code = at[order], own[order], low[order], code[order]
+        edges = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1], [True])))
+        for s, e in zip(edges[:-1], edges[1:], strict=True):
+            if e == len(at):
+                break
+            step = max(1, 1_000_000 // (len(at) - e))
+            for c in range(s, e, step):
+                i, j = np.arange(c, min(e, c + step)), np.arange(e, len(at))
+                total = n[at[i]][:, None] + n[at[j]][None, :]
+                most = total - 2 * (similar / (1 + similar) * total - 1e-9)
+                fit = (np.minimum(n[at[i]][:, None], n[at[j]][None, :]) >= np.maximum(n[at[i]][:, None], n[at[j]][None, :]) * similar) & (low[i][:, None] | low[j][None, :])
+                fit &= (side[at[i]][:, None] != side[at[j]][None, :]) | (side[at[i]][:, None] == 2)
+                if not fit.any():
+                    continue
+                i, j = i[fit.any(axis=1)], j[fit.any(axis=0)]
+                kept = np.ix_(i - c, j - e)
+                apart = distances(own[i], own[j])
+                x, y = np.nonzero(fit[kept] & (apart <= most[kept]))
+                far.append((at[i[x]], at[j[y]], apart[x, y] / total[kept][x, y]))
+    if not far:
+        return [], False
+    x, y, d = (np.concatenate(c) for c in zip(*far, strict=True))
+    a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+    pairs = np.arange(len(x))
+    ends, whose = np.concatenate([x, y]), np.concatenate([pairs, pairs])
+    order = np.lexsort((b[whose], a[whose], d[whose], ends))
+    first = np.flatnonzero(np.diff(ends[order], prepend=-1))
+    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    chosen = np.unique(whose[order][rank < limit])
+    return [(int(a[k]), int(b[k])) for k in chosen], len(chosen) < len(x)
+
+
+def blocks_apart(placed: DataFrame, main: DataFrame, bits: DataFrame, limit: int, *, similar: float = SIMILAR) -> DataFrame:
+    """(a, b, more): pairs of different classes that a bucket holds and bitmaps do not rule out.
+
+    The class that has most of a bucket and the rest are dealt into blocks of
+    about BLOCK documents by a hash. Every block of the rest meets every
+    block, each two in one task. more: pairs of that task were left out, as
+    each document hands on its `limit` nearest ones there.
+    """
+    rows = placed.join(main.select("k", "main", (F.floor((F.col("most") - 1) / BLOCK) + 1).alias("_m"), (F.floor((F.col("total") - F.col("most") - 1) / BLOCK) + 1).alias("_r")), F.col("key") == F.col("k"))
+    rows = rows.withColumn("_rest", F.col("part") != F.col("main")).withColumn("_own", F.pmod(F.xxhash64("a", "key"), F.when(F.col("_rest"), F.col("_r")).otherwise(F.col("_m"))))
+    # blocks of the rest are numbered from 0, those of the main class are -1, -2 and so on
+    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_r") - 1), lambda r: F.struct(F.least(r, F.col("_own")).alias("lo"), F.greatest(r, F.col("_own")).alias("hi")))
+    mains = F.transform(F.sequence(F.lit(1).cast("long"), F.col("_m")), lambda m: F.struct((-m).alias("lo"), F.col("_own").alias("hi")))
+    met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_r") - 1), lambda r: F.struct((-F.col("_own") - 1).alias("lo"), r.alias("hi")))
+    rows = rows.select("key", "a", "na", "part", "_rest", "_own", F.explode(F.when(F.col("_rest"), F.concat(others, mains)).otherwise(met)).alias("_p"))
+    side = F.when(F.col("_p.lo") == F.col("_p.hi"), 2).when(F.col("_rest") & (F.col("_own") == F.col("_p.hi")), 1).otherwise(0)
+    rows = rows.select("key", F.col("_p.lo").alias("lo"), F.col("_p.hi").alias("hi"), "a", "na", "part", side.alias("side"))
+    rows = rows.join(bits.withColumnRenamed("doc_id", "_d"), F.col("a") == F.col("_d")).drop("_d")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            pairs, more = block_pairs(*(t.column(c).to_numpy() for c in ("side", "a", "na", "part")), t.column("bits").to_pylist(), limit, similar)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64()), pa.array([more] * len(pairs), pa.bool_())], names=["a", "b", "more"])
+
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
+            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                if held and tuple(key[s]) != last:
+                    yield done()
+                held.append(batch.slice(s, e - s))
+                last = tuple(key[s])
+        if held:
+            yield done()
+
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long, more boolean")
+
+
+def still_apart(members: DataFrame, reached: DataFrame, bits: DataFrame, limit: int, *, similar: float = SIMILAR) -> DataFrame:
+    """(a, b, more): pairs of a bucket that lie in different components and are to be aligned in this round.
 
     In buckets of at most SMALL documents these are all such pairs that meet
-    in AGREEING buckets. In a larger one each document outside the component
-    that has most of the bucket meets one member of that component, drawn by a
-    hash of bucket and turn, so a document meets as many members as it has
-    such buckets and the rows made stay in proportion to the memberships.
+    in AGREEING buckets. Larger ones are compared block by block, see
+    `blocks_apart`. bits: doc_id and bitmap of every document in members.
     """
     placed = keep(labelled(members, "a", reached, "part").select("key", "a", "na", "part"), "placed")
-    draw = F.min(F.struct(F.xxhash64("a", "key", F.lit(turn)).alias("h"), "a", "na"))
-    parts = placed.groupBy("key", "part").agg(F.count("*").alias("n"), draw.alias("drawn"))
-    main = parts.groupBy(F.col("key").alias("k")).agg(F.sum("n").alias("total"), F.count("*").alias("parts"), F.max(F.struct("n", (-F.col("part")).alias("p"), "drawn")).alias("m")).where("parts > 1")
-    main = keep(main.select("k", "total", (-F.col("m.p")).alias("main"), F.col("m.drawn.a").alias("b"), F.col("m.drawn.na").alias("nb")), "main")
+    parts = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
+    main = parts.groupBy(F.col("key").alias("k")).agg(F.sum("n").alias("total"), F.count("*").alias("parts"), F.max(F.struct("n", (-F.col("part")).alias("p"))).alias("m")).where("parts > 1")
+    main = keep(main.select("k", "total", F.col("m.n").alias("most"), (-F.col("m.p")).alias("main")), "main")
     near = F.least("na", "nb") >= F.greatest("na", "nb") * similar
-    large = placed.join(main.where(F.col("total") > SMALL), F.col("key") == F.col("k")).where(F.col("part") != F.col("main"))
-    out = large.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    if turn == 1:
-        rows = placed.join(main.where(F.col("total") <= SMALL).select("k"), F.col("key") == F.col("k"))
-        one = rows.select("key", "a", "na", "part")
-        two = rows.select(F.col("key").alias("key2"), F.col("a").alias("b"), F.col("na").alias("nb"), F.col("part").alias("part2"))
-        met = one.join(two, (F.col("key") == F.col("key2")) & (F.col("part") < F.col("part2")) & near)
-        each = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"))
-        out = out.union(each.where(F.col("n") >= AGREEING).select("a", "b"))
-    return out.distinct()
+    out = blocks_apart(placed, main.where(F.col("total") > SMALL), bits, limit, similar=similar)
+    rows = placed.join(main.where(F.col("total") <= SMALL).select("k"), F.col("key") == F.col("k"))
+    one = rows.select("key", "a", "na", "part")
+    two = rows.select(F.col("key").alias("key2"), F.col("a").alias("b"), F.col("na").alias("nb"), F.col("part").alias("part2"))
+    met = one.join(two, (F.col("key") == F.col("key2")) & (F.col("part") < F.col("part2")) & near)
+    each = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"))
+    out = out.union(each.where(F.col("n") >= AGREEING).select("a", "b", F.lit(False)))
+    return out.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def classes(docs: DataFrame, *, words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
@@ -225,16 +344,17 @@ def classes(docs: DataFrame, *, words: int = WORDS, similar: float = SIMILAR) ->
 
     Equal word sequences fall into one class first, and one of them goes on.
     Each document is aligned with the smallest one of every bucket (sketch)
-    that it is in. Then turns follow over the buckets that still hold several
-    classes, until one finds no new link: see `still_apart`. A large group of
-    near copies thus costs some alignments a document, never one for each
-    pair. Null texts and texts without words are alone. Rows that repeat a
+    that it is in. Then rounds follow over the buckets that still hold several
+    classes: each document is aligned with its nearest ones of other classes,
+    GROWTH times as many each round, until a round leaves none out: see
+    `still_apart`. A large group of near copies thus costs some alignments a
+    document, as it becomes one class before its other pairs are due. Null texts and texts without words are alone. Rows that repeat a
     doc_id get the same class; a null doc_id has class null and is kept.
     """
     signed = keep(signatures(docs, words=words), "signed")
     copies = signed.where("mark1 is not null and doc_id is not null").groupBy(F.col("mark1").alias("m1"), F.col("mark2").alias("m2")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").drop("last")
     known = signed.join(copies, (F.col("mark1") == F.col("m1")) & (F.col("mark2") == F.col("m2")), "left")
-    firsts = keep(known.select("doc_id", F.coalesce("first", "doc_id").alias("first"), "n", "sketches"), "firsts")
+    firsts = keep(known.select("doc_id", F.coalesce("first", "doc_id").alias("first"), "n", "sketches", "bits"), "firsts")
     sketched = firsts.where("doc_id = first and n > 0").dropDuplicates(["doc_id"])
     rows = sketched.select("doc_id", "n", F.explode("sketches").alias("key"))
     buckets = rows.groupBy(F.col("key").alias("k")).agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).where("b <> last").drop("last")
@@ -246,16 +366,21 @@ def classes(docs: DataFrame, *, words: int = WORDS, similar: float = SIMILAR) ->
     found = keep(verified(pairs, keep(involved(docs, pairs), "texts"), words=words, similar=similar), "links")
     reached = components(found)
     tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    for turn in range(1, TURNS + 1):
-        rest = keep(still_apart(members, reached, turn, similar=similar).join(tested, ["a", "b"], "left_anti"), "apart")
-        if rest.isEmpty():
-            break
-        more = keep(verified(rest, keep(involved(docs, rest), "texts"), words=words, similar=similar), "links")
-        tested = tested.union(rest)
-        if more.isEmpty():
+    held = among(firsts.where("doc_id = first and n > 0").select("doc_id", "bits"), members.select(F.col("a").alias("doc_id")).distinct())
+    bits = keep(held.groupBy("doc_id").agg(F.min("bits").alias("bits")), "bits")
+    limit = FIRST
+    while True:
+        due = keep(still_apart(members, reached, bits, limit, similar=similar), "due")
+        rest = keep(due.select("a", "b").join(tested, ["a", "b"], "left_anti"), "apart")
+        if not rest.isEmpty():
+            tested = tested.union(rest)
+            more = keep(verified(rest, keep(involved(docs, rest), "texts"), words=words, similar=similar), "links")
+            if not more.isEmpty():
+                found = found.union(more)
+                reached = components(found)
+        if due.where("more").isEmpty():
             break
-        found = found.union(more)
-        reached = components(found)
+        limit *= GROWTH
     out = labelled(firsts.select("doc_id", "first"), "first", reached, "class_id")
     return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 

@@ -249,6 +249,39 @@ def test_near_copies_in_large_groups_and_edges(spark):
     assert om.classes(docs.limit(0)).count() == 0
 
 
+def in_one_bucket(monkeypatch):
+    """All documents share their only sketch."""
+    from pyspark.sql import functions as F
+
+    real = om.signatures
+    monkeypatch.setattr(om, "signatures", lambda docs, **k: real(docs, **k).withColumn("sketches", F.when(F.col("n") > 0, F.array(F.lit(1).cast("long")))))
+
+
+def test_near_copies_outside_the_largest_class(spark, monkeypatch):
+    in_one_bucket(monkeypatch)
+    monkeypatch.setattr(om, "BLOCK", 8, raising=False)
+    passage = [f"w{i}" for i in range(204)]
+    texts = {0: "an outlier of quite other words than all"} | {i: " ".join(passage + [f"u{i}v{j}" for j in range(10)]) for i in range(1, 40)}
+    texts |= {100 + i: " ".join([f"own{i % 5}x{j}" for j in range(60)] + passage + [f"end{i}"]) for i in range(10)}
+    texts |= {200: " ".join([f"far{j}" for j in range(44)] + passage), 201: " ".join(passage[:201])}
+    got = {r["doc_id"]: r["class_id"] for r in om.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == plain_classes(texts)
+
+
+def test_bitmaps_rule_out_no_near_copy():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 31, 33, 200, 4100):
+        base = rng.integers(0, 2**63, n, dtype=np.uint64)
+        rows = [base] + [np.concatenate([base[rng.random(n) > cut], rng.integers(0, 2**63, int(rng.integers(0, n // 5 + 1)), dtype=np.uint64)]) for cut in (0, 0.05, 0.1, 0.15, 0.2) for _ in range(4)]
+        rows = [r for r in rows if len(r)]
+        ids = np.arange(len(rows))
+        near = {(int(a), int(b)) for a, b in itertools.combinations(ids, 2) if om.aligned(rows[a], rows[b]) > 0}
+        got, more = om.block_pairs(np.full(len(rows), 2), ids, np.array([len(r) for r in rows]), ids, [om.bitmap(r) for r in rows], len(rows))
+        assert near <= set(got) and not more
+        few, more = om.block_pairs(np.full(len(rows), 2), ids, np.array([len(r) for r in rows]), ids, [om.bitmap(r) for r in rows], 1)
+        assert set(few) <= set(got) and more == (len(few) < len(got))
+
+
 # --- 7
 
 BASE = [("assign", re.compile(secrets.ASSIGN)), ("access", re.compile("AKIA[A-Z0-9]+")), ("hex", re.compile("[0-9a-f]+"))]
