@@ -25,9 +25,7 @@ WORDS, SIMILAR = 5, 0.8
 #: Sketches of each document, and labelled shingles in a sketch. A pair at 0.8 shares one sketch with probability
 #: 0.8**5 = 0.33, so all 30 miss it with probability 7e-6; a pair at 0.2 meets with probability 0.01.
 SKETCHES, TAKEN = 30, 5
-#: Largest bucket whose pairs are all counted, buckets that such a pair must share (at 0.8 all pairs but 0.0001 share two).
-SMALL, AGREEING = 16, 2
-#: Documents of a larger bucket in one block, pairs that a document hands on in the first round, and their growth from round to round.
+#: Documents of a bucket in one block, pairs that a document hands on in the first round, and their growth from round to round.
 BLOCK, FIRST, GROWTH = 2048, 4, 16
 #: Most bits of a document's bitmap of shingles.
 BITS = 1 << 17
@@ -320,23 +318,15 @@ def blocks_apart(placed: DataFrame, main: DataFrame, bits: DataFrame, limit: int
 def still_apart(members: DataFrame, reached: DataFrame, bits: DataFrame, limit: int, *, similar: float = SIMILAR) -> DataFrame:
     """(a, b, more): pairs of a bucket that lie in different components and are to be aligned in this round.
 
-    In buckets of at most SMALL documents these are all such pairs that meet
-    in AGREEING buckets. Larger ones are compared block by block, see
-    `blocks_apart`. bits: doc_id and bitmap of every document in members.
+    Buckets of all sizes are compared block by block, see `blocks_apart`; a
+    pair is due if it meets in one bucket. bits: doc_id and bitmap of every
+    document in members.
     """
     placed = keep(labelled(members, "a", reached, "part").select("key", "a", "na", "part"), "placed")
     parts = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
     main = parts.groupBy(F.col("key").alias("k")).agg(F.sum("n").alias("total"), F.count("*").alias("parts"), F.max(F.struct("n", (-F.col("part")).alias("p"))).alias("m")).where("parts > 1")
     main = keep(main.select("k", "total", F.col("m.n").alias("most"), (-F.col("m.p")).alias("main")), "main")
-    near = F.least("na", "nb") >= F.greatest("na", "nb") * similar
-    out = blocks_apart(placed, main.where(F.col("total") > SMALL), bits, limit, similar=similar)
-    rows = placed.join(main.where(F.col("total") <= SMALL).select("k"), F.col("key") == F.col("k"))
-    one = rows.select("key", "a", "na", "part")
-    two = rows.select(F.col("key").alias("key2"), F.col("a").alias("b"), F.col("na").alias("nb"), F.col("part").alias("part2"))
-    met = one.join(two, (F.col("key") == F.col("key2")) & (F.col("part") < F.col("part2")) & near)
-    each = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"))
-    out = out.union(each.where(F.col("n") >= AGREEING).select("a", "b", F.lit(False)))
-    return out.groupBy("a", "b").agg(F.max("more").alias("more"))
+    return blocks_apart(placed, main, bits, limit, similar=similar).groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def classes(docs: DataFrame, *, words: int = WORDS, similar: float = SIMILAR) -> DataFrame:

@@ -268,6 +268,14 @@ def test_near_copies_outside_the_largest_class(spark, monkeypatch):
     assert got == plain_classes(texts)
 
 
+def test_near_copies_that_meet_once_in_a_small_bucket(spark, monkeypatch):
+    in_one_bucket(monkeypatch)
+    base = [f"w{i}" for i in range(60)]
+    texts = {0: "an outlier of quite other words than all", 1: " ".join(base), 2: " ".join([*base, "more"])}
+    got = {r["doc_id"]: r["class_id"] for r in om.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == plain_classes(texts) == {0: 0, 1: 1, 2: 1}
+
+
 def test_bitmaps_rule_out_no_near_copy():
     rng = np.random.default_rng(3)
     for n in (1, 5, 31, 33, 200, 4100):
