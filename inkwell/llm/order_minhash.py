@@ -25,6 +25,8 @@ WORDS, SIMILAR = 5, 0.8
 #: Sketches of each document, and labelled shingles in a sketch. A pair at 0.8 shares one sketch with probability
 #: 0.8**5 = 0.33, so all 30 miss it with probability 7e-6; a pair at 0.2 meets with probability 0.01.
 SKETCHES, TAKEN = 30, 5
+#: Texts of up to FEW shingles have as many sketches of one shingle besides: a text of four and one of five cannot share five.
+FEW = 20
 #: Documents of a bucket in one block, pairs that a document hands on in the first round, and their growth from round to round.
 BLOCK, FIRST, GROWTH = 2048, 4, 16
 #: Most bits of a document's bitmap of shingles.
@@ -71,7 +73,14 @@ def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarr
 
 
 def sketches(labels: np.ndarray, number: int = SKETCHES, taken: int = TAKEN) -> np.ndarray:
-    """The sketches of one text: for each hash function its smallest labelled shingles, hashed in text order."""
+    """The sketches of one text: for each hash function its smallest labelled shingles, hashed in text order; of few shingles also each one's smallest."""
+    n = len(labels)
+    if taken > 1 and 1 < n <= FEW:  # one shingle alone has the same sketches either way
+        return np.concatenate([_taken(labels, number, taken), _taken(labels, number, 1)])
+    return _taken(labels, number, taken)
+
+
+def _taken(labels: np.ndarray, number: int, taken: int) -> np.ndarray:
     n, out = len(labels), np.empty(number, np.uint64)
     odd = tv.mix(np.arange(1, number + 1, dtype=np.uint64)) | np.uint64(1)
     taken = min(taken, n)

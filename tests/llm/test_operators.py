@@ -276,6 +276,12 @@ def test_near_copies_that_meet_once_in_a_small_bucket(spark, monkeypatch):
     assert got == plain_classes(texts) == {0: 0, 1: 1, 2: 1}
 
 
+def test_near_copies_of_few_shingles(spark):
+    texts = {10 * k + j: " ".join([f"t{k}w{i}" for i in range(8 + j)]) for k in range(20) for j in range(3)}
+    got = {r["doc_id"]: r["class_id"] for r in om.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == plain_classes(texts) and set(got.values()) == {10 * k for k in range(20)}
+
+
 def test_bitmaps_rule_out_no_near_copy():
     rng = np.random.default_rng(3)
     for n in (1, 5, 31, 33, 200, 4100):
