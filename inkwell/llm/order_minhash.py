@@ -28,7 +28,7 @@ SKETCHES, TAKEN = 30, 5
 #: Texts of up to FEW shingles have as many sketches of one shingle besides: a text of four and one of five cannot share five.
 FEW = 20
 #: Documents of a bucket in one block, pairs that a document hands on in the first round, and their growth from round to round.
-BLOCK, FIRST, GROWTH = 2048, 4, 16
+BLOCK, FIRST, GROWTH = 512, 4, 16
 #: Most bits of a document's bitmap of shingles.
 BITS = 1 << 17
 #: Bits of the filter on the ids of documents to be aligned: at most FILTER / 64 rows are broadcast (4 MB).
@@ -220,7 +220,7 @@ def labelled(rows: DataFrame, column: str, reached: DataFrame, out: str) -> Data
 def distances(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """Bits in which each row of `one` differs from each row of `two`, of the same width."""
     out = np.empty((len(one), len(two)), np.int64)
-    step = max(1, 2_000_000 // max(1, two.size))
+    step = max(1, 500_000 // max(1, two.size))
     for a in range(0, len(one), step):
         out[a : a + step] = np.bitwise_count(one[a : a + step, None, :] ^ two[None, :, :]).sum(axis=2, dtype=np.int64)
     return out
@@ -252,7 +252,7 @@ def block_pairs(side: np.ndarray, ids: np.ndarray, n: np.ndarray, part: np.ndarr
         for s, e in zip(edges[:-1], edges[1:], strict=True):
             if e == len(at):
                 break
-            step = max(1, 1_000_000 // (len(at) - e))
+            step = max(1, 200_000 // (len(at) - e))
             for c in range(s, e, step):
                 i, j = np.arange(c, min(e, c + step)), np.arange(e, len(at))
                 total = n[at[i]][:, None] + n[at[j]][None, :]
@@ -265,12 +265,12 @@ def block_pairs(side: np.ndarray, ids: np.ndarray, n: np.ndarray, part: np.ndarr
                 kept = np.ix_(i - c, j - e)
                 apart = distances(own[i], own[j])
                 x, y = np.nonzero(fit[kept] & (apart <= most[kept]))
-                far.append((at[i[x]], at[j[y]], apart[x, y] / total[kept][x, y]))
+                far.append((at[i[x]].astype(np.int32), at[j[y]].astype(np.int32), (apart[x, y] / total[kept][x, y]).astype(np.float32)))
     if not far:
         return [], False
     x, y, d = (np.concatenate(c) for c in zip(*far, strict=True))
     a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
-    pairs = np.arange(len(x))
+    pairs = np.arange(len(x), dtype=np.int32)
     ends, whose = np.concatenate([x, y]), np.concatenate([pairs, pairs])
     order = np.lexsort((b[whose], a[whose], d[whose], ends))
     first = np.flatnonzero(np.diff(ends[order], prepend=-1))
@@ -279,6 +279,25 @@ def block_pairs(side: np.ndarray, ids: np.ndarray, n: np.ndarray, part: np.ndarr
     return [(int(a[k]), int(b[k])) for k in chosen], len(chosen) < len(x)
 
 
+def likely(pairs: DataFrame, bits: DataFrame, *, similar: float = SIMILAR) -> DataFrame:
+    """The pairs (a, na, b, nb) that bitmaps do not rule out, as (a, b): see `block_pairs`."""
+    left = bits.select(F.col("doc_id").alias("a"), F.col("bits").alias("ba"))
+    right = bits.select(F.col("doc_id").alias("b"), F.col("bits").alias("bb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for na, nb, one, two in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "ba", "bb")), strict=True):
+                x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+                while len(x) != len(y):
+                    x, y = (x, y) if len(x) < len(y) else (y, x)
+                    y = y[: len(y) // 2] | y[len(y) // 2 :]
+                ok.append(int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) <= na + nb - 2 * (similar / (1 + similar) * (na + nb) - 1e-9))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
+
+
 def blocks_apart(placed: DataFrame, main: DataFrame, bits: DataFrame, limit: int, *, similar: float = SIMILAR) -> DataFrame:
     """(a, b, more): pairs of different classes that a bucket holds and bitmaps do not rule out.
 
@@ -359,14 +378,15 @@ def classes(docs: DataFrame, *, words: int = WORDS, similar: float = SIMILAR) ->
     buckets = rows.groupBy(F.col("key").alias("k")).agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).where("b <> last").drop("last")
     members = keep(rows.join(buckets, F.col("key") == F.col("k")).select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), "b"), "members")
 
+    held = among(firsts.where("doc_id = first and n > 0").select("doc_id", "bits"), members.select(F.col("a").alias("doc_id")).distinct())
+    bits = keep(held.groupBy("doc_id").agg(F.min("bits").alias("bits")), "bits")
     sizes = sketched.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"))
     near = F.least("na", "nb") >= F.greatest("na", "nb") * similar
-    pairs = keep(members.where("a <> b").select("a", "na", "b").distinct().join(sizes, "b").where(near).select("a", "b"), "pairs")
+    pairs = members.where("a <> b").select("a", "na", "b").distinct().join(sizes, "b").where(near).select("a", "na", "b", "nb")
+    pairs = keep(likely(pairs, bits, similar=similar), "pairs")
     found = keep(verified(pairs, keep(involved(docs, pairs), "texts"), words=words, similar=similar), "links")
     reached = components(found)
     tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    held = among(firsts.where("doc_id = first and n > 0").select("doc_id", "bits"), members.select(F.col("a").alias("doc_id")).distinct())
-    bits = keep(held.groupBy("doc_id").agg(F.min("bits").alias("bits")), "bits")
     limit = FIRST
     while True:
         due = keep(still_apart(members, reached, bits, limit, similar=similar), "due")
