@@ -1,7 +1,7 @@
 """Licence scans: normalised text against licence templates by Dice coefficient over word bigrams.
 
 Words are runs of letters or digits in lower case. A text is searched for
-passages of a template's length that share enough of its bigrams; a template
+passages, shorter or longer than a template, that share enough of its bigrams; a template
 whose size no passage of the text can match is pruned beforehand, by the
 number of the text's bigrams and by the number that it shares at all.
 """
@@ -77,6 +77,20 @@ def dice(grams: np.ndarray, template: tuple[np.ndarray, np.ndarray], size: int)
     return 2 * float(np.minimum(times[i], template[1][j]).sum()) / (len(grams) + size)
 
 
+def best_end(at: np.ndarray, code: np.ndarray, times: np.ndarray, size: int) -> tuple[float, int]:
+    """Best Dice of the passages that begin at the first of these shared bigrams and end after one of them, and the end; of equals the longest.
+
+    at: places; code: which of the template's distinct bigrams each is; times: how often the template has each.
+    """
+    order = np.argsort(code, kind="stable")
+    first = np.flatnonzero(np.diff(code[order], prepend=-1))
+    before = np.empty(len(code), np.int64)
+    before[order] = np.arange(len(code)) - np.repeat(first, np.diff(np.append(first, len(code))))
+    score = 2 * np.cumsum(before < times[code]) / (at - at[0] + 1 + size)
+    k = len(score) - 1 - int(score[::-1].argmax())
+    return float(score[k]), int(at[k]) + 1
+
+
 def passages(grams: np.ndarray, known: Library, least: float) -> list[tuple[str, float, int, int]]:
     """(name, Dice, first bigram, end) of the passages of one text that match, best first in what overlaps, then in order."""
     hits = np.flatnonzero(np.isin(grams, known.every))
@@ -90,12 +104,13 @@ def passages(grams: np.ndarray, known: Library, least: float) -> list[tuple[str,
             at = hits[np.isin(own, template[0])]
             if len(at) < short:
                 continue
-            until = np.searchsorted(at, at + size)
-            shared = until - np.arange(len(at))
-            for i in np.flatnonzero(2 * shared >= least * (size + shared)):
-                a, b = int(at[i]), int(at[until[i] - 1]) + 1
-                if (score := dice(grams[a:b], template, size)) >= least:
-                    found.append((score, a, b, name))
+            # of a longer passage even the whole template is too small a share
+            until = np.searchsorted(at, at + int((2 - least) / least * size + 1e-9))
+            code = np.searchsorted(template[0], grams[at])
+            for i in np.flatnonzero(until - np.arange(len(at)) >= short):
+                score, end = best_end(at[i : until[i]], code[i : until[i]], template[1], size)
+                if score >= least:
+                    found.append((score, int(at[i]), end, name))
     out: list[tuple[str, float, int, int]] = []
     for score, a, b, name in sorted(found, key=lambda x: (-x[0], x[1] - x[2], x[1], x[3])):
         if all(b <= c or a >= d for _, _, c, d in out):

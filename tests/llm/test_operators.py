@@ -101,6 +101,19 @@ def test_licenses_against_all_windows(spark):
     assert licenses.scan(documents(spark)).count() == len(TEXTS) and licenses.scan(documents(spark).limit(0)).count() == 0
 
 
+def test_licenses_of_any_passage_length():
+    rng = random.Random(5)
+    template = [f"t{rng.randrange(30)}" for _ in range(40)]
+    known = licenses.library([("own", " ".join(template))])
+    for inserted in (0, 4, 12, 16, 19, 24):
+        words = [f"n{i}" for i in range(30)] + template[:20] + [f"i{i}" for i in range(inserted)] + template[20:] + [f"m{i}" for i in range(30)]
+        grams = licenses.bigrams([" ".join(words)])[0]
+        best = max(licenses.dice(grams[a:b], known.grams[0], int(known.sizes[0])) for a in range(len(grams)) for b in range(a + 1, len(grams) + 1))
+        got = licenses.passages(grams, known, licenses.LEAST)
+        assert [round(x[1], 9) for x in got] == ([round(best, 9)] if best >= licenses.LEAST else [])
+        assert (best >= licenses.LEAST) == (inserted < 19)
+
+
 # --- 3
 
 
