@@ -122,10 +122,12 @@ def score_words(codes: np.ndarray, begin: np.ndarray, end: np.ndarray, script: n
 def settled(scores: np.ndarray, cut: np.ndarray, switch: float) -> np.ndarray:
     """For each text the language that all of it has on the best path, or -1 where the path may switch.
 
-    Leaving the language for a while gains at most the greatest sum over
-    consecutive words of another language's scores less its own; where no
-    other language gains more than one switch costs, no path that switches
-    can be better. So this is exact, and most texts need nothing more.
+    A stay outside the language gains at most the greatest sum over
+    consecutive words of another language's scores less its own. A path of m
+    stays has m - 1 switches at least, as it may never use the language, and m
+    is 2 at least; where no stay gains more than half of what one switch
+    costs, no path that switches can be better. So this is exact, and most
+    texts need nothing more.
     """
     out = np.full(len(cut) - 1, -1)
     full = np.flatnonzero(np.diff(cut) > 0)
@@ -143,7 +145,7 @@ def settled(scores: np.ndarray, cut: np.ndarray, switch: float) -> np.ndarray:
         low = run[:-1] - text * (2 * np.abs(run).max() + 1)
         low = np.minimum.accumulate(low) + text * (2 * np.abs(run).max() + 1)
         gain = np.maximum(gain, np.maximum.reduceat(run[1:] - low, first))
-    out[full] = np.where(gain <= switch, best, -1)
+    out[full] = np.where(2 * gain <= switch, best, -1)
     return out
 
 

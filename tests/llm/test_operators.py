@@ -67,6 +67,12 @@ def test_viterbi_is_best_path_and_settled_is_exact():
         assert one < 0 or math.isclose(worth([one] * len(s)), worth(best))
 
 
+def test_settled_leaves_two_gains_at_one_switch():
+    scores = np.array([[6.0, 3.0, -6.0], [-6.0, 3.0, 6.0]])
+    assert list(lang_id.viterbi([scores], 4.0)[0]) == [0, 2]
+    assert list(lang_id.settled(scores, np.array([0, 2]), 4.0)) == [-1]
+
+
 def test_language_spans():
     model = lang_id.train([(i, t, y) for i, (t, y) in enumerate([("the house and the river are here with them", "en"), ("das haus und der fluss sind nicht weit", "de"), ("дом и река там", "ru")] * 20)])
     text = "the house and the river with the house and them. " * 3 + "das haus und der fluss sind nicht weit und das haus. " * 3 + "дом там"
