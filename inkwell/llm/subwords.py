@@ -29,7 +29,7 @@ def ngrams(codes: np.ndarray, begin: np.ndarray, end: np.ndarray, sizes: tuple[i
     salt = tv.salts()[flat]
     token = np.repeat(np.arange(len(begin)), wide)
     room = np.repeat(first + wide, wide) - np.arange(len(flat))
-    which, found = [np.arange(len(begin))], [tv.hashes(codes, begin, end, seed=1)]
+    which, found = [np.arange(len(begin))], [tv.hashes(flat, first + 1, first + wide - 1, seed=1)]
     for n in sizes:
         at = np.flatnonzero(room >= n)
         h = np.zeros(len(at), np.uint64)

@@ -70,9 +70,11 @@ def spans(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hashes(codes: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A hash of 64 bits of each token codes[begin:end]; tokens must not overlap and not be empty."""
+    """A hash of 64 bits of each token codes[begin:end]; tokens must be in text order, not overlap and not be empty."""
     if not len(begin):
         return np.zeros(0, np.uint64)
+    if (begin[1:] < end[:-1]).any():
+        raise ValueError("tokens are not in text order")
     terms = salts()[codes]
     size = end - begin
     starts = np.zeros(len(codes), np.int64)
@@ -97,13 +99,16 @@ class Memo:
         self.rows = np.zeros((1 << bits, width), kind)
 
     def get(self, h: np.ndarray, make: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-        """The row of each hash. make: rows for the positions in h given to it, one position for each unknown hash."""
+        """The row of each hash. make: rows for the positions in h given to it, rising, one position for each unknown hash."""
         slot = (h >> self.shift).astype(np.int64)
         out = self.rows[slot]
         lost = np.flatnonzero(self.keys[slot] != h)
         if len(lost):
             new, first, back = np.unique(h[lost], return_index=True, return_inverse=True)
-            made = make(lost[first])
+            order = np.argsort(first)
+            found = make(lost[first[order]])
+            made = np.empty_like(found)
+            made[order] = found
             out[lost] = made[back]
             to = (new >> self.shift).astype(np.int64)
             self.keys[to] = new
