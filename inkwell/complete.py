@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .functions.asking import told
+
 
 class Completer(Protocol):
     """Anything that answers a prompt."""
@@ -68,21 +70,28 @@ def answered(rows: DataFrame, make: Callable[[], Completer], system: str = "syst
     return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))
 
 
-#: What each kind of rewriting tells the generator.
-INSTRUCTIONS = {
-    "summary": "Restate the passage plainly, keep every fact, and write in the {perspective}.",
-    "plan": "Distribute the facts over the given slots, one line a slot.",
-    "variants": "Write {n} variants of the sentence with about {words} words each, one a line, each after VAR:.",
-    "inject": "Work these missing words into the text: {words}.",
-    "grammar": "Correct the grammar and change nothing else.",
-    "polish": "Bring the text closer to this manner: {style}.",
-    "clone": "Fill the template with the content: {template}.",
-    "judge": "Name the best candidate by its letter, or NONE.",
-}
+@dataclass
+class Scripted:
+    """Answers in the form that an operator's instruction asks for, made from the prompt alone, so that readers can be tried offline."""
+
+    reads: str
+
+    def complete(self, system: str, user: str) -> str:
+        parts = re.split(r"(?<=[.!?])\s+", user.strip())
+        n = len(user)
+        answers = {
+            "text": "" if n % 5 == 0 else f"Sure.\nREWRITE: {parts[0]}",
+            "variants": "No idea." if n % 5 == 0 else "Here:\n" + "\n".join(f"VAR: {p}" for p in parts[:3]),
+            "score": "Hard to say." if n % 5 == 0 else f'```json\n{{"score": {n % 9}, "reason": "so"}}\n```',
+            "verdict": "Perhaps." if n % 5 == 0 else f'{{"ok": {"true" if n % 2 else "false"}, "confidence": 0.{n % 9}}}',
+            "choice": ("NONE fits", "I take B.", "candidate C", "no letter here", "A")[n % 5],
+            "plan": "none" if n % 5 == 0 else f'[{{"action": "delete", "at": {n % 4}}}, {{"action": "dance", "at": 1}}, {{"action": "split", "at": 1}}]',
+            "roles": "?" if n % 5 == 0 else 'Roles: ["OPEN", "TURN"]',
+            "slots": "" if n % 5 == 0 else "\n".join(parts[: 1 + n % 4]),
+        }
+        return answers[self.reads]
 
 
 def instruction(kind: str, **values: object) -> str:
-    """The instruction of a kind with its values filled in; unknown kinds are an error."""
-    if kind not in INSTRUCTIONS:
-        raise ValueError(f"unknown instruction {kind}; known: {', '.join(sorted(INSTRUCTIONS))}")
-    return INSTRUCTIONS[kind].format_map(values)
+    """The instruction of an operator with its values filled in; unknown ones are an error."""
+    return told({"summary": "neutral_summary", "plan": "plan_content", "variants": "sentence_variants", "judge": "rank_candidates"}.get(kind, kind), **values)

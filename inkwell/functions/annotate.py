@@ -99,3 +99,39 @@ def triples(c: Column) -> Column:
         return F.when(F.size(t) == 0, F.array().cast("array<string>")).otherwise(F.transform(at, one))
 
     return tx.let(tx.tokens(c), read)
+
+
+#: One letter for each tag, so that phrases are found by patterns over them.
+LETTERS = {"NUM": "M", "PRON": "O", "DET": "D", "CCONJ": "C", "SCONJ": "S", "AUX": "X", "ADP": "P", "ADV": "R", "VERB": "V", "ADJ": "J", "NOUN": "N"}
+PHRASE = "D?[RJM]*N+(?:PD?[RJM]*N+|CD?[RJM]*N+)*"
+
+
+def phrases(c: Column) -> Column:
+    """Noun phrases: determiner, modifiers, nouns, and what prepositions and conjunctions add to them, in text order."""
+    code = F.create_map(*(F.lit(x) for pair in LETTERS.items() for x in pair))
+
+    def read(t: Column) -> Column:
+        letters = F.array_join(F.transform(t, lambda w: code[tag(w)]), "")
+
+        def cut(s: Column) -> Column:
+            gaps = F.transform(F.split(s, PHRASE, -1), F.length)
+            runs = F.transform(F.regexp_extract_all(s, F.lit(PHRASE), F.lit(0)), F.length)
+            both = F.zip_with(F.slice(gaps, F.lit(1), F.size(runs)), runs, lambda g, n: F.struct(g.alias("gap"), n.alias("n")))
+            start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+            return F.aggregate(both, start, lambda a, x: F.struct((a["at"] + x["gap"] + x["n"]).alias("at"), F.concat(a["out"], F.array(F.array_join(F.slice(t, a["at"] + x["gap"] + 1, x["n"]), " "))).alias("out")), lambda a: a["out"])
+
+        return tx.let(letters, cut)
+
+    return tx.let(tx.tokens(c), read)
+
+
+def core(phrase: Column) -> Column:
+    """A phrase without determiners and marks."""
+    return F.array_join(F.filter(tx.tokens(phrase), lambda w: tag(w) != "DET"), " ")
+
+
+def discourse_markers(c: Column) -> Column:
+    """Adverbs and conjunctions that begin a sentence or follow a comma or semicolon, in text order."""
+    parts = F.flatten(F.transform(tx.sentences(c), lambda s: F.split(s, r"[,;]\s*")))
+    first = F.transform(parts, lambda p: F.get(tx.tokens(p), F.lit(0)))
+    return F.filter(first, lambda w: w.isNotNull() & tag(w).isin("ADV", "SCONJ", "CCONJ"))

@@ -104,26 +104,36 @@ def adherence(anchors: Column, generated: Column) -> Column:
     return F.when(F.size(anchors) == 0, 1.0).otherwise(found / F.size(anchors))
 
 
+def echo_parts(c: Column) -> Column:
+    """What an echo is judged by: the sentence in lower case, and its words without marks."""
+    low = F.lower(c)
+    bare = F.filter(F.transform(tx.words(low), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}_]", "")), lambda w: w != "")
+    return F.struct(tx.strip(low).alias("text"), bare.alias("words"))
+
+
+def echo(a: Column, b: Column) -> Column:
+    """Whether the sentence of parts b begins as that of parts a began, or with what it ended in."""
+    p, n = a["words"], b["words"]
+    both = (F.size(p) >= 2) & (F.size(n) >= 2)
+    head = (F.get(p, F.lit(0)) == F.get(n, F.lit(0))) & (F.get(p, F.lit(1)) == F.get(n, F.lit(1)))
+    first, last = F.get(n, F.lit(0)), F.element_at(p, -1)
+    rare = ~first.isin(lx.ECHO_COMMON)
+    tail6 = F.slice(p, F.greatest(F.size(p) - 5, F.lit(1)), F.lit(6))
+    tail3 = F.slice(p, F.greatest(F.size(p) - 2, F.lit(1)), F.lit(3))
+    tail2 = F.slice(p, F.greatest(F.size(p) - 1, F.lit(1)), F.lit(2))
+    start = F.slice(n, 1, 3)
+    near = rare & F.array_contains(tail2, first) & (F.size(F.filter(start, lambda w: F.array_contains(tail6, w))) >= 2)
+    pair = F.exists(F.sequence(F.lit(0), F.lit(1)), lambda i: F.exists(F.sequence(F.lit(0), F.lit(1)), lambda k: F.coalesce((F.get(start, i) == F.get(tail3, k)) & (F.get(start, i + 1) == F.get(tail3, k + 1)), F.lit(False))))
+    there = (a["text"] != "") & (b["text"] != "")
+    return F.coalesce(there & (b["text"].startswith(a["text"]) | (both & (head | ((first == last) & rare) | near | pair))), F.lit(False))
+
+
 def echoes(before: Column, after: Column) -> Column:
     """Whether a sentence begins as the one before it began, or with what that one ended in."""
+    return tx.let(F.struct(echo_parts(before).alias("a"), echo_parts(after).alias("b")), lambda s: echo(s["a"], s["b"]))
+
 
-    def clean(c: Column) -> Column:
-        return F.filter(F.transform(tx.words(F.lower(c)), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}_]", "")), lambda w: w != "")
-
-    def judge(s: Column) -> Column:
-        p, n = s["p"], s["n"]
-        both = (F.size(p) >= 2) & (F.size(n) >= 2)
-        head = F.slice(p, 1, 2) == F.slice(n, 1, 2)
-        first, last = F.get(n, F.lit(0)), F.element_at(p, -1)
-        rare = ~first.isin(lx.ECHO_COMMON)
-        tail6 = F.slice(p, F.greatest(F.size(p) - 5, F.lit(1)), F.lit(6))
-        tail3 = F.slice(p, F.greatest(F.size(p) - 2, F.lit(1)), F.lit(3))
-        tail2 = F.slice(p, F.greatest(F.size(p) - 1, F.lit(1)), F.lit(2))
-        start = F.slice(n, 1, 3)
-        near = F.array_contains(tail2, first) & rare & (F.size(F.filter(start, lambda w: F.array_contains(tail6, w))) >= 2)
-        pair = F.arrays_overlap(tx.grams(start, 2), tx.grams(tail3, 2))
-        return F.when(both, head | ((first == last) & rare) | near | F.coalesce(pair, F.lit(False))).otherwise(False)
-
-    a, b = tx.strip(F.lower(before)), tx.strip(F.lower(after))
-    there = (a != "") & (b != "")
-    return F.coalesce(there & (b.startswith(a) | tx.let(F.struct(clean(a).alias("p"), clean(b).alias("n")), judge)), F.lit(False))
+def echoing(sentences: Column) -> Column:
+    """Places (from 0) of the sentences of a list that echo the one before; each sentence is cleaned once."""
+    none = F.array().cast("array<int>")
+    return tx.let(F.transform(sentences, echo_parts), lambda xs: F.when(F.size(xs) < 2, none).otherwise(F.filter(F.sequence(F.lit(1), F.size(xs) - 1), lambda i: echo(F.get(xs, i - 1), F.get(xs, i)))))

@@ -9,8 +9,8 @@ from . import lexicon as lx
 from . import text as tx
 
 # Words that mark an edit or ask for a rewrite.
-EDITS = ["remove", "delete", "replace", "change", "insert", "add", "fix"]
-REWRITES = ["rewrite", "start over", "completely", "entire"]
+EDITS = ["remove", "delete", "cut", "replace", "change", "substitute", "swap", "insert", "add", "fix", "correct"]
+REWRITES = ["rewrite", "restructure", "reorganize", "rephrase", "completely", "entire", "whole", "match the structure", "follow the pattern", "adopt the style", "emulate", "mirror"]
 
 
 def json_text(c: Column) -> Column:
@@ -117,3 +117,16 @@ def zipped(skeletons: Column, inputs: Column) -> Column:
 def cycled(items: Column, n: int) -> Column:
     """Cut to n items, or repeated in turn up to n."""
     return F.slice(F.flatten(F.array_repeat(items, n)), 1, n)
+
+
+def repaired(sentences: Column, plan: Column) -> Column:
+    """Sentences after a plan's deletions and merges with the next one (action, at: 1-based), in order; what points past the end is skipped."""
+
+    def step(a: Column, p: Column) -> Column:
+        n = F.size(a)
+        before, here, after = F.slice(a, F.lit(1), p["at"] - 1), F.get(a, p["at"] - 1), F.get(a, p["at"])
+        rest = F.slice(a, p["at"] + 1, F.greatest(n - p["at"], F.lit(0)))
+        merged = F.concat(before, F.array(F.concat_ws(" ", here, after)), F.slice(a, p["at"] + 2, F.greatest(n - p["at"] - 1, F.lit(0))))
+        return F.when(p["at"] > n, a).when(p["action"] == "delete", F.concat(before, rest)).when((p["action"] == "merge_with_next") & after.isNotNull(), merged).otherwise(a)
+
+    return F.aggregate(plan, sentences, step)

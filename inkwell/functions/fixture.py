@@ -1,7 +1,8 @@
-"""Small tables that exist alike in Spark and in SQL."""
+"""Tables that exist alike in Spark and in SQL: small ones, and ones made from the supplied tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +31,7 @@ class Fixture:
     schema: str
     rows: list[tuple]
 
-    def df(self, spark: SparkSession) -> DataFrame:
+    def df(self, spark: SparkSession, sf_dir: str = "") -> DataFrame:
         return spark.createDataFrame(self.rows, self.schema)
 
     def cte(self) -> str:
@@ -38,3 +39,18 @@ class Fixture:
         raw = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in self.rows)
         casts = ", ".join(f"CAST(c{i} AS {KINDS[kind]}) AS {name}" for i, (name, kind) in enumerate(fields))
         return f"{self.name} AS (SELECT {casts} FROM (VALUES {raw}) v({', '.join(f'c{i}' for i in range(len(fields)))}))"
+
+
+@dataclass(frozen=True)
+class Made:
+    """Rows made from a supplied table; sql defines them, under the name, after whatever they need."""
+
+    name: str
+    sql: str
+    build: Callable[[SparkSession, str], DataFrame]
+
+    def df(self, spark: SparkSession, sf_dir: str = "") -> DataFrame:
+        return self.build(spark, sf_dir)
+
+    def cte(self) -> str:
+        return self.sql

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import lexicon as lx
 from . import text as tx
 
+# How dialogue and fragments begin; case does not count.
 DIALOGUE = [r"^(And|But|So|Then) [a-z]", r"^If you (could|can|see)", r"^Then came", r'^"?[A-Z][a-z]+:', r"^Concerning", r"^What (if|about)"]
 SLOT = r"\[[^\]]+\]"
 MAJOR = r"\[(?:NP|VP|CLAUSE|ADJ|ADV)(?:\s+[^\]]+)?\]"
@@ -31,7 +32,7 @@ def valid_template(c: Column) -> Column:
         F.size(w) < 6,
         ~F.lower(c).rlike("[aeiouy]"),
         tx.starts_any(F.lower(s), lx.NAVIGATION_STARTS),
-        *(c.rlike(p) for p in DIALOGUE),
+        *(c.rlike("(?i)" + p) for p in DIALOGUE),
         ~s.rlike(r"[.!?\"']$"),
         s.rlike(r"^\[?\d+\]?\.?\s*[A-Z]"),
         (F.upper(c) == c) & c.rlike("[A-Za-z]") & (F.size(w) < 10),

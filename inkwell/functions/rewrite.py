@@ -11,6 +11,13 @@ from . import text as tx
 
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 
+# Citations that models invent, spans that cleaning leaves alone, spacing, chapter numbers and answer prefixes.
+AUTHOR_YEAR = [r"\([A-Z][a-z]+,?\s+\d{4}(?:,\s*p\.\s*#?)?\)", r"(?i)\(Author,?\s+Year,?\s+p\.\s*#\)", r"\([A-Z][a-z]+\s+\d+\)"]
+PROTECTED = r"""\[\^\d+\]|["'](?:\\["']|[^"'])*["']"""
+SPACING = [(r"\s+([.,!?;:])", "$1"), (r"\.{2,}", "...")]
+NUMBERED = r"(?i)\b(chapter|section|part)\s+([0-9]+|[ivx]+)\b"
+PREFIX = r"(?i)^(output|response|rewritten):\s*"
+
 
 def sanitize(c: Column) -> Column:
     """Written-out line feeds and all kinds of line ends become line feeds; blank runs, tabs, control characters and edges go."""
@@ -37,23 +44,43 @@ def without_phantoms(generated: Column, expected: Column) -> Column:
 
 def with_citations(generated: Column, source: Column) -> Column:
     """Author-year forms and phantom citations out; what is missing of the source's, appended in order before the last mark."""
-    plain = F.regexp_replace(generated, r"\s*\([A-Z][a-z]+,?\s+\d{4}(?:,\s*p\.\s*#?)?\)", "")
+    plain = F.regexp_replace(generated, r"\s*" + AUTHOR_YEAR[0], "")
     kept = without_phantoms(plain, cp.citations(source))
     missing = F.array_except(cp.citations(source), cp.citations(generated))
     return F.when(F.size(missing) == 0, kept).otherwise(F.concat(F.regexp_replace(kept, r"[.!?]+$", ""), F.array_join(missing, ""), F.coalesce(F.nullif(F.regexp_extract(kept, r"([.!?]+)$", 1), F.lit("")), F.lit("."))))
 
 
+def tidied(c: Column) -> Column:
+    """No space before marks, dots in threes."""
+    for pattern, new in SPACING:
+        c = F.regexp_replace(c, pattern, new)
+    return c
+
+
+def capitalised(c: Column, first: Column) -> Column:
+    """The letter after a final mark and white space in upper case, and the first one where `first` holds."""
+    parts = F.split(F.regexp_replace(c, r"([.!?]\s+)([a-z])", "$1\u0002$2"), "\u0002", -1)
+    up = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 2**31 - 1))
+    return F.array_join(F.transform(parts, lambda x, i: F.when((i > 0) | (first & x.rlike("^[a-z]")), up(x)).otherwise(x)), "")
+
+
 def clean_generated(c: Column) -> Column:
-    """What a model wrote around a text, out: instruction lines, author-year citations, headings; spaces before marks and dots in order."""
-    low = F.split(c, r"(?i)Rewrite:?\s*")
+    """What a model wrote around a text, out: instruction lines, author-year citations, headings; spacing, dots and capitals in order.
+
+    Citations and quotes of more than two characters stay as they are.
+    """
+    low = F.split(c, r"(?i)rewrite:?[ \t\n\r\f]*", -1)
     c = F.when(c.rlike("(?i)rewrite"), tx.strip(F.element_at(low, -1))).otherwise(c)
     c = F.array_join(F.filter(F.split(c, "\n"), lambda x: ~(tx.starts_any(tx.strip(x), lx.INSTRUCTIONS) | tx.strip(x).isin("===", "---", ""))), "\n")
-    for pattern in (r"\([A-Z][a-z]+,?\s+\d{4}(?:,\s*p\.\s*#?)?\)", r"(?i)\(Author,?\s+Year,?\s+p\.\s*#\)", r"\([A-Z][a-z]+\s+\d+\)"):
+    for pattern in AUTHOR_YEAR:
         c = F.regexp_replace(c, pattern, "")
-    c = F.regexp_replace(c, r"\s+([.,!?;:])", "$1")
-    c = F.regexp_replace(c, r"\.{2,}", "...")
-    c = F.regexp_replace(c, r"(?i)\b(chapter|section|part)\s+([0-9]+|[ivx]+)\b", "")
-    return tx.strip(F.regexp_replace(c, r"(?i)^(output|response|rewritten):\s*", ""))
+
+    def mend(t: Column) -> Column:
+        spans = F.transform(F.regexp_extract_all(t, F.lit(PROTECTED), F.lit(0)), lambda q: F.when(q.startswith("[^") | (F.length(F.regexp_replace(q, "^[\"']+|[\"']+$", "")) > 2), q).otherwise(tidied(q)))
+        parts = F.transform(F.split(t, PROTECTED, -1), lambda x, i: F.regexp_replace(capitalised(tidied(x), i == 0), NUMBERED, ""))
+        return F.array_join(F.flatten(F.zip_with(parts, spans, lambda p, q: F.array(p, F.coalesce(q, F.lit(""))))), "")
+
+    return tx.strip(F.regexp_replace(tx.let(c, mend), PREFIX, ""))
 
 
 def replaced(c: Column, violations: Column, palette: Column) -> Column:
@@ -62,7 +89,7 @@ def replaced(c: Column, violations: Column, palette: Column) -> Column:
     def one(w: Column) -> Column:
         bare = F.lower(F.regexp_replace(w, r"[^\p{L}]", ""))
         new = F.coalesce(palette[bare], F.lit(""))
-        cased = F.when(w.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, 2, 100))).otherwise(new)
+        cased = F.when(w.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, 2, 2**31 - 1))).otherwise(new)
         tail = F.regexp_extract(w, r"[^\p{L}]*$", 0)
         return F.when(F.array_contains(violations, bare), F.concat(cased, tail)).otherwise(w)
 

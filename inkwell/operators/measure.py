@@ -76,6 +76,22 @@ def point_of_view(docs: DataFrame, by: str = "source") -> DataFrame:
     return out.withColumn("pov", pov)
 
 
+def profile(sentences: DataFrame, by: str = "source") -> DataFrame:
+    """Rhythm, punctuation and person of each group from one pass over its sentences, each tokenised once."""
+    c, t = F.col("sentence"), F.col("_t")
+    marks = {"_s": ";", "_d": r"(?:^|\s)[—–-](?:\s|$)|[—–]", "_e": "!"}
+    people = {"_one": lx.FIRST_SINGULAR, "_many": lx.FIRST_PLURAL, "_third": lx.THIRD_PERSON}
+    each = sentences.withColumn("_t", tx.tokens(c)).select(by, F.size(t).cast("double").alias("_n"), *(F.regexp_count(c, F.lit(p)).alias(a) for a, p in marks.items()), *(tx.among(t, x).alias(a) for a, x in people.items()))
+    out = each.groupBy(by).agg(F.count("*").alias("n_sentences"), F.avg("_n").alias("_avg"), F.stddev_pop("_n").alias("_sd"), *(F.sum(a).alias(a) for a in (*marks, *people)))
+    cv = F.when(F.col("_avg") > 0, F.col("_sd") / F.col("_avg")).otherwise(0.0)
+    rate = {a: F.col(a) * 100.0 / F.col("n_sentences") for a in marks}
+    mark, person = F.greatest(*rate.values()), F.greatest(*people)
+    prefers = F.when(mark < 1.0, "Standard").when(rate["_s"] == mark, "Semicolons").when(rate["_d"] == mark, "Dashes").otherwise("Exclamations")
+    pov = F.when(person == 0, "Third Person").when(F.col("_one") == person, "First Person Singular").when(F.col("_many") == person, "First Person Plural").otherwise("Third Person")
+    label = F.when(F.col("_avg") > 0, rhythm_label(cv)).otherwise("Unknown")
+    return out.select(by, "n_sentences", F.col("_avg").alias("mean_words"), cv.alias("burstiness"), label.alias("rhythm_desc"), prefers.alias("punctuation_preference"), pov.alias("pov"))
+
+
 def voice(c: Column) -> Column:
     """1st, 2nd, 3rd or neutral by pronouns; of equal counts the first named."""
     t = tx.tokens(c)
@@ -98,12 +114,14 @@ def scaled(v: Column, low: float, high: float) -> Column:
 def style_struct(c: Column) -> Column:
     """Style measures of a text, each brought to 0..1; those that need a tagger use word lists and suffixes."""
 
-    def from_tokens(t: Column) -> Column:
-        s = tx.sentences(c)
+    def from_sentences(s: Column) -> Column:
+        return tx.let(F.flatten(s), lambda t: from_tokens(s, t))
+
+    def from_tokens(s: Column, t: Column) -> Column:
         n, m = F.greatest(F.size(t), F.lit(1)).cast("double"), F.greatest(F.size(s), F.lit(1)).cast("double")
-        each = F.transform(s, lambda x: tx.let(tx.tokens(x), lambda y: tx.among(y, lx.SUBORDINATORS) + F.floor(0.5 * tx.among(y, lx.COORDINATORS))))
+        each = F.transform(s, lambda y: tx.among(y, lx.SUBORDINATORS) + F.floor(0.5 * tx.among(y, lx.COORDINATORS)))
         clauses = F.coalesce(F.array_max(each), F.lit(0)).cast("double")
-        passive = F.size(F.filter(tx.grams(t, 2), lambda g: g.rlike(r"^(am|is|are|was|were|be|been|being) \S+(ed|en)$"))).cast("double")
+        passive = F.size(F.filter(t, lambda w, i: w.isin(lx.BE_FORMS) & F.coalesce(F.get(t, i + 1).rlike("^\\S+(ed|en)$"), F.lit(False)))).cast("double")
         be = F.greatest(tx.among(t, lx.BE_FORMS), F.lit(1)).cast("double")
         letters = F.aggregate(t, F.lit(0).cast("long"), lambda a, w: a + F.length(w)).cast("double")
         return F.struct(
@@ -115,7 +133,7 @@ def style_struct(c: Column) -> Column:
             scaled(letters / n, 3.0, 8.0).alias("word_length"),
         )
 
-    return tx.let(tx.tokens(c), from_tokens)
+    return tx.let(F.transform(tx.sentences(c), tx.tokens), from_sentences)
 
 
 DIMENSIONS = ["length", "marks", "stops", "depth_lex", "passive_lex", "word_length"]
@@ -152,3 +170,87 @@ def composite(metrics: dict[str, Column]) -> Column:
     weighted = sum((F.coalesce(c, zero) * lx.WEIGHTS.get(k, 0.0) for k, c in metrics.items()), zero)
     plain = sum((F.coalesce(c, zero) for c in metrics.values()), zero)
     return F.when(there == 0, 0.5).when(total == 0, plain / there).otherwise(F.greatest(zero, F.least(F.lit(1.0), weighted / total)))
+
+
+def adjectives_to_verbs(c: Column) -> Column:
+    """Adjectives by verbs, 0 to 3 brought to 0..1."""
+    from ..functions import annotate as an
+
+    return tx.let(an.tags(c), lambda k: scaled(F.size(F.filter(k, lambda x: x == "ADJ")) / F.greatest(F.size(F.filter(k, lambda x: x == "VERB")), F.lit(1)), 0.0, 3.0))
+
+
+def paragraph_features(paragraphs: DataFrame, least: int = 2) -> DataFrame:
+    """paragraphs of at least so many sentences, with nine features; heads are the nearest verbs, as no parser is at hand."""
+    from ..functions import annotate as an
+
+    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(xs), F.lit(1))
+
+    def read(s: Column) -> Column:
+        return tx.let(F.struct(s.alias("s"), F.flatten(s).alias("t"), F.transform(F.flatten(s), an.tag).alias("k"), F.transform(s, lambda x: F.size(x).cast("double")).alias("lens")), told)
+
+    def told(x: Column) -> Column:
+        s, t, k, lens = x["s"], x["t"], x["k"], x["lens"]
+        n = F.greatest(F.size(k), F.lit(1))
+        share = lambda tag: F.size(F.filter(k, lambda y: y == tag)) / n
+        avg = mean(lens)
+        spread = tx.let(avg, lambda m: F.sqrt(mean(F.transform(lens, lambda v: (v - m) * (v - m)))))
+
+        def heads(verbs: Column) -> Column:
+            return F.when(F.size(verbs) == 0, 0.0).otherwise(mean(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_min(F.transform(verbs, lambda v: F.abs(v - i))).cast("double"))))
+
+        verbs = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(k, i) == "VERB")
+        return F.struct(
+            F.size(s).cast("double").alias("sentence_count"), avg.alias("avg_len"), F.when(avg > 0, spread / avg).otherwise(0.0).alias("burstiness"), tx.let(verbs, heads).alias("complexity"),
+            (F.size(F.filter(t, lambda w: w.isin(lx.SUBORDINATORS))) / F.size(s)).alias("clause_density"), share("NOUN").alias("noun_ratio"), share("VERB").alias("verb_ratio"), share("ADJ").alias("adj_ratio"),
+        )
+
+    rows = paragraphs.withColumn("_f", tx.let(F.transform(tx.sentences(F.col("paragraph")), tx.tokens), lambda s: F.when(F.size(s) >= least, read(s))))
+    return rows.where(F.col("_f").isNotNull()).select(*paragraphs.columns, "_f.*", F.col("paragraph").endswith("?").cast("double").alias("ends_question"))
+
+
+def gated(rows: DataFrame, score: str, least: int) -> DataFrame:
+    """Rows with score enough, numbered anew within their document."""
+    order = Window.partitionBy("doc_id").orderBy("para_idx")
+    return rows.where(F.col(score) >= least).withColumn("seq_id", F.row_number().over(order) - 1)
+
+
+def described(rows: DataFrame) -> DataFrame:
+    """Archetypes' means, labels and best-scored paragraph (the first of equals), and as -1 those of all."""
+    best = F.min_by("paragraph", F.struct((-F.col("style_score")).alias("s"), "doc_id", "para_idx"))
+    out = rows.rollup("archetype_id").agg(
+        F.count("*").alias("n"), F.round(F.avg("sentence_count"), 1).alias("avg_sents"), F.round(F.avg("avg_len"), 1).alias("mean_len"), F.when(F.avg("burstiness") > 0.6, "High").otherwise("Low").alias("rhythm"),
+        F.when(F.avg("noun_ratio") > 0.25, "Noun-Heavy/Academic").otherwise("Balanced").alias("style"), F.round(F.avg("style_score"), 1).alias("avg_style_score"), F.round(F.avg("noun_ratio"), 3).alias("nouns"), F.round(F.avg("clause_density"), 3).alias("clauses"), best.alias("example"),
+    )
+    return out.select(F.coalesce("archetype_id", F.lit(-1)).alias("archetype_id"), "n", "avg_sents", F.col("mean_len").alias("avg_len"), F.col("rhythm").alias("burstiness"), "style", "avg_style_score", F.col("nouns").alias("noun_ratio"), F.col("clauses").alias("clause_density"), "example")
+
+
+def cluster_number(n: Column, least: int = 8, most: int = 50) -> Column:
+    """The square root of the number of paragraphs within bounds; under ten paragraphs as many as there are, up to the least."""
+    return F.when(n < 10, F.least(n, F.lit(least))).otherwise(F.greatest(F.lit(least), F.least(F.floor(F.sqrt(n)).cast("long"), F.lit(most)))).cast("long")
+
+
+def polarity_words(docs: DataFrame, k: int) -> DataFrame:
+    """Of the 3k most frequent adjectives and verbs the first k of each polarity."""
+    from ..functions import annotate as an
+
+    words = docs.select(F.explode(tx.tokens(F.col("text"))).alias("word")).where(F.length("word") > 2).groupBy("word").agg(F.count("*").alias("n"))
+    top = words.where(an.tag(F.col("word")).isin("ADJ", "VERB") & ~F.col("word").isin(lx.STOPS)).orderBy(F.desc("n"), "word").limit(3 * k)
+    mood = F.when(F.col("word").isin(lx.POSITIVE), "positive").when(F.col("word").isin(lx.NEGATIVE), "negative").otherwise("neutral")
+    order = Window.partitionBy("polarity").orderBy(F.desc("n"), "word")
+    return top.withColumn("polarity", mood).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("polarity", "word", "n", "rank")
+
+
+def palette(docs: DataFrame, k: int, by: str = "source") -> DataFrame:
+    """Each author's distinct adverbs before adjectives and its k most frequent nouns, verbs and adjectives."""
+    from ..functions import annotate as an
+
+    words = docs.select(by, F.explode(tx.tokens(F.col("text"))).alias("word")).where(~F.col("word").isin(lx.STOPS)).groupBy(by, "word").agg(F.count("*").alias("n")).where(an.tag(F.col("word")).isin("NOUN", "VERB", "ADJ"))
+    top = words.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), "word"))).where(F.col("rank") <= k)
+    general = top.groupBy(F.col(by).alias("_g")).agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("_w"))
+
+    def before(x: Column) -> Column:
+        return F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(x["t"]) - 2, F.lit(0))), lambda i: F.coalesce((F.get(x["k"], i) == "ADV") & (F.get(x["k"], i + 1) == "ADJ"), F.lit(False))), lambda i: F.get(x["t"], i))
+
+    found = docs.select(by, F.explode_outer(F.array_distinct(tx.let(F.struct(tx.tokens(F.col("text")).alias("t"), an.tags(F.col("text")).alias("k")), before))).alias("w"))
+    each = found.groupBy(by).agg(F.array_sort(F.collect_set("w")).alias("intensifiers"))
+    return each.join(general, F.col(by).eqNullSafe(F.col("_g")), "left").select(by, "intensifiers", F.coalesce(F.col("_w.word"), F.array().cast("array<string>")).alias("general"))

@@ -10,25 +10,43 @@ from ..functions import lexicon as lx
 from ..functions import text as tx
 
 
+def runs(items: Column) -> Column:
+    """(item, n) of each distinct item of a list of strings that it has more than once; one sort, then one pass."""
+
+    def cut(xs: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(xs) - 1), lambda i: (i == 0) | (F.get(xs, i) != F.get(xs, i - 1)))
+        each = tx.let(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(xs, i).alias("item"), (F.coalesce(F.get(at, k + 1), F.size(xs)) - i).cast("long").alias("n"))))
+        return F.when(F.size(xs) < 2, F.array().cast("array<struct<item: string, n: bigint>>")).otherwise(F.filter(each, lambda x: x["n"] > 1))
+
+    return tx.let(F.array_sort(items), cut)
+
+
 def repeated_grams(docs: DataFrame, n: int, key: str = "doc_id", *, content: bool = False) -> DataFrame:
-    """n-grams that a text has more than once, without connectors; content: none with a function word."""
-    rows = docs.select(key, F.explode(tx.grams(tx.tokens(F.col("text")), n)).alias("phrase"))
+    """n-grams that a text has more than once, without connectors; content: none with a function word. Counted within the row: nothing is shuffled."""
+    found = F.filter(tx.grams(tx.tokens(F.col("text")), n), lambda g: ~tx.has_any(g, lx.GLUE))
     if content:
-        rows = rows.where(~F.arrays_overlap(F.split("phrase", " "), F.array(*map(F.lit, lx.STOPS))))
-    counts = rows.groupBy(key, "phrase").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    return counts.where(~tx.has_any(F.col("phrase"), lx.GLUE))
+        found = F.filter(found, lambda g: ~F.arrays_overlap(F.split(g, " "), F.array(*map(F.lit, lx.STOPS))))
+    return docs.select(key, F.explode(runs(found)).alias("_r")).select(key, F.col("_r.item").alias("phrase"), F.col("_r.n").alias("n"))
 
 
 def proximal(docs: DataFrame, key: str = "doc_id", reach: int = 10) -> DataFrame:
-    """Words that are no function words and come again within `reach` words, once per text.
+    """Words that are no function words and come again within `reach` words, with the least gap, once per text.
 
-    The places of a word are kept as one sorted list per text, so the only
-    shuffle is that of (text, word) groups, combined on the map side.
+    (word, place) pairs are sorted within the row, so that uses of a word are
+    neighbours there: nothing is shuffled.
     """
-    rows = docs.select(key, F.posexplode(tx.tokens(F.col("text"))).alias("pos", "word")).where(~F.col("word").isin(lx.STOPS))
-    order = Window.partitionBy(key, "word").orderBy("pos")
-    gap = F.lead("pos").over(order) - F.col("pos")
-    return rows.withColumn("gap", gap).where(F.col("gap") <= reach).groupBy(key, "word").agg(F.min("gap").cast("long").alias("least_gap"))
+    kind = "array<struct<word: string, gap: bigint>>"
+    placed = F.filter(F.transform(tx.tokens(F.col("text")), lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda x: ~x["word"].isin(lx.STOPS))
+
+    def gaps(xs: Column) -> Column:
+        near = F.filter(F.sequence(F.lit(1), F.size(xs) - 1), lambda i: (F.get(xs, i)["word"] == F.get(xs, i - 1)["word"]) & (F.get(xs, i)["pos"] - F.get(xs, i - 1)["pos"] <= reach))
+        return F.when(F.size(xs) < 2, F.array().cast(kind)).otherwise(F.transform(near, lambda i: F.struct(F.get(xs, i)["word"].alias("word"), (F.get(xs, i)["pos"] - F.get(xs, i - 1)["pos"]).cast("long").alias("gap"))))
+
+    def least(xs: Column) -> Column:
+        return F.filter(xs, lambda x, i: (i == 0) | (x["word"] != F.get(xs, i - 1)["word"]))
+
+    found = tx.let(F.array_sort(tx.let(F.array_sort(placed), gaps)), least)
+    return docs.select(key, F.explode(found).alias("_g")).select(key, F.col("_g.word").alias("word"), F.col("_g.gap").alias("least_gap"))
 
 
 def budget(tokens: DataFrame, allowed: int, distance: int, restricted: list[str] = lx.RESTRICTED) -> DataFrame:
@@ -62,15 +80,16 @@ def rhythm_similarity(a: Column, b: Column) -> Column:
     return count * 0.15 + opener * 0.35 + pattern_overlap(a["lengths"], b["lengths"]) * 0.15 + pattern_overlap(a["types"], b["types"]) * 0.35
 
 
-def diversity(maps: DataFrame, reach: int = 50) -> DataFrame:
-    """How new each paragraph's structure is among its text's `reach` paragraphs before it: 0 if the same was there.
+def diversity(maps: DataFrame) -> DataFrame:
+    """How new each paragraph's structure is among all paragraphs of its text before it: 0 if the same was there.
 
-    maps: doc_id, pos, opener, lengths, types. The window bounds what a row looks back at.
+    maps: doc_id, pos, opener, lengths, types. A structure is compared with
+    each distinct earlier one, so a text is held as its set of structures.
     """
     one = F.struct("opener", "lengths", "types")
-    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(-reach, -1)
-    past = maps.withColumn("_own", one).withColumn("_past", F.collect_list(one).over(before))
-    most = F.array_max(F.transform("_past", lambda p: F.when(p == F.col("_own"), 1.0).otherwise(rhythm_similarity(p, F.col("_own")))))
+    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    past = maps.withColumn("_own", one).withColumn("_past", F.collect_set(one).over(before))
+    most = F.array_max(F.transform("_past", lambda p: F.when(p.eqNullSafe(F.col("_own")), 1.0).otherwise(rhythm_similarity(p, F.col("_own")))))
     return past.select("doc_id", "pos", F.round(1.0 - F.coalesce(most, F.lit(0.0)), 6).alias("diversity"))
 
 

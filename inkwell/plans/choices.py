@@ -11,28 +11,36 @@ from ..functions import classify as cl
 from ..functions import gates as gt
 from ..functions import lexicon as lx
 from ..functions import text as tx
-from ..functions.fixture import Fixture
-from .registry import SENTS, among_sql, list_sql, query, table, tokens_sql
+from ..functions.fixture import Fixture, Made
+from .made import CANDIDATE_PARAS, SENT_CASES, TEMPLATE_SENTS, tag_sql
+from .registry import SENTS, among_sql, list_sql, over, query, table, tokens_sql
 from .rules import CASES, PERSONS, SYNTAX, TEMPLATES
-from .tags import tag_sql
 from .texts import sents
 
 T = tokens_sql("text")
 SKELETONS = Fixture("candidates", "id int, n_sents int, style int, capacity int, words int, used boolean", [(1, 3, 5, 4, 20, False), (2, 4, 2, 4, 31, True), (3, 4, 4, 6, 44, False), (4, 2, 1, 1, 29, False), (5, 4, 4, 6, 30, False)])
 
 
-@query(f"WITH {SKELETONS.cte()} SELECT id, round(0.5 / (1 + abs(n_sents - 4)) + 0.3 * style / 5.0 + 0.2 / (1 + abs(capacity - 4)), 6)::DOUBLE AS score FROM candidates")
-def robust_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
+@over(
+    SKELETONS,
+    CANDIDATE_PARAS,
+    f"SELECT id, round(0.5 / (1 + abs(n_sents - 4)) + 0.3 * style / 5.0 + 0.2 / (1 + abs(capacity - 4)), 6)::DOUBLE AS score FROM candidates",
+)
+def robust_skeleton(rows: DataFrame) -> DataFrame:
     """How well each skeleton serves four sentences and four propositions: half sentences, three tenths style, two tenths capacity."""
     score = 0.5 / (1 + F.abs(F.col("n_sents") - 4)) + 0.3 * F.col("style") / 5.0 + 0.2 / (1 + F.abs(F.col("capacity") - 4))
-    return SKELETONS.df(spark).select("id", F.round(score, 6).alias("score"))
+    return rows.select("id", F.round(score, 6).alias("score"))
 
 
-@query(f"WITH {SKELETONS.cte()} SELECT id, round(1.0 / (abs(words - 30) + 1), 6)::DOUBLE AS score FROM candidates WHERE NOT used ORDER BY 2 DESC, 1 LIMIT 3")
-def select_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+@over(
+    SKELETONS,
+    CANDIDATE_PARAS,
+    f"SELECT id, round(1.0 / (abs(words - 30) + 1), 6)::DOUBLE AS score FROM candidates WHERE NOT used ORDER BY 2 DESC, 1 LIMIT 3",
+)
+def select_template(rows: DataFrame) -> DataFrame:
     """The three best templates for thirty words among those not used of late."""
     score = F.round(1.0 / (F.abs(F.col("words") - 30) + 1), 6)
-    return SKELETONS.df(spark).where("not used").select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(3)
+    return rows.where("not used").select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(3)
 
 
 @query(f"WITH w AS (SELECT source, unnest({T}) AS w FROM documents) SELECT source, list_sort(coalesce(list(DISTINCT w) FILTER (list_contains({list_sql(lx.SENSORY_VERBS)}, w)), [])) AS sensory, list_sort(coalesce(list(DISTINCT w) FILTER (list_contains({list_sql([*lx.COORDINATORS, *lx.SUBORDINATORS])}, w)), [])) AS connectives FROM w GROUP BY source")
@@ -65,22 +73,32 @@ def context_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "para_idx", "x", F.posexplode("x").alias("sent_idx", "y")).select("doc_id", "para_idx", "sent_idx", "y.type", "y.sentiment", F.get("x.type", F.col("sent_idx") - 1).alias("previous_type"))
 
 
-@query(f"WITH {CASES.cte()}, p AS (SELECT id, {PERSONS['a']} AS a, {PERSONS['b']} AS b, {PERSONS['c']} AS c FROM cases) SELECT id, a > 0 AND b = 0 OR (a = 0 AND b = 0 AND c = 0) AS first_singular, a = 0 AND b = 0 AS third FROM p")
-def verify_perspective(spark: SparkSession, sf_dir: str) -> DataFrame:
+@over(
+    CASES,
+    SENT_CASES,
+    f", p AS (SELECT id, {PERSONS['a']} AS a, {PERSONS['b']} AS b, {PERSONS['c']} AS c FROM cases) SELECT id, a > 0 AND b = 0 OR (a = 0 AND b = 0 AND c = 0) AS first_singular, a = 0 AND b = 0 AS third FROM p",
+)
+def verify_perspective(rows: DataFrame) -> DataFrame:
     """Whether a text keeps to a person: its pronouns there (or none at all), another first person's not."""
     t = F.array_distinct(tx.tokens(F.col("text")))
     a, b, c = (tx.among(t, x) for x in (lx.FIRST_SINGULAR, lx.FIRST_PLURAL, lx.THIRD_PERSON))
-    return CASES.df(spark).select("id", (((a > 0) & (b == 0)) | ((a == 0) & (b == 0) & (c == 0))).alias("first_singular"), ((a == 0) & (b == 0)).alias("third"))
+    return rows.select("id", (((a > 0) & (b == 0)) | ((a == 0) & (b == 0) & (c == 0))).alias("first_singular"), ((a == 0) & (b == 0)).alias("third"))
 
 
 LABELS = Fixture("labels_given", "label string", [("First Person Singular",), ("first person (plural)",), ("Third Person",), ("I",), ("we",), ("other",)])
+GIVEN = "CASE doc_id % 5 WHEN 0 THEN 'First Person Singular' WHEN 1 THEN 'first person (plural)' WHEN 2 THEN 'Third Person' WHEN 3 THEN 'we' ELSE source END"
+LABEL_DOCS = Made("labels_given", f"labels_given AS (SELECT {GIVEN} AS label FROM documents)", lambda spark, sf_dir: table(spark, sf_dir, "documents").select(F.expr(GIVEN).alias("label")))
 
 
-@query(f"WITH {LABELS.cte()} SELECT label, CASE WHEN lower(label) = 'i' OR (contains(lower(label), 'first') AND contains(lower(label), 'singular')) THEN 'first_person_singular' WHEN lower(label) = 'we' OR (contains(lower(label), 'first') AND contains(lower(label), 'plural')) THEN 'first_person_plural' ELSE 'third_person' END AS perspective FROM labels_given")
-def normalize_perspective(spark: SparkSession, sf_dir: str) -> DataFrame:
+@over(
+    LABELS,
+    LABEL_DOCS,
+    f"SELECT label, CASE WHEN lower(label) = 'i' OR (contains(lower(label), 'first') AND contains(lower(label), 'singular')) THEN 'first_person_singular' WHEN lower(label) = 'we' OR (contains(lower(label), 'first') AND contains(lower(label), 'plural')) THEN 'first_person_plural' ELSE 'third_person' END AS perspective FROM labels_given",
+)
+def normalize_perspective(rows: DataFrame) -> DataFrame:
     low = F.lower("label")
     first = low.contains("first")
-    return LABELS.df(spark).select("label", F.when((low == "i") | (first & low.contains("singular")), "first_person_singular").when((low == "we") | (first & low.contains("plural")), "first_person_plural").otherwise("third_person").alias("perspective"))
+    return rows.select("label", F.when((low == "i") | (first & low.contains("singular")), "first_person_singular").when((low == "we") | (first & low.contains("plural")), "first_person_plural").otherwise("third_person").alias("perspective"))
 
 
 @query(
@@ -97,24 +115,39 @@ CACHE = Fixture("cache", "digest string, value string", [("c6bd3b4a6f0be2b5d4d5d
 ASKED = Fixture("asked", "text string", [("a",), ("b",)])
 
 
-@query(f"WITH {CACHE.cte()}, {ASKED.cte()} SELECT text, value, value IS NULL AS missing FROM asked LEFT JOIN cache ON md5(text) = digest")
+CACHED = Made(
+    "held",
+    "cache AS (SELECT md5(text) AS digest, 'kept ' || min(item_id) AS value FROM benchmark WHERE item_id % 2 = 0 GROUP BY md5(text)), asked AS (SELECT text FROM benchmark)",
+    lambda spark, sf_dir: table(spark, sf_dir, "benchmark").select("text", F.md5("text").alias("digest"), "item_id"),
+)
+
+
+@query(f"WITH {CACHED.cte()} SELECT md5(text) AS digest, value, value IS NULL AS missing FROM asked LEFT JOIN cache ON md5(text) = digest")
 def template_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cached answers by the digest of their text, and what is missing."""
+    """Cached answers by the digest of their text, and what is missing; the cache holds every second text."""
+    asked = CACHED.df(spark, sf_dir)
+    cache = asked.where("item_id % 2 = 0").groupBy("digest").agg(F.concat(F.lit("kept "), F.min("item_id").cast("string")).alias("value"))
+    return asked.select("digest").join(cache, "digest", "left").select("digest", "value", F.col("value").isNull().alias("missing"))
+
+
+@query(f"WITH {CACHE.cte()}, {ASKED.cte()} SELECT text, value, value IS NULL AS missing FROM asked LEFT JOIN cache ON md5(text) = digest")
+def template_cache_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ASKED.df(spark).withColumn("digest", F.md5("text")).join(CACHE.df(spark), "digest", "left").select("text", "value", F.col("value").isNull().alias("missing"))
 
 
-AUDIT = Fixture("audit", "id int, score int", [(1, 5), (2, 5), (3, 2), (4, 4), (6, 3), (7, None)])
 ANCHORS = r"len(list_filter(list_filter(regexp_split_to_array(regexp_replace(template, '\[[^\]]+\]', ' ', 'g'), '\s+'), lambda w: w <> ''), lambda w: regexp_matches(w, '[\p{L}\p{N}]')))"
 SLOTS = r"len(regexp_extract_all(template, '\[[^\]]+\]'))"
 
 
-@query(
-    f"""WITH {TEMPLATES.cte()}, {AUDIT.cte()}, h AS (SELECT t.id, coalesce(score, 3) AS score, length(template) >= 20 AND {ANCHORS} >= 2 AND {SLOTS} > 0 AND CAST({ANCHORS} AS DOUBLE) / ({ANCHORS} + {SLOTS}) < 0.8 AS valid FROM templates t LEFT JOIN audit a ON a.id = t.id)
-SELECT id, score, valid, valid AND score >= 3 AS kept FROM h"""
+@over(
+    TEMPLATES,
+    TEMPLATE_SENTS,
+    f""", h AS (SELECT id, coalesce(nullif(id % 6, 0), 3) AS score, length(template) >= 20 AND {ANCHORS} >= 2 AND {SLOTS} > 0 AND CAST({ANCHORS} AS DOUBLE) / ({ANCHORS} + {SLOTS}) < 0.8 AS valid FROM templates)
+SELECT id, score, valid, valid AND score >= 3 AS kept FROM h""",
 )
-def curate_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Templates kept: sound ones with a score of three or more; a missing score counts three."""
-    rows = TEMPLATES.df(spark).join(AUDIT.df(spark), "id", "left").select("id", F.coalesce("score", F.lit(3)).alias("score"), gt.anchor_health(F.col("template"))["valid"].alias("valid"))
+def curate_templates(rows: DataFrame) -> DataFrame:
+    """Templates kept: sound ones with a score (here from the id) of three or more; a missing score counts three."""
+    rows = rows.select("id", F.coalesce(F.nullif(F.col("id") % 6, F.lit(0)), F.lit(3)).alias("score"), gt.anchor_health(F.col("template"))["valid"].alias("valid"))
     return rows.withColumn("kept", F.col("valid") & (F.col("score") >= 3))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +58,26 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class Rows(Protocol):
+    """Rows that exist alike in Spark and in SQL."""
+
+    def df(self, spark: SparkSession, sf_dir: str = "") -> DataFrame: ...
+
+    def cte(self) -> str: ...
+
+
+def over(cases: Rows, rows: Rows, sql: str, extra: str = "") -> Callable[[Callable[[DataFrame], DataFrame]], Callable[[DataFrame], DataFrame]]:
+    """Registers an operator over DataFrames twice: on a table's rows under its name, and on small cases that reach every branch under name_cases.
+
+    sql: what follows the rows' definition. extra: more definitions before it.
+    """
+
+    def add(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+        for name, own in ((f.__name__, rows), (f"{f.__name__}_cases", cases)):
+            QUERIES[name] = lambda spark, sf_dir, own=own: f(own.df(spark, sf_dir))
+            SQL[name] = f"WITH {own.cte()}{', ' + extra if extra else ''}{sql if sql.startswith(',') else ' ' + sql}"
+        return f
+
+    return add

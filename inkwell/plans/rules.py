@@ -11,7 +11,8 @@ from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..functions.fixture import Fixture
 from ..operators import measure as ms
-from .registry import SENTS, among_sql, any_sql, list_sql, query, table, tokens_sql, words_sql
+from .made import ENDING_PARAS, FIT_TURNS, METRIC_DOCS, SENT_CASES, TEMPLATE_SENTS, TURNS, turn_pairs
+from .registry import SENTS, among_sql, any_sql, list_sql, over, query, table, tokens_sql, words_sql
 from .texts import sents
 
 CASES = Fixture(
@@ -88,13 +89,15 @@ def input_perspective(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENDINGS = Fixture("endings", "id int, paragraph string", [(1, "The door closed. Ultimately, the lesson is that time heals."), (2, "The door closed. He put 3 coins by the 2 keys at number 9."), (3, "We walked home. In 1999 Anna met Bert and Carla in Delft."), (4, "Rain fell. The cat slept on the warm stove."), (5, "It rained. Thus meaning is made."), (6, "One sentence of wisdom.")])
 
 
-@query(
-    rf"""WITH {ENDINGS.cte()}, l AS (SELECT id, list_filter(list_transform(string_split(regexp_replace(paragraph, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')[-1] AS s FROM endings),
+@over(
+    ENDINGS,
+    ENDING_PARAS,
+    rf""", l AS (SELECT id, list_filter(list_transform(string_split(regexp_replace(paragraph, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')[-1] AS s FROM endings),
 w AS (SELECT id, {tokens_sql("s")} AS t, {words_sql("s")} AS w FROM l)
-SELECT id, (list_contains({list_sql(lx.MORAL_OPENERS)}, t[1]) OR {among_sql("t", lx.MORAL_NOUNS)} > 0) AND len(list_filter(w[2:], lambda x: regexp_matches(x, '^[A-Z][a-z]'))) + len(list_filter(t, lambda x: regexp_matches(x, '^[0-9]+$'))) < 3 AS moralizing FROM w"""
+SELECT id, coalesce((list_contains({list_sql(lx.MORAL_OPENERS)}, t[1]) OR {among_sql("t", lx.MORAL_NOUNS)} > 0) AND len(list_filter(w[2:], lambda x: regexp_matches(x, '^[A-Z][a-z]'))) + len(list_filter(t, lambda x: regexp_matches(x, '^[0-9]+$'))) < 3, false) AS moralizing FROM w""",
 )
-def moralizing_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ENDINGS.df(spark).select("id", cl.moralizing(F.col("paragraph")).alias("moralizing"))
+def moralizing_endings(rows: DataFrame) -> DataFrame:
+    return rows.select("id", cl.moralizing(F.col("paragraph")).alias("moralizing"))
 
 
 def most_sql(items: str) -> str:
@@ -104,7 +107,7 @@ def most_sql(items: str) -> str:
 W = words_sql("text")
 PAIRS = f"list_transform(range(1, greatest(len({W}), 1)), lambda i: lower({W}[i]) || ' ' || lower({W}[i + 1]))"
 STRIP = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
-VALID = rf"""NOT (len({W}) < 6 OR NOT regexp_matches(lower(text), '[aeiouy]') OR {any_sql(f"lower({STRIP})", lx.NAVIGATION_STARTS, "starts_with")} OR {" OR ".join(f"regexp_matches(text, '{p}')" for p in gt.DIALOGUE)}
+VALID = rf"""NOT (len({W}) < 6 OR NOT regexp_matches(lower(text), '[aeiouy]') OR {any_sql(f"lower({STRIP})", lx.NAVIGATION_STARTS, "starts_with")} OR {" OR ".join(f"regexp_matches(text, '(?i){p}')" for p in gt.DIALOGUE)}
  OR NOT regexp_matches({STRIP}, '[.!?"'']$') OR regexp_matches({STRIP}, '^\[?\d+\]?\.?\s*[A-Z]') OR (upper(text) = text AND regexp_matches(text, '[A-Za-z]') AND len({W}) < 10) OR {most_sql(PAIRS)} > 3
  OR ({any_sql("lower(text)", lx.NAVIGATION)} AND len({W}) < 12) OR (len(regexp_extract_all(text, '\.')) > 3 AND NOT contains(text, '...')))"""
 
@@ -146,9 +149,13 @@ PARTS = r"list_filter(list_transform(regexp_split_to_array(text, '[.!?]+\s+'), l
 FIRSTS = f"list_filter(list_transform({PARTS}, lambda s: {BARE.format(w=words_sql('s') + '[1]')}), lambda x: NOT list_contains({list_sql(lx.OPENER_EXEMPT)}, x))"
 
 
-@query(f"WITH {CASES.cte()} SELECT id, len({W}) > 5 AND {most_sql(PAIRS)} > 3 AS pairs, len({PARTS}) >= 3 AND len({FIRSTS}) >= 3 AND {most_sql(FIRSTS)} > 2 AS starts FROM cases")
-def repetition_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return CASES.df(spark).select("id", gt.repetitive(F.col("text")).alias("r")).select("id", "r.pairs", "r.starts")
+@over(
+    CASES,
+    SENT_CASES,
+    f"SELECT id, len({W}) > 5 AND {most_sql(PAIRS)} > 3 AS pairs, len({PARTS}) >= 3 AND len({FIRSTS}) >= 3 AND {most_sql(FIRSTS)} > 2 AS starts FROM cases",
+)
+def repetition_gate(rows: DataFrame) -> DataFrame:
+    return rows.select("id", gt.repetitive(F.col("text")).alias("r")).select("id", "r.pairs", "r.starts")
 
 
 TEMPLATES = Fixture("templates", "id int, template string", [(1, "The [NP] is [ADJ] because [CLAUSE]."), (2, "Nothing is fixed in this whole sentence here."), (3, "[NP] stands [ADV]."), (4, "Because [VP] we all went home and slept all through the night."), (5, "short [NP]"), (6, "[NP the old one] and [VP] and [ADJ] or [ADV] for [CLAUSE]."), (7, "[NP] [VP] [NP] [ADJ] [ADV] of old")])
@@ -156,25 +163,18 @@ ANCHORS = r"len(list_filter(list_filter(regexp_split_to_array(regexp_replace(tem
 SLOTS = r"len(regexp_extract_all(template, '\[[^\]]+\]'))"
 
 
-@query(
-    rf"""WITH {TEMPLATES.cte()}, c AS (SELECT id, template, {ANCHORS} AS a, {SLOTS} AS s, CAST(len(regexp_extract_all(template, '\[(?:NP|VP|CLAUSE|ADJ|ADV)(?:\s+[^\]]+)?\]')) AS DOUBLE) / 1.5 AS r FROM templates)
-SELECT id, length(template) >= 20 AND a >= 2 AND s > 0 AND CAST(a AS DOUBLE) / (a + s) < 0.8 AS valid, CASE WHEN length(template) < 20 THEN 0 ELSE a END::BIGINT AS anchors, greatest(1, CAST(round_even(r, 0) AS BIGINT)) AS capacity FROM c"""
+@over(
+    TEMPLATES,
+    TEMPLATE_SENTS,
+    rf""", c AS (SELECT id, template, {ANCHORS} AS a, {SLOTS} AS s, CAST(len(regexp_extract_all(template, '\[(?:NP|VP|CLAUSE|ADJ|ADV)(?:\s+[^\]]+)?\]')) AS DOUBLE) / 1.5 AS r FROM templates)
+SELECT id, length(template) >= 20 AND a >= 2 AND s > 0 AND CAST(a AS DOUBLE) / (a + s) < 0.8 AS valid, CASE WHEN length(template) < 20 THEN 0 ELSE a END::BIGINT AS anchors, greatest(1, CAST(round_even(r, 0) AS BIGINT)) AS capacity FROM c""",
 )
-def anchor_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+def anchor_health(rows: DataFrame) -> DataFrame:
     c = F.col("template")
-    return TEMPLATES.df(spark).select("id", gt.anchor_health(c).alias("h"), gt.capacity(c).alias("capacity")).select("id", "h.valid", "h.anchors", "capacity")
+    return rows.select("id", gt.anchor_health(c).alias("h"), gt.capacity(c).alias("capacity")).select("id", "h.valid", "h.anchors", "capacity")
 
 
 RATIO = f"CASE WHEN len({words_sql('prev')}) = 0 THEN 1.0::DOUBLE ELSE CAST(len({words_sql('text')}) AS DOUBLE) / len({words_sql('prev')}) END"
-TURNS = "turns AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations)"
-
-
-def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn with the one before it."""
-    from pyspark.sql.window import Window
-
-    rows = table(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", "text", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("prev")).where(F.col("prev").isNotNull())
 
 
 @query(f"WITH {TURNS}, r AS (SELECT conv_id, turn, {RATIO} AS r FROM turns WHERE prev IS NOT NULL) SELECT conv_id, turn, round(r, 6) AS ratio, CASE WHEN r < 0.5 THEN 'meaning' WHEN r > 2.5 THEN 'structure' ELSE 'pass' END AS gate, CASE WHEN r < 0.5 OR r > 2.0 THEN 'very_different' WHEN r < 0.67 OR r > 1.5 THEN 'moderate' ELSE 'similar' END AS class FROM r")
@@ -186,9 +186,13 @@ def length_ratio_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 FITS = Fixture("fits", "id int, words int, target int, raw int", [(1, 5, 4, None), (2, 7, 4, None), (3, 0, 2, None), (4, 22, 20, None), (5, 30, 20, 18), (6, 15, 20, 16), (7, 12, 20, 16), (8, 9, 0, None), (9, 13, 20, 16), (10, 24, 20, 16)])
 
 
-@query(f"WITH {FITS.cte()} SELECT id, CASE WHEN target <= 0 THEN 1.0::DOUBLE WHEN target <= 6 THEN CASE WHEN abs(words - target) <= 2 AND words > 0 THEN 1.0 ELSE 0.0 END WHEN CAST(abs(words - target) AS DOUBLE) / target <= 0.2 OR coalesce(raw > 0 AND words >= raw * 0.8::DOUBLE AND words <= target * 1.2::DOUBLE, false) THEN 1.0 ELSE 0.0 END AS fits FROM fits")
-def sentence_length_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FITS.df(spark).select("id", ms.sentence_fits(F.col("words"), F.col("target"), F.col("raw")).alias("fits"))
+@over(
+    FITS,
+    FIT_TURNS,
+    f"SELECT id, CASE WHEN target <= 0 THEN 1.0::DOUBLE WHEN target <= 6 THEN CASE WHEN abs(words - target) <= 2 AND words > 0 THEN 1.0 ELSE 0.0 END WHEN CAST(abs(words - target) AS DOUBLE) / target <= 0.2 OR coalesce(raw > 0 AND words >= raw * 0.8::DOUBLE AND words <= target * 1.2::DOUBLE, false) THEN 1.0 ELSE 0.0 END AS fits FROM fits",
+)
+def sentence_length_gate(rows: DataFrame) -> DataFrame:
+    return rows.select("id", ms.sentence_fits(F.col("words"), F.col("target"), F.col("raw")).alias("fits"))
 
 
 @query(
@@ -219,9 +223,11 @@ METRICS = Fixture("metrics", "id int, accuracy double, fluency double, style dou
 TOTAL = " + ".join(f"CASE WHEN {k} IS NOT NULL THEN {w} ELSE 0.0 END" for k, w in lx.WEIGHTS.items())
 
 
-@query(
-    f"""WITH {METRICS.cte()}, m AS (SELECT id, CAST({TOTAL} AS DOUBLE) AS t, {" + ".join(f"coalesce({k}, 0.0) * {w}" for k, w in lx.WEIGHTS.items())} AS s, {" + ".join(f"coalesce({k}, 0.0)" for k in lx.WEIGHTS)} AS p, {" + ".join(f"({k} IS NOT NULL)::INT" for k in lx.WEIGHTS)} AS n FROM metrics)
-SELECT id, round(CASE WHEN n = 0 THEN 0.5::DOUBLE WHEN t = 0 THEN p / n ELSE greatest(0.0, least(1.0, s / t)) END, 6) AS composite FROM m"""
+@over(
+    METRICS,
+    METRIC_DOCS,
+    f""", m AS (SELECT id, CAST({TOTAL} AS DOUBLE) AS t, {" + ".join(f"coalesce({k}, 0.0) * {w}" for k, w in lx.WEIGHTS.items())} AS s, {" + ".join(f"coalesce({k}, 0.0)" for k in lx.WEIGHTS)} AS p, {" + ".join(f"({k} IS NOT NULL)::INT" for k in lx.WEIGHTS)} AS n FROM metrics)
+SELECT id, round(CASE WHEN n = 0 THEN 0.5::DOUBLE WHEN t = 0 THEN p / n ELSE greatest(0.0, least(1.0, s / t)) END, 6) AS composite FROM m""",
 )
-def composite_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return METRICS.df(spark).select("id", F.round(ms.composite({k: F.col(k) for k in lx.WEIGHTS}), 6).alias("composite"))
+def composite_score(rows: DataFrame) -> DataFrame:
+    return rows.select("id", F.round(ms.composite({k: F.col(k) for k in lx.WEIGHTS}), 6).alias("composite"))

@@ -11,8 +11,9 @@ from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..functions.fixture import Fixture
 from ..operators import sequence as sq
-from .registry import SENTS, any_sql, list_sql, query, table, tokens_sql, words_sql
-from .rules import SYNTAX, TURNS, turn_pairs
+from .made import PACK_SENTS, RHYTHM_PARAS, TURNS, USE_DOCS, turn_pairs
+from .registry import SENTS, any_sql, list_sql, over, query, table, tokens_sql, words_sql
+from .rules import SYNTAX
 from .texts import sents
 
 
@@ -77,19 +78,24 @@ SELECT doc_id, para_idx, sent_idx FROM echo WHERE echo"""
 )
 def zipper_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences that echo the one before; neighbours come from the paragraph's own array, so nothing is shuffled."""
-    rows = tx.paragraph_rows(table(spark, sf_dir, "documents")).withColumn("s", tx.sentences(F.col("paragraph")))
-    each = rows.select("doc_id", "para_idx", F.posexplode(F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")), F.slice("s", F.lit(1), F.greatest(F.size("s") - 1, F.lit(0)))).alias("prev"), F.col("s").alias("next"))).alias("sent_idx", "x"))
-    return each.where(F.col("x.prev").isNotNull() & cp.echoes(F.col("x.prev"), F.col("x.next"))).select("doc_id", "para_idx", "sent_idx")
+    rows = tx.paragraph_rows(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "para_idx", F.explode(cp.echoing(tx.sentences(F.col("paragraph")))).alias("sent_idx"))
 
 
 USES = Fixture("uses", "doc_id int, pos int, token string", [(1, 1, "A"), (1, 2, "vast"), (1, 30, "Vast"), (1, 90, "vast"), (1, 91, "profound"), (2, 5, "intricate"), (2, 6, "river"), (2, 200, "intricate"), (2, 260, "Intricate"), (2, 261, "intricate")])
-BUDGET = f"""u AS (SELECT doc_id, pos, lower(token) AS word FROM uses WHERE list_contains({list_sql(lx.RESTRICTED)}, lower(token))),
-b AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, word ORDER BY pos) - 1 AS INTEGER) AS used, pos - lag(pos) OVER (PARTITION BY doc_id, word ORDER BY pos) AS gap FROM u)"""
+LIMITED = [*lx.RESTRICTED, "the", "of", "was"]
 
 
-@query(f"WITH {USES.cte()}, {BUDGET} SELECT doc_id, pos, word, used, CASE WHEN used >= 2 THEN 'FORBIDDEN' WHEN coalesce(gap < 50, false) THEN 'CLUSTERING_VIOLATION' ELSE 'ALLOWED' END AS status FROM b")
-def budget_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sq.budget(USES.df(spark), 2, lx.CLUSTERING_DISTANCE)
+@over(
+    USES,
+    USE_DOCS,
+    f""", u AS (SELECT doc_id, pos, lower(token) AS word FROM uses WHERE list_contains({list_sql(LIMITED)}, lower(token))),
+b AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, word ORDER BY pos) - 1 AS INTEGER) AS used, pos - lag(pos) OVER (PARTITION BY doc_id, word ORDER BY pos) AS gap FROM u)
+SELECT doc_id, pos, word, used, CASE WHEN used >= 2 THEN 'FORBIDDEN' WHEN coalesce(gap < 50, false) THEN 'CLUSTERING_VIOLATION' ELSE 'ALLOWED' END AS status FROM b""",
+)
+def budget_violations(rows: DataFrame) -> DataFrame:
+    """Uses of restricted words against an allowance of two a text."""
+    return sq.budget(rows, 2, lx.CLUSTERING_DISTANCE, LIMITED)
 
 
 @query(f"WITH e AS (SELECT doc_id, unnest({tokens_sql('text')}) AS word FROM documents), r AS (SELECT unnest({list_sql(['the', 'of', 'and', 'vast'])}) AS word) SELECT r.word, count(e.word) AS n, count(DISTINCT e.doc_id) AS docs, CASE WHEN count(e.word) >= 100 THEN 'forbidden' WHEN count(e.word) > 0 THEN 'warning' ELSE 'free' END AS state FROM r LEFT JOIN e ON e.word = r.word GROUP BY r.word")
@@ -120,22 +126,29 @@ RHYTHM = Fixture(
 OVERLAP = "CASE WHEN len(x.{f}) = 0 OR len(y.{f}) = 0 THEN 0.0::DOUBLE ELSE CAST(len(list_filter(range(1, least(len(x.{f}), len(y.{f})) + 1), lambda i: x.{f}[i] = y.{f}[i])) AS DOUBLE) / greatest(len(x.{f}), len(y.{f})) END"
 
 
-@query(
-    f"""WITH {RHYTHM.cte()}, s AS (SELECT x.doc_id, x.pos, CASE WHEN x.opener IS NOT DISTINCT FROM y.opener AND x.lengths = y.lengths AND x.types = y.types THEN 1.0::DOUBLE ELSE (1.0 - abs(len(x.lengths) - len(y.lengths))::DOUBLE / greatest(len(x.lengths), len(y.lengths), 1)) * 0.15 + CASE WHEN lower(coalesce(x.opener, 'none')) = lower(coalesce(y.opener, 'none')) THEN 0.35 ELSE 0.0 END + {OVERLAP.format(f="lengths")} * 0.15 + {OVERLAP.format(f="types")} * 0.35 END AS sim
+@over(
+    RHYTHM,
+    RHYTHM_PARAS,
+    f""", s AS (SELECT x.doc_id, x.pos, CASE WHEN x.opener IS NOT DISTINCT FROM y.opener AND x.lengths = y.lengths AND x.types = y.types THEN 1.0::DOUBLE ELSE (1.0 - abs(len(x.lengths) - len(y.lengths))::DOUBLE / greatest(len(x.lengths), len(y.lengths), 1)) * 0.15 + CASE WHEN lower(coalesce(x.opener, 'none')) = lower(coalesce(y.opener, 'none')) THEN 0.35 ELSE 0.0 END + {OVERLAP.format(f="lengths")} * 0.15 + {OVERLAP.format(f="types")} * 0.35 END AS sim
 FROM rhythm x JOIN rhythm y ON x.doc_id = y.doc_id AND y.pos < x.pos)
-SELECT r.doc_id, r.pos, round(1.0 - coalesce(max(sim), 0.0), 6) AS diversity FROM rhythm r LEFT JOIN s ON s.doc_id = r.doc_id AND s.pos = r.pos GROUP BY r.doc_id, r.pos"""
+SELECT r.doc_id, r.pos, round(1.0 - coalesce(max(sim), 0.0), 6) AS diversity FROM rhythm r LEFT JOIN s ON s.doc_id = r.doc_id AND s.pos = r.pos GROUP BY r.doc_id, r.pos""",
 )
-def structure_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sq.diversity(RHYTHM.df(spark))
+def structure_diversity(rows: DataFrame) -> DataFrame:
+    return sq.diversity(rows)
 
 
 PACK = Fixture("packs", "para_id int, pos int, words int", [(1, 1, 5), (1, 2, 9), (1, 3, 4), (1, 4, 20), (1, 5, 3), (1, 6, 8), (2, 1, 40), (2, 2, 1)])
 
 
-@query("SELECT * FROM (VALUES (1, [18, 20, 11]), (2, [40, 1])) v(para_id, slots)")
-def synthetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+@over(
+    PACK,
+    PACK_SENTS,
+    """, l AS (SELECT para_id, list(words ORDER BY pos) AS l FROM packs GROUP BY para_id)
+SELECT para_id, list_reduce(list_transform(l, lambda n: [n]), lambda a, x: CASE WHEN a[-1] + x[1] <= 22.5 THEN list_concat(a[1:-2], [a[-1] + x[1]]) ELSE list_concat(a, x) END) AS slots FROM l""",
+)
+def synthetic_packing(rows: DataFrame) -> DataFrame:
     """Sentences packed in order into slots of at most 22.5 words."""
-    rows = PACK.df(spark).groupBy("para_id").agg(F.array_sort(F.collect_list(F.struct("pos", "words"))).alias("w"))
+    rows = rows.groupBy("para_id").agg(F.array_sort(F.collect_list(F.struct("pos", "words"))).alias("w"))
     return rows.select("para_id", sq.packed(F.col("w.words"), F.lit(22.5)).alias("slots"))
 
 

@@ -15,7 +15,8 @@ from ..operators import retrieve as rt
 from ..operators import sequence as sq
 from ..sources import store as st
 from ..streaming import windows as sw
-from .registry import PARAS, SENTS, list_sql, query, table, tokens_sql, words_sql
+from .made import FOLD_SENTS
+from .registry import PARAS, SENTS, list_sql, over, query, table, tokens_sql, words_sql
 
 DIM = 64
 E = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
@@ -175,23 +176,44 @@ NAMES = Fixture("names", "asked string", [("Ann Bee",), ("ann bee",), ("CARL",),
 PROFILES = Fixture("profiles", "name string, dna string", [("Ann Bee", "terse"), ("Carl", "ornate"), ("carl", "plain")])
 
 
-@query(
-    f"""WITH {NAMES.cte()}, {PROFILES.cte()}, l AS (SELECT lower(name) AS low, min(struct_pack(name := name, dna := dna)) AS any_ FROM profiles GROUP BY lower(name))
+LOOKED = """l AS (SELECT lower(name) AS low, min(struct_pack(name := name, dna := dna)) AS any_ FROM profiles GROUP BY lower(name))
 SELECT asked, coalesce(p.dna, l.any_.dna, '') AS dna, p.dna IS NOT NULL OR l.any_ IS NOT NULL AS known FROM names LEFT JOIN profiles p ON asked = p.name LEFT JOIN l ON lower(asked) = low"""
-)
-def style_registry_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+
+@query(f"WITH {NAMES.cte()}, {PROFILES.cte()}, {LOOKED}")
+def style_registry_lookup_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.lookup(NAMES.df(spark), PROFILES.df(spark))
 
 
+@query(f"WITH names AS (SELECT CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN upper(source) ELSE 'nobody' || doc_id END AS asked FROM documents), profiles AS (SELECT source AS name, 'author of ' || count(*) AS dna FROM documents WHERE source IS NOT NULL GROUP BY source), {LOOKED}")
+def style_registry_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of each document's author, asked by name, by another case of it, or by a name that is not there."""
+    docs = table(spark, sf_dir, "documents")
+    asked = docs.select(F.expr("CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN upper(source) ELSE 'nobody' || doc_id END").alias("asked"))
+    profiles = docs.where("source is not null").groupBy(F.col("source").alias("name")).agg(F.concat(F.lit("author of "), F.count("*").cast("string")).alias("dna"))
+    return rt.lookup(asked, profiles)
+
+
 FOLD = Fixture("skeletons", "id int, pos int, skeleton string", [(1, 1, "a b c d"), (1, 2, "a b c d"), (1, 3, "x y z"), (1, 4, "d c b a"), (2, 1, "q r")])
 
 
-@query("SELECT * FROM (VALUES (1, ['a b c d', 'x y z']), (2, ['q r'])) v(id, kept)")
-def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def jaccard_sql(x: str, y: str) -> str:
+    a, b = (f"list_distinct({words_sql(z)})" for z in (x, y))
+    both = f"len(list_intersect({a}, {b}))"
+    return f"CAST({both} AS DOUBLE) / greatest(len({a}) + len({b}) - {both}, 1)"
+
+
+@over(
+    FOLD,
+    FOLD_SENTS,
+    f""", l AS (SELECT id, list(skeleton ORDER BY pos) AS l FROM skeletons GROUP BY id)
+SELECT id, list_reduce(list_transform(l, lambda x: [x]), lambda a, x: CASE WHEN len(list_filter(a, lambda y: {jaccard_sql("y", "x[1]")} > 0.9)) > 0 THEN a ELSE list_concat(a, x) END) AS kept FROM l""",
+)
+def greedy_dedup(rows: DataFrame) -> DataFrame:
     """Skeletons in order, without those whose words are those of one kept before (Jaccard above 0.9)."""
     from ..functions import compare as cp
 
-    rows = FOLD.df(spark).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "skeleton"))).alias("s"))
+    rows = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "skeleton"))).alias("s"))
     step = lambda a, x: F.when(F.exists(a, lambda y: cp.jaccard(x, y) > 0.9), a).otherwise(F.concat(a, F.array(x)))
     return rows.select("id", F.aggregate(F.col("s.skeleton"), F.array().cast("array<string>"), step).alias("kept"))
 

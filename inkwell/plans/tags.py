@@ -7,16 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import annotate as an
 from ..functions import text as tx
-from .registry import SENTS, among_sql, list_sql, query, table, tokens_sql, words_sql
+from .made import SENT_CASES, tag_sql
+from .registry import SENTS, among_sql, list_sql, over, query, table, tokens_sql, words_sql
 from .rules import CASES
 from .texts import sents
 
 
-def tag_sql(w: str) -> str:
-    rules = " ".join(f"WHEN {f'regexp_matches({w}, {chr(39)}{r}{chr(39)})' if isinstance(r, str) else f'list_contains({list_sql(r)}, {w})'} THEN '{name}'" for name, r in an.RULES)
-    return f"CASE {rules} ELSE 'NOUN' END"
-
-
+__all__ = ["tag_sql"]
 T = tokens_sql("text")
 EACH = f"e AS (SELECT source, doc_id, i, {tag_sql('w')} AS tag FROM (SELECT source, doc_id, unnest({T}) AS w, generate_subscripts({T}, 1) AS i FROM documents))"
 
@@ -41,14 +38,16 @@ def distinct_sql(*names: str) -> str:
     return f"list_sort(list_distinct(list_filter({T}, lambda w: {tag_sql('w')} IN ({', '.join(repr(n) for n in names)}))))"
 
 
-@query(
-    f"""WITH {CASES.cte()} SELECT id, {distinct_sql("CCONJ", "SCONJ")} AS conjunctions, {distinct_sql("VERB")} AS verbs, {distinct_sql("NOUN")} AS nouns, {distinct_sql("NOUN", "VERB", "ADJ", "ADV")} AS content, {among_sql(T, an.RELATIVES)} AS relatives, {among_sql(T, an.lx.BE_FORMS)} > 0 AS has_copula,
+@over(
+    CASES,
+    SENT_CASES,
+    f"""SELECT id, {distinct_sql("CCONJ", "SCONJ")} AS conjunctions, {distinct_sql("VERB")} AS verbs, {distinct_sql("NOUN")} AS nouns, {distinct_sql("NOUN", "VERB", "ADJ", "ADV")} AS content, {among_sql(T, an.RELATIVES)} AS relatives, {among_sql(T, an.lx.BE_FORMS)} > 0 AS has_copula,
  ends_with(trim(text), '?') OR coalesce(list_contains({list_sql([*an.QUESTION_AUX, "who", "what", "where", "why", "how", "which", "when"])}, {T}[1]), false) AS asks,
- coalesce(list_contains({list_sql([*an.lx.IMPERATIVE, "go", "see", "make", "take", "leave"])}, {T}[1]) AND NOT list_contains(['i', 'we', 'he', 'she', 'they'], {T}[2]), false) AS commands FROM cases"""
+ coalesce(list_contains({list_sql([*an.lx.IMPERATIVE, "go", "see", "make", "take", "leave"])}, {T}[1]) AND NOT list_contains(['i', 'we', 'he', 'she', 'they'], {T}[2]), false) AS commands FROM cases""",
 )
-def tagged_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tagged_words(rows: DataFrame) -> DataFrame:
     c = F.col("text")
-    return CASES.df(spark).select(
+    return rows.select(
         "id", an.with_tag(c, "CCONJ", "SCONJ").alias("conjunctions"), an.with_tag(c, "VERB").alias("verbs"), an.with_tag(c, "NOUN").alias("nouns"), an.with_tag(c, "NOUN", "VERB", "ADJ", "ADV").alias("content"),
         tx.among(tx.tokens(c), an.RELATIVES).alias("relatives"), (tx.among(tx.tokens(c), an.lx.BE_FORMS) > 0).alias("has_copula"), an.asks(c).alias("asks"), an.commands(c).alias("commands"),
     )
@@ -87,10 +86,19 @@ def noun_kinds_lex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source", F.when(F.col("w").rlike(an.ABSTRACT_NOUN), "ABSTRACT").otherwise("CONCRETE").alias("kind")).groupBy("source", "kind").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES (8, ['rain|begin|', 'rain|fall|']), (9, []::VARCHAR[]), (14, ['river|ran|river', 'river|ran|river', 'river|ran|river', 'river|ran|'])) v(id, triples)")
-def svo_lex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triples by order of tags, on three cases."""
-    return CASES.df(spark).where("id in (8, 9, 14)").select("id", an.triples(F.col("text")).alias("triples"))
+KIND = f"list_transform(t, lambda w: {tag_sql('w')})"
+NEAR = "list_filter(list_zip({t}, {k}), lambda x: x[2] IN ('NOUN', 'PRON'))"
+
+
+@over(
+    CASES,
+    SENT_CASES,
+    f""", t AS (SELECT id, {T} AS t FROM cases), k AS (SELECT id, t, {KIND} AS k FROM t)
+SELECT id, list_transform(list_filter(range(1, len(t) + 1), lambda i: k[i] = 'VERB'), lambda i: coalesce({NEAR.format(t="t[1:i - 1]", k="k[1:i - 1]")}[-1][1], '') || '|' || t[i] || '|' || coalesce({NEAR.format(t="t[i + 1:]", k="k[i + 1:]")}[1][1], '')) AS triples FROM k""",
+)
+def svo_lex(rows: DataFrame) -> DataFrame:
+    """Triples by order of tags."""
+    return rows.select("id", an.triples(F.col("text")).alias("triples"))
 
 
 @query(f"WITH {SENTS}, q AS (SELECT source, ends_with(sentence, '?') OR coalesce(list_contains({list_sql([*an.QUESTION_AUX, 'who', 'what', 'where', 'why', 'how', 'which', 'when'])}, {tokens_sql('sentence')}[1]), false) AS q FROM sents) SELECT source, count(*) AS n, CAST(count(*) FILTER (q) AS BIGINT) AS questions FROM q GROUP BY source")

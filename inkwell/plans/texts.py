@@ -142,9 +142,7 @@ FROM burst JOIN (SELECT source, {PREFERS} AS punctuation_preference FROM p) q ON
 )
 def style_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per author: rhythm, punctuation and person."""
-    rows = sents(spark, sf_dir)
-    rhythm = ms.burstiness(rows).select("source", "n_sentences", F.round("mean_words", 4).alias("mean_words"), F.round("burstiness", 4).alias("burstiness"), "rhythm_desc")
-    return rhythm.join(ms.punctuation(rows).select("source", "punctuation_preference"), "source").join(ms.point_of_view(table(spark, sf_dir, "documents")).select("source", "pov"), "source")
+    return ms.profile(sents(spark, sf_dir)).withColumn("mean_words", F.round("mean_words", 4)).withColumn("burstiness", F.round("burstiness", 4))
 
 
 V = {k: among_sql("t", x) for k, x in (("a", lx.VOICE_FIRST), ("b", lx.VOICE_SECOND), ("c", lx.VOICE_THIRD))}

@@ -52,3 +52,29 @@ def presence(docs: DataFrame) -> DataFrame:
     """How many rows have each column."""
     counts = docs.agg(F.count("*").alias("_all"), *(F.count(F.col(f"`{c}`")).alias(c) for c in docs.columns))
     return counts.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").alias("present"), F.col("_all").alias("rows")) for c in docs.columns))).alias("x")).select("x.*")
+
+
+def _path(spark: SparkSession, path: str) -> tuple[object, object]:
+    """A path and its file system, whatever store it is in."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, system = _path(spark, path)
+    return bool(system.exists(at))
+
+
+def drop(spark: SparkSession, path: str) -> bool:
+    """Delete a whole collection; whether there was one."""
+    at, system = _path(spark, path)
+    return bool(system.exists(at)) and bool(system.delete(at, True))
+
+
+def forget(spark: SparkSession, path: str, author: str, by: str = "source") -> bool:
+    """Delete one author's rows of a collection; whether there were any. An author is a directory, so nothing else is read or written."""
+    if not exists(spark, path):
+        return False
+    key = spark.range(1).select(author_key(F.lit(author)).alias("k")).first()["k"]
+    found = [r[by] for r in load(spark, path).select(by).distinct().where(author_key(F.col(by)) == key).collect()]  # spellings of one name
+    return any([drop(spark, f"{path.rstrip('/')}/{by}={name}") for name in found])

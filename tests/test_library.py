@@ -11,7 +11,10 @@ from inkwell.functions import gates as gt
 from inkwell.functions import rewrite as rw
 from inkwell.functions import text as tx
 from inkwell.operators import cluster as cu
+from inkwell.operators import generate as gn
+from inkwell.operators import match as mt
 from inkwell.operators import sequence as sq
+from inkwell.sources import author as au
 from inkwell.sources import store as st
 from inkwell.streaming import windows as sw
 
@@ -110,3 +113,92 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(60)
     want = sorted(map(tuple, sw.hourly(spark.read.schema(schema).parquet(str(tmp_path / "in"))).collect()))
     assert sorted(map(tuple, spark.table("hourly").collect())) == want and want
+
+
+def test_store_drops_and_forgets(spark, tmp_path):
+    path = str(tmp_path / "s")
+    assert st.drop(spark, path) is False and st.forget(spark, path, "ann") is False
+    st.save(spark.createDataFrame([("ann_bee", 1), ("bob", 2)], "source string, v int"), path)
+    assert st.forget(spark, path, "Ann Bee") is True and st.forget(spark, path, "Ann Bee") is False
+    assert [r["source"] for r in st.load(spark, path).collect()] == ["bob"]
+    assert st.drop(spark, path) is True and st.exists(spark, path) is False
+
+
+def test_author_is_built_stage_by_stage(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("One sentence here. Two follow it. Three end it.\n\nA second paragraph stands. It is short.")
+    out = au.build_author(spark, "Ann Bee", str(tmp_path / "a.txt"), str(tmp_path / "store"), skip=["fragments"])
+    assert [(o.name, o.ok) for o in out] == [("windows", True), ("paragraphs", True), ("profile", True)]
+    assert st.load(spark, str(tmp_path / "store" / "paragraphs"), "ann bee").count() == 2
+    bad = au.run_stages([("one", lambda: None), ("two", lambda: 1 / 0), ("three", lambda: None)])
+    assert [(o.name, o.ok) for o in bad] == [("one", True), ("two", False)] and "ZeroDivisionError" in bad[1].error
+
+
+def test_cleaning_leaves_quotes_and_citations(spark):
+    c = F.col("t")
+    clean = lambda t: one(spark, rw.clean_generated(c), t=t)
+    assert clean('he said "stop .. here , now" and [^3] . then he left') == 'He said "stop .. here , now" and [^3]. Then he left'
+    assert clean("REWRITE: the end .") == "The end."
+    assert clean('"whole , quote"') == '"whole , quote"'
+    long = "word" * 50
+    palette = F.create_map(F.lit("vast"), F.lit(long))
+    assert one(spark, rw.replaced(c, F.array(F.lit("vast")), palette), t="Vast plains") == "W" + long[1:] + " plains"
+
+
+def test_diversity_looks_back_over_the_whole_text(spark):
+    rows = [(1, i, f"o{i}", ["s"] * (i + 1), ["t"] * (i + 1)) for i in range(70)] + [(1, 70, "o0", ["s"], ["t"])]
+    got = {r["pos"]: r["diversity"] for r in sq.diversity(spark.createDataFrame(rows, "doc_id int, pos int, opener string, lengths array<string>, types array<string>")).collect()}
+    assert got[70] == 0.0 and got[0] == 1.0
+
+
+def test_band_join_equals_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    a, b = [rng.randrange(0, 300) for _ in range(120)], [rng.randrange(0, 300) for _ in range(120)]
+    left = spark.createDataFrame(list(enumerate(a)), "i int, n long")
+    right = spark.createDataFrame(list(enumerate(b)), "j int, n long")
+    for low, high in ((0.5, 1.5), (0.9, 1.1), (2.0, 3.0)):
+        got = sorted((r["i"], r["_rj"]) for r in mt.band_join(left, right, "n", low, high).collect())
+        assert got == sorted((i, j) for i, x in enumerate(a) for j, y in enumerate(b) if x > 0 and y > 0 and low <= y / x <= high)
+
+
+def test_nearest_join_of_one_and_of_several(spark):
+    rows = spark.createDataFrame([(i, i % 2, [float(i), 1.0 + i % 3]) for i in range(12)], "k long, g int, v array<double>")
+    one_ = {r["q"]: (r["k"], r["similarity"]) for r in mt.nearest_join(rows.withColumnRenamed("k", "q"), rows, "g", "v", "q", "k").collect()}
+    many = mt.nearest_join(rows.withColumnRenamed("k", "q"), rows, "g", "v", "q", "k", k=2).where("rank = 1").collect()
+    assert one_ == {r["q"]: (r["k"], r["similarity"]) for r in many} and len(one_) == 12
+
+
+def test_critic_loop_asks_only_for_what_is_open(spark):
+    class Counting:
+        def complete(self, system: str, user: str) -> str:
+            return "" if system.startswith("strict") and "never" in user else user
+
+    rows = spark.createDataFrame([(1, "The old river ran down to the sea and the town."), (2, "It never ran dry in the old town by the sea.")], "id int, text string")
+    got = {r["id"]: r for r in gn.with_critic(rows, Counting).collect()}
+    assert (got[1]["attempts"], got[1]["mode"]) == (1, "strict") and got[2]["attempts"] > 1 and got[2]["generated"]
+    drafts = spark.createDataFrame([(1, "The old river ran to the sea.", "A river ran."), (2, "x y z", "")], "id int, original string, draft string")
+    out = gn.evolved(drafts, Stub).collect()
+    before = {r["id"]: r["score"] for r in gn.evolved(drafts, Stub, generations=0).collect()}
+    assert all(r["score"] >= before[r["id"]] and r["generation"] <= 3 for r in out)
+
+
+def test_leaders_are_apart_and_followers_near(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(40, 6))
+    rows = [(i, int(i % 2), [float(v) for v in x[i]]) for i in range(40)]
+    import inkwell.plans.judges as jg
+
+    table = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    real, jg.table = jg.table, lambda *a: table
+    try:
+        got = {r["vec_id"]: (r["label"], r["leader"]) for r in jg.vocabulary_map(spark, "").collect()}
+    finally:
+        jg.table = real
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for i, (label, leader) in got.items():
+        earlier = [k for k in range(i) if got[k] == (label, k)]
+        assert got[leader][1] == leader and (leader == i or unit[i] @ unit[leader] >= 0.7 - 1e-6)
+        assert leader != i or all(unit[i] @ unit[k] < 0.7 + 1e-6 for k in earlier)
