@@ -5,7 +5,8 @@ white space), each labelled with the number of times it has come before. A
 sketch takes the labelled shingles with the smallest values under one hash
 function and joins them in text order; documents close in edits share many of
 their sketches. Two documents are near copies if the longest common
-subsequence of their labelled shingles, L, is at least 0.8 of n1 + n2 - L.
+subsequence of their words, L, is at least 0.8 of n1 + n2 - L. That is edit
+similarity of words: up to one word in nine replaced, or one in five put in.
 """
 
 from __future__ import annotations
@@ -17,66 +18,78 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import textvec as tv
 from .runtime import chunks, clean, components, keep, ready
 
 WORDS, SIMILAR = 5, 0.8
-#: Sketches of each document, and labelled shingles in a sketch. A pair at 0.8 shares one sketch with probability
-#: 0.8**5 = 0.33, so all 30 miss it with probability 7e-6; a pair at 0.2 meets with probability 0.01.
-SKETCHES, TAKEN = 30, 5
-#: Texts of up to FEW shingles have as many sketches of one shingle besides: a text of four and one of five cannot share five.
+#: Sketches of each document, and labelled shingles in a sketch. With one word in twenty replaced two texts share 0.63 of
+#: their shingles and miss each other with probability 2e-4, with one in eleven 0.45 and 0.06, with one in nine (the
+#: threshold) 0.39 and 0.17; texts that share a tenth of their shingles meet with probability 0.03.
+SKETCHES, TAKEN = 30, 3
+#: Texts of up to FEW shingles have each one of these as a sketch besides.
 FEW = 20
-#: Documents of a bucket in one block, pairs that a document hands on in the first round, and their growth from round to round.
-BLOCK, FIRST, GROWTH = 512, 4, 16
-#: Most bits of a document's bitmap of shingles.
-BITS = 1 << 17
+#: Documents of a bucket in one block, and pairs that a document aligns first.
+BLOCK, FIRST = 768, 4
+#: Eighths of the buckets that are compared one after the other, and pairs that a document hands on from a block pair there:
+#: what the first eighth links need not be compared in the others. A bucket that left pairs out is compared again with
+#: GROWTH times as many.
+WAVES, GROWTH = ((0, 1, 8), (1, 8, 32)), 16
+#: Least bits for each word in a document's bitmap of words, and most bits of one.
+SPARSE, BITS = 6, 1 << 17
 #: Bits of the filter on the ids of documents to be aligned: at most FILTER / 64 rows are broadcast (4 MB).
 FILTER = 1 << 24
 
 
-def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Labelled shingles of all texts, each text's first (one more at the end), and two hashes of each text's words.
-
-    A text with words, but fewer than `words`, has no shingle.
-    """
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of all texts, and each text's first word (one more at the end)."""
     codes, starts = tv.points(texts)
     codes = tv.lower(codes)
     begin, end = tv.spans(tv.classes()[codes] != tv.SPACE)
-    h = tv.hashes(codes, begin, end)
-    cut = np.append(np.searchsorted(begin, starts), len(begin))
+    return tv.hashes(codes, begin, end), np.append(np.searchsorted(begin, starts), len(begin))
+
+
+def labelled_values(values: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Each value hashed with the number of times that its text has had it before; cut: each text's first (one more at the end)."""
+    key = values ^ tv.mix(np.repeat(np.arange(len(cut) - 1), np.diff(cut)).astype(np.uint64) + np.uint64(1))
+    order = np.argsort(key, kind="stable")
+    same = np.concatenate(([False], key[order[1:]] == key[order[:-1]])) if len(order) else np.zeros(0, bool)
+    if not same.any():
+        return values
+    i = np.arange(len(order))
+    seen = np.empty(len(order), np.uint64)
+    seen[order] = i - np.maximum.accumulate(np.where(same, 0, i))
+    return np.where(seen > 0, tv.mix(values + seen * tv.POWERS[2]), values)
+
+
+def text_marks(h: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Two hashes of each text's words, zero without words."""
     n = np.diff(cut)
-    text = np.repeat(np.arange(len(texts)), n)
-    at = (np.arange(len(h)) - cut[:-1][text]).astype(np.uint64)
-    marks = np.zeros((2, len(texts)), np.uint64)
+    at = (np.arange(len(h)) - np.repeat(cut[:-1], n)).astype(np.uint64)
+    marks = np.zeros((2, len(n)), np.uint64)
     full = np.flatnonzero(n > 0)
     if len(full):
         for k in range(2):
             marks[k, full] = np.add.reduceat(tv.mix(h ^ tv.mix(at * np.uint64(2) + np.uint64(k + 1))), cut[full])
-    m = np.maximum(n - words + 1, 0)
+    return marks
+
+
+def shingles(h: np.ndarray, cut: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Labelled shingles of all texts, and each text's first (one more at the end). A text of fewer than `words` words has none."""
+    m = np.maximum(np.diff(cut) - words + 1, 0)
     edge = np.concatenate(([0], np.cumsum(m)))
     where = np.repeat(cut[:-1] - edge[:-1], m) + np.arange(edge[-1])
     own = np.zeros(len(where), np.uint64)
     for j in range(words):
         own = own * tv.POWERS[0] + h[where + j]
-    own = tv.mix(own)
-    key = own ^ tv.mix(np.repeat(np.arange(len(texts)), m).astype(np.uint64) + np.uint64(1))
-    order = np.argsort(key, kind="stable")
-    same = np.concatenate(([False], key[order[1:]] == key[order[:-1]])) if len(order) else np.zeros(0, bool)
-    if same.any():
-        i = np.arange(len(order))
-        first = np.maximum.accumulate(np.where(same, 0, i))
-        seen = np.empty(len(order), np.uint64)
-        seen[order] = i - first
-        own = np.where(seen > 0, tv.mix(own + seen * tv.POWERS[2]), own)
-    return own, edge, marks, n
+    return labelled_values(tv.mix(own), edge), edge
 
 
 def sketches(labels: np.ndarray, number: int = SKETCHES, taken: int = TAKEN) -> np.ndarray:
-    """The sketches of one text: for each hash function its smallest labelled shingles, hashed in text order; of few shingles also each one's smallest."""
-    n = len(labels)
-    if taken > 1 and 1 < n <= FEW:  # one shingle alone has the same sketches either way
-        return np.concatenate([_taken(labels, number, taken), _taken(labels, number, 1)])
+    """The sketches of one text: for each hash function its smallest labelled shingles, hashed in text order; of few shingles each one besides."""
+    if len(labels) <= FEW:
+        return np.concatenate([_taken(labels, number, taken), tv.mix(labels + tv.POWERS[4])])
     return _taken(labels, number, taken)
 
 
@@ -112,60 +125,116 @@ def _taken(labels: np.ndarray, number: int, taken: int) -> np.ndarray:
 
 
 def bitmap(labels: np.ndarray) -> bytes:
-    """A text's labelled shingles as the set bits of a power of two of bits, at least two for each shingle up to BITS."""
-    size = min(BITS, max(64, 1 << (2 * len(labels) - 1).bit_length()))
+    """A text's labelled words as the set bits of a power of two of bits, at least SPARSE for each word up to BITS."""
+    size = min(BITS, max(64, 1 << (SPARSE * len(labels) - 1).bit_length()))
     bits = np.zeros(size, np.uint8)
     bits[(tv.mix(labels) & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
 def signatures(docs: DataFrame, *, words: int = WORDS, number: int = SKETCHES, taken: int = TAKEN) -> DataFrame:
-    """doc_id, two hashes of the words (null without words), n shingles, the sketches and the bitmap of every whole text."""
+    """doc_id, h (hash of the text), two hashes of the words (null without words), n words, the sketches and the bitmap of every whole text."""
     ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(2).to_pylist()]
             for a, b in chunks(texts):
-                own, edge, marks, n = shingles(texts[a:b], words)
+                h, cut = words_of(texts[a:b])
+                own, edge = shingles(h, cut, words)
+                bags = labelled_values(h, cut)
                 got = [sketches(own[i:j], number, taken).view(np.int64) if j > i else np.zeros(0, np.int64) for i, j in zip(edge[:-1], edge[1:], strict=True)]
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in got]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(got) if got else np.zeros(0, np.int64)))
-                ids = batch.column(0).slice(a, b - a).cast(pa.int64())
-                maps = pa.array([bitmap(own[i:j]) if j > i else None for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(m.view(np.int64), mask=n == 0) for m in marks), pa.array(np.diff(edge)), lists, maps], names=["doc_id", "mark1", "mark2", "n", "sketches", "bits"])
-
-    return clean(docs, "doc_id", "text").mapInArrow(run, "doc_id long, mark1 long, mark2 long, n long, sketches array<long>, bits binary")
-
-
-def aligned(a: np.ndarray, b: np.ndarray, similar: float = SIMILAR) -> float:
-    """L / (n1 + n2 - L) of two labelled sequences, or 0 where it is known to stay below `similar`.
-
-    Labelled shingles occur once, so the common ones are points in the plane
-    and L is the longest increasing chain. A similar pair needs few insertions
-    and deletions; points further from the diagonal than that are left out.
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(got)))
+                maps = pa.array([bitmap(bags[i:j]) if m else None for i, j, m in zip(cut[:-1], cut[1:], np.diff(edge), strict=True)], pa.binary())
+                marks = (pa.array(m.view(np.int64), mask=np.diff(cut) == 0) for m in text_marks(h, cut))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a).cast(pa.int64()) for c in (0, 1)), *marks, pa.array(np.diff(cut)), lists, maps], names=["doc_id", "h", "mark1", "mark2", "n", "sketches", "bits"])
+
+    return clean(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, mark1 long, mark2 long, n long, sketches array<long>, bits binary")
+
+
+def chain(at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Which of these points (in order of `at`, then falling `to`) form a longest chain that rises in both."""
+    if len(to) < 2 or (np.diff(to) > 0).all():
+        return np.arange(len(to))
+    tails, last, before = [], [], np.full(len(to), -1)
+    for i, x in enumerate(to.tolist()):
+        k = bisect_left(tails, x)
+        if k:
+            before[i] = last[k - 1]
+        if k == len(tails):
+            tails.append(x)
+            last.append(i)
+        else:
+            tails[k], last[k] = x, i
+    out = [last[-1]]
+    while before[out[-1]] >= 0:
+        out.append(int(before[out[-1]]))
+    return np.array(out[::-1])
+
+
+def anchored(a: np.ndarray, b: np.ndarray, words: int = WORDS) -> int:
+    """Length of a common subsequence that follows common shingles: never more than the longest one's, and mostly equal."""
+    la, lb = (shingles(x, np.array([0, len(x)]), words)[0] for x in (a, b))
+    _, at, to = np.intersect1d(la, lb, assume_unique=True, return_indices=True)
+    order = np.argsort(at, kind="stable")
+    best = chain(at[order], to[order])
+    at, to = at[order][best], to[order][best]
+    if not len(at):
+        return 0
+    points = np.unique(((at[:, None] + np.arange(words)) * (len(b) + 1) + (len(b) - to[:, None] - np.arange(words))).ravel())
+    at, to = points // (len(b) + 1), len(b) - points % (len(b) + 1)
+    best = chain(at, to)
+    at, to = at[best], to[best]
+    step = np.flatnonzero((np.diff(at) == np.diff(to)) & (np.diff(at) > 1))  # words replaced one by one
+    size = np.diff(at)[step] - 1
+    off = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + 1
+    return len(at) + int((a[np.repeat(at[step], size) + off] == b[np.repeat(to[step], size) + off]).sum())
+
+
+def banded(a: np.ndarray, b: np.ndarray, below: int, above: int) -> int:
+    """Longest common subsequence that skips at most `below` elements of a and `above` of b, row by row within that band."""
+    width = below + above + 1
+    row = np.zeros(width, np.int64)  # row[k] belongs to b's prefix of i - below + k elements
+    padded = np.concatenate([np.zeros(below, np.uint64), b, np.zeros(above + 1 + len(a), np.uint64)])
+    inside = np.arange(width) - below
+    for i in range(len(a)):
+        j = inside + i  # a[i] against b[j]: the new entry k ends at b[j]
+        hit = (padded[i : i + width] == a[i]) & (j >= 0) & (j < len(b))
+        row = np.maximum(np.append(row[1:], 0), row + hit)
+        row = np.maximum.accumulate(row)
+    return int(row.max())
+
+
+def aligned(a: np.ndarray, b: np.ndarray, similar: float = SIMILAR, words: int = WORDS) -> float:
+    """L / (n1 + n2 - L) of two sequences of words, or 0 where it stays below `similar`.
+
+    What both begin and end with is common. Of the rest a chain along common
+    shingles gives a common subsequence; where that is too short, but the
+    words in any order would do, the band that a similar pair cannot leave is
+    searched row by row.
     """
     total = len(a) + len(b)
     need = similar / (1 + similar) * total - 1e-9
-    _, at, to = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    band = total - 2 * need
-    near = np.abs(at - to) <= band + 1
-    at, to = at[near], to[near]
-    if len(at) < need:
+    least = min(len(a), len(b))
+    if least < need:
         return 0.0
-    line = to[np.argsort(at, kind="stable")]
-    if (np.diff(line) > 0).all():
-        chain = len(line)
-    else:
-        tails: list[int] = []
-        for x in line.tolist():
-            k = bisect_left(tails, x)
-            if k == len(tails):
-                tails.append(x)
-            else:
-                tails[k] = x
-        chain = len(tails)
-    return chain / (total - chain) if chain >= need else 0.0
+    differ = np.flatnonzero(a[:least] != b[:least])
+    head = int(differ[0]) if len(differ) else least
+    differ = np.flatnonzero(a[len(a) - least + head :][::-1] != b[len(b) - least + head :][::-1])
+    tail = int(differ[0]) if len(differ) else least - head
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    size = head + tail
+    if len(x) and len(y):
+        one, two = (np.unique(v, return_counts=True) for v in (x, y))
+        _, i, j = np.intersect1d(one[0], two[0], assume_unique=True, return_indices=True)
+        if size + np.minimum(one[1][i], two[1][j]).sum() < need:
+            return 0.0
+        more = anchored(x, y, words)
+        if size + more < need:
+            more = banded(x, y, int(len(a) - need), int(len(b) - need))
+        size += more
+    return size / (total - size) if size >= need else 0.0
 
 
 def verified(pairs: DataFrame, texts: DataFrame, *, words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
@@ -175,40 +244,38 @@ def verified(pairs: DataFrame, texts: DataFrame, *, words: int = WORDS, similar:
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: tuple[object, np.ndarray] = (None, np.zeros(0))
         for batch in batches:
-            one, two = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ok = []
-            for i, b in enumerate(two):
-                if known[0] != b:
-                    known = (b, shingles([batch.column(3)[i].as_py() or ""], words)[0])
-                ok.append(aligned(shingles([batch.column(2)[i].as_py() or ""], words)[0], known[1], similar) > 0)
-            good = [i for i, x in enumerate(ok) if x]
-            yield pa.RecordBatch.from_arrays([pa.array([one[i] for i in good], pa.int64()), pa.array([two[i] for i in good], pa.int64())], names=["a", "b"])
+            one, two = ([t or "" for t in batch.column(c).to_pylist()] for c in (2, 3))
+            good: list[int] = []
+            for s, e in chunks([x if len(x) > len(y) else y for x, y in zip(one, two, strict=True)]):
+                (p, cp), (q, cq) = words_of(one[s:e]), words_of(two[s:e])
+                good += [s + i for i in range(e - s) if aligned(p[cp[i] : cp[i + 1]], q[cq[i] : cq[i + 1]], similar, words) > 0]
+            yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is among ids.
+def place(column: str) -> Column:
+    """The bit of an id in the filter."""
+    return F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER))
 
-    A filter of FILTER bits, of fixed size whatever the corpus, drops most
-    other documents before any text is shuffled; the join after it is exact.
-    """
 
-    def place(column: str) -> Column:
-        return F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER))
+def filter_words(ids: DataFrame) -> DataFrame:
+    """(word, _bits): a filter of FILTER bits on the column doc_id, in words of 64 bits; of fixed size whatever the corpus."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place("doc_id") % 64).cast("int"))
+    return ids.select(F.floor(place("doc_id") / 64).cast("long").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("_bits"))
+
 
-    words = ids.select(F.floor(place("doc_id") / 64).cast("long").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place("doc_id") % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("_bits"))
-    near = rows.where(F.col("doc_id").isNotNull()).join(F.broadcast(words), F.floor(place("doc_id") / 64).cast("long") == F.col("word")).where(F.getbit("_bits", (place("doc_id") % 64).cast("int")) == 1)
-    near = keep(near.select(*rows.columns), "near")  # else the exact join is moved below the filter
-    return near.join(ids, "doc_id", "left_semi")
+def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is among ids, which are distinct. The filter drops most other documents before any text is shuffled; the join after it is exact."""
+    near = rows.where(F.col("doc_id").isNotNull()).join(F.broadcast(filter_words(ids)), F.floor(place("doc_id") / 64).cast("long") == F.col("word")).where(F.getbit("_bits", (place("doc_id") % 64).cast("int")) == 1)
+    return near.select(*rows.columns).join(ids, "doc_id")  # a semi-join would be moved below the filter
 
 
 def involved(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One text for each document that a pair names."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    return among(clean(docs, "doc_id", "text"), ids).groupBy("doc_id").agg(F.min("text").alias("text"))
+    """One text for each document that a pair names: of a doc_id with several, that with the smallest hash."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    return among(clean(docs, "doc_id", "text"), ids).groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def labelled(rows: DataFrame, column: str, reached: DataFrame, out: str) -> DataFrame:
@@ -226,13 +293,13 @@ def distances(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return out
 
 
-def block_pairs(side: np.ndarray, ids: np.ndarray, n: np.ndarray, part: np.ndarray, bits: list[bytes], limit: int, similar: float = SIMILAR) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs (smaller id first) of one block pair that differ in class and may be near copies, and whether any was left out.
+def block_pairs(side: np.ndarray, ids: np.ndarray, n: np.ndarray, part: np.ndarray, bits: list[bytes], limit: int, similar: float = SIMILAR) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Pairs (smaller id, larger id, share of bits that differ) of one block pair that differ in class and may be near copies, and whether any was left out.
 
     side: 0 and 1 where rows of side 0 meet those of side 1 only, 2 where all
     meet. Each row hands on its `limit` nearest by bitmap. Two near copies
-    share at least `need` shingles, so at most n1 + n2 - 2 need bits differ:
-    no near copy is dropped by that. A wider bitmap is folded to the narrower
+    share at least `need` words, so at most n1 + n2 - 2 need bits differ: no
+    near copy is dropped by that. A wider bitmap is folded to the narrower
     one's width; lengths of near copies are so close that one fold serves.
     """
     width = np.array([len(x) // 8 for x in bits])
@@ -267,7 +334,7 @@ def block_pairs(side: np.ndarray, ids: np.ndarray, n: np.ndarray, part: np.ndarr
                 x, y = np.nonzero(fit[kept] & (apart <= most[kept]))
                 far.append((at[i[x]].astype(np.int32), at[j[y]].astype(np.int32), (apart[x, y] / total[kept][x, y]).astype(np.float32)))
     if not far:
-        return [], False
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), False
     x, y, d = (np.concatenate(c) for c in zip(*far, strict=True))
     a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
     pairs = np.arange(len(x), dtype=np.int32)
@@ -276,7 +343,7 @@ def block_pairs(side: np.ndarray, ids: np.ndarray, n: np.ndarray, part: np.ndarr
     first = np.flatnonzero(np.diff(ends[order], prepend=-1))
     rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
     chosen = np.unique(whose[order][rank < limit])
-    return [(int(a[k]), int(b[k])) for k in chosen], len(chosen) < len(x)
+    return a[chosen], b[chosen], d[chosen], len(chosen) < len(x)
 
 
 def likely(pairs: DataFrame, bits: DataFrame, *, similar: float = SIMILAR) -> DataFrame:
@@ -299,22 +366,26 @@ def likely(pairs: DataFrame, bits: DataFrame, *, similar: float = SIMILAR) -> Da
 
 
 def blocks_apart(placed: DataFrame, main: DataFrame, bits: DataFrame, limit: int, *, similar: float = SIMILAR) -> DataFrame:
-    """(a, b, more): pairs of different classes that a bucket holds and bitmaps do not rule out.
+    """(key, a, b, d, more): pairs of different classes that a bucket holds and bitmaps do not rule out, and the share of bits that differ.
 
-    The class that has most of a bucket and the rest are dealt into blocks of
-    about BLOCK documents by a hash. Every block of the rest meets every
-    block, each two in one task. more: pairs of that task were left out, as
-    each document hands on its `limit` nearest ones there.
+    A bucket of up to BLOCK documents is one block. Of a larger one the class
+    that has most of it and the rest are dealt into blocks of about BLOCK
+    documents by a hash; every block of the rest meets every block, each two
+    in one task. more: pairs of that task were left out, as each document
+    hands on its `limit` nearest ones there.
     """
-    rows = placed.join(main.select("k", "main", (F.floor((F.col("most") - 1) / BLOCK) + 1).alias("_m"), (F.floor((F.col("total") - F.col("most") - 1) / BLOCK) + 1).alias("_r")), F.col("key") == F.col("k"))
+    rows = placed.join(main.select("k", "main", "total", (F.floor((F.col("most") - 1) / BLOCK) + 1).alias("_m"), (F.floor((F.col("total") - F.col("most") - 1) / BLOCK) + 1).alias("_r")), F.col("key") == F.col("k"))
     rows = rows.withColumn("_rest", F.col("part") != F.col("main")).withColumn("_own", F.pmod(F.xxhash64("a", "key"), F.when(F.col("_rest"), F.col("_r")).otherwise(F.col("_m"))))
+    small = F.col("total") <= BLOCK
+    alone = rows.where(small).select("key", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), "a", "na", "part", F.lit(2).alias("side"))
+    rows = rows.where(~small)
     # blocks of the rest are numbered from 0, those of the main class are -1, -2 and so on
     others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_r") - 1), lambda r: F.struct(F.least(r, F.col("_own")).alias("lo"), F.greatest(r, F.col("_own")).alias("hi")))
     mains = F.transform(F.sequence(F.lit(1).cast("long"), F.col("_m")), lambda m: F.struct((-m).alias("lo"), F.col("_own").alias("hi")))
     met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_r") - 1), lambda r: F.struct((-F.col("_own") - 1).alias("lo"), r.alias("hi")))
     rows = rows.select("key", "a", "na", "part", "_rest", "_own", F.explode(F.when(F.col("_rest"), F.concat(others, mains)).otherwise(met)).alias("_p"))
     side = F.when(F.col("_p.lo") == F.col("_p.hi"), 2).when(F.col("_rest") & (F.col("_own") == F.col("_p.hi")), 1).otherwise(0)
-    rows = rows.select("key", F.col("_p.lo").alias("lo"), F.col("_p.hi").alias("hi"), "a", "na", "part", side.alias("side"))
+    rows = alone.union(rows.select("key", F.col("_p.lo").alias("lo"), F.col("_p.hi").alias("hi"), "a", "na", "part", side.alias("side")))
     rows = rows.join(bits.withColumnRenamed("doc_id", "_d"), F.col("a") == F.col("_d")).drop("_d")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,9 +393,10 @@ def blocks_apart(placed: DataFrame, main: DataFrame, bits: DataFrame, limit: int
 
         def done() -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
-            pairs, more = block_pairs(*(t.column(c).to_numpy() for c in ("side", "a", "na", "part")), t.column("bits").to_pylist(), limit, similar)
+            key = t.column("key")[0].as_py()
+            a, b, d, more = block_pairs(*(t.column(c).to_numpy() for c in ("side", "a", "na", "part")), t.column("bits").to_pylist(), limit, similar)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64()), pa.array([more] * len(pairs), pa.bool_())], names=["a", "b", "more"])
+            return pa.RecordBatch.from_arrays([pa.array([key] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.float32()), pa.array([more] * len(a), pa.bool_())], names=["key", "a", "b", "d", "more"])
 
         last = None
         for batch in batches:
@@ -340,73 +412,137 @@ def blocks_apart(placed: DataFrame, main: DataFrame, bits: DataFrame, limit: int
         if held:
             yield done()
 
-    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long, more boolean")
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "key long, a long, b long, d float, more boolean")
 
 
 def still_apart(members: DataFrame, reached: DataFrame, bits: DataFrame, limit: int, *, similar: float = SIMILAR) -> DataFrame:
-    """(a, b, more): pairs of a bucket that lie in different components and are to be aligned in this round.
+    """(key, a, b, d, more): pairs of a bucket that lie in different components and may be near copies.
 
     Buckets of all sizes are compared block by block, see `blocks_apart`; a
-    pair is due if it meets in one bucket. bits: doc_id and bitmap of every
+    pair is due if it meets in one bucket. The bucket's smallest document is
+    left out: every other one was held against it before. bits: doc_id and bitmap of every
     document in members.
     """
-    placed = keep(labelled(members, "a", reached, "part").select("key", "a", "na", "part"), "placed")
+    placed = keep(labelled(members.where("a <> b"), "a", reached, "part").select("key", "a", "na", "part"), "placed")
     parts = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
     main = parts.groupBy(F.col("key").alias("k")).agg(F.sum("n").alias("total"), F.count("*").alias("parts"), F.max(F.struct("n", (-F.col("part")).alias("p"))).alias("m")).where("parts > 1")
     main = keep(main.select("k", "total", F.col("m.n").alias("most"), (-F.col("m.p")).alias("main")), "main")
-    return blocks_apart(placed, main, bits, limit, similar=similar).groupBy("a", "b").agg(F.max("more").alias("more"))
+    return blocks_apart(placed, main, bits, limit, similar=similar)
+
+
+def closest(due: DataFrame, limit: int) -> DataFrame:
+    """The pairs (a, b) that are among the `limit` nearest of one of their documents."""
+    ends = due.select(F.col("a").alias("id"), "a", "b", "d").union(due.select(F.col("b").alias("id"), "a", "b", "d"))
+    order = Window.partitionBy("id").orderBy("d", "a", "b")
+    return ends.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit).select("a", "b").distinct()
+
+
+def one_text(signed: DataFrame) -> DataFrame:
+    """signed, where a doc_id has rows of different texts with the text of the smallest hash in all of them."""
+    twice = signed.where("doc_id is not null").groupBy(F.col("doc_id").alias("_d")).agg(F.min("h").alias("_h"), F.max("h").alias("_last")).where("_h <> _last").drop("_last")
+    twice = keep(twice, "twice")
+    if twice.isEmpty():
+        return signed
+    some = signed.join(twice, F.col("doc_id") == F.col("_d"), "left")
+    told = some.where("h = _h").groupBy("doc_id").agg(*(F.min(c).alias(c) for c in signed.columns[1:]))
+    plain = signed.join(twice, F.col("doc_id") == F.col("_d"), "left_anti")
+    rows = signed.select("doc_id").join(told, "doc_id").select(*signed.columns)
+    return keep(plain.union(rows), "signed")
 
 
 def classes(docs: DataFrame, *, words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
     """doc_id, class_id, kept for every row: class_id is the smallest doc_id reachable over near copies, kept marks it.
 
     Equal word sequences fall into one class first, and one of them goes on.
-    Each document is aligned with the smallest one of every bucket (sketch)
-    that it is in. Then rounds follow over the buckets that still hold several
-    classes: each document is aligned with its nearest ones of other classes,
-    GROWTH times as many each round, until a round leaves none out: see
-    `still_apart`. A large group of near copies thus costs some alignments a
-    document, as it becomes one class before its other pairs are due. Null texts and texts without words are alone. Rows that repeat a
-    doc_id get the same class; a null doc_id has class null and is kept.
+    Each document is aligned with one other: of the smallest documents of its
+    buckets (sketches) the one that it meets most often. A large group of near
+    copies becomes one class by that, or a few. Each document is then aligned
+    with the smallest ones of its buckets that are in another class still. What
+    the buckets still hold of different classes follows in WAVES, see
+    `still_apart`: each document is aligned with its nearest ones of other
+    classes, then with all that are in another class still; a bucket that left
+    pairs out is compared again. Null texts and
+    texts without words are alone. A doc_id is one document: rows that repeat
+    it get the same class, and of different texts the one with the smallest
+    hash speaks for it. A null doc_id has class null and is kept.
     """
-    signed = keep(signatures(docs, words=words), "signed")
+    signed = one_text(keep(signatures(docs, words=words), "signed"))
     copies = signed.where("mark1 is not null and doc_id is not null").groupBy(F.col("mark1").alias("m1"), F.col("mark2").alias("m2")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").drop("last")
     known = signed.join(copies, (F.col("mark1") == F.col("m1")) & (F.col("mark2") == F.col("m2")), "left")
-    firsts = keep(known.select("doc_id", F.coalesce("first", "doc_id").alias("first"), "n", "sketches", "bits"), "firsts")
-    sketched = firsts.where("doc_id = first and n > 0").dropDuplicates(["doc_id"])
+    firsts = keep(known.select("doc_id", F.coalesce("first", "doc_id").alias("first"), "n", F.when(F.col("doc_id") == F.coalesce("first", "doc_id"), F.col("sketches")).alias("sketches")), "firsts")
+    sketched = firsts.where("size(sketches) > 0").dropDuplicates(["doc_id"])
     rows = sketched.select("doc_id", "n", F.explode("sketches").alias("key"))
     buckets = rows.groupBy(F.col("key").alias("k")).agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).where("b <> last").drop("last")
     members = keep(rows.join(buckets, F.col("key") == F.col("k")).select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), "b"), "members")
 
-    held = among(firsts.where("doc_id = first and n > 0").select("doc_id", "bits"), members.select(F.col("a").alias("doc_id")).distinct())
+    held = among(signed.where("bits is not null").select("doc_id", "bits"), members.select(F.col("a").alias("doc_id")).distinct())
     bits = keep(held.groupBy("doc_id").agg(F.min("bits").alias("bits")), "bits")
     sizes = sketched.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"))
     near = F.least("na", "nb") >= F.greatest("na", "nb") * similar
-    pairs = members.where("a <> b").select("a", "na", "b").distinct().join(sizes, "b").where(near).select("a", "na", "b", "nb")
-    pairs = keep(likely(pairs, bits, similar=similar), "pairs")
-    found = keep(verified(pairs, keep(involved(docs, pairs), "texts"), words=words, similar=similar), "links")
-    reached = components(found)
-    tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    limit = FIRST
-    while True:
-        due = keep(still_apart(members, reached, bits, limit, similar=similar), "due")
-        rest = keep(due.select("a", "b").join(tested, ["a", "b"], "left_anti"), "apart")
-        if not rest.isEmpty():
-            tested = tested.union(rest)
-            more = keep(verified(rest, keep(involved(docs, rest), "texts"), words=words, similar=similar), "links")
-            if not more.isEmpty():
-                found = found.union(more)
-                reached = components(found)
-        if due.where("more").isEmpty():
-            break
-        limit *= GROWTH
+    met = members.where("a <> b").groupBy("a", "na", "b").agg(F.count("*").alias("times")).join(sizes, "b").where(near)
+    met = keep(met, "met")
+
+    found = docs.sparkSession.createDataFrame([], "a long, b long")
+    tested, reached, rounds = found, None, 0
+    most = met.groupBy("a").agg(F.max_by(F.struct("na", "b", "nb"), F.struct("times", -F.col("b"))).alias("m")).select("a", "m.*")
+
+    def align(pairs: DataFrame) -> None:
+        """Verify the pairs and follow what they link."""
+        nonlocal found, tested, reached, rounds
+        rounds += 1
+        tested = tested.union(pairs)
+        if rounds % 4 == 0:  # else plans grow with the rounds
+            tested, found = keep(tested, "tested"), keep(found, "found")
+        more = keep(verified(pairs, keep(involved(docs, pairs), "texts"), words=words, similar=similar), "links")
+        if reached is None or not more.isEmpty():
+            found = found.union(more)
+            reached = components(found)
+
+    align(keep(likely(most, bits, similar=similar).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs"))
+    apart = labelled(labelled(met.select("a", "na", "b", "nb"), "a", reached, "pa"), "b", reached, "pb").where("pa <> pb").drop("pa", "pb")
+    rest = likely(apart, bits, similar=similar).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    align(keep(rest.join(tested, ["a", "b"], "left_anti"), "pairs"))
+    for low, high, handed in WAVES:
+        wave = members.where(F.pmod("key", F.lit(8)).between(low, high - 1))
+        while True:
+            met = keep(still_apart(wave, reached, bits, handed, similar=similar), "due")
+            due = keep(met.groupBy("a", "b").agg(F.min("d").alias("d")).join(tested, ["a", "b"], "left_anti"), "apart")
+            if not due.isEmpty():
+                now = keep(closest(due, FIRST), "pairs")
+                align(now)
+                rest = labelled(labelled(due.select("a", "b").join(now, ["a", "b"], "left_anti"), "a", reached, "pa"), "b", reached, "pb").where("pa <> pb")
+                rest = keep(rest.select("a", "b"), "pairs")
+                if not rest.isEmpty():
+                    align(rest)
+            again = met.where("more").select("key").distinct()
+            if again.isEmpty():
+                break
+            wave = wave.join(again, "key", "left_semi")
+            handed *= GROWTH
     out = labelled(firsts.select("doc_id", "first"), "first", reached, "class_id")
     return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is not among ids (one row for each, in a table). Only rows that hit a filter of fixed size are shuffled for the exact join."""
+    words = filter_words(ids)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    sure = docs.select(F.struct(*columns).alias("_row"), F.col("doc_id").alias("_d"))
+    marked = sure.join(F.broadcast(words), F.floor(place("_d") / 64).cast("long") == F.col("word"), "left")
+    hit = F.coalesce(F.getbit("_bits", (place("_d") % 64).cast("int")) == 1, F.lit(False))
+    passed = marked.where(~hit).select("_row")
+    rest = marked.where(hit).select("_row", "_d").join(ids.select(F.col("doc_id").alias("_i")), F.col("_d") == F.col("_i"), "left_anti").select("_row")
+    return passed.union(rest).select(*(F.col("_row")[c].alias(c) for c in docs.columns))
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each class, all columns kept; of rows that repeat a doc_id one stays."""
+    """One document of each class, all columns kept; of rows that repeat a doc_id that with the smallest hash of its text stays."""
     found = keep(classes(docs), "classes")
-    out = docs.join(found.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return out if repeated.isEmpty() else out.where("doc_id is not null").dropDuplicates(["doc_id"]).union(out.where("doc_id is null"))
+    out = without(docs, keep(found.where(~F.col("kept")).select("doc_id").distinct(), "dropped"))
+    repeated = keep(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return out
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    again = out.select(F.struct(*columns).alias("_row"), F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_h")).join(repeated.select(F.col("doc_id").alias("_i")), F.col("_d") == F.col("_i"), "left_semi")
+    one = again.groupBy("_d").agg(F.min_by("_row", "_h").alias("_row")).select(*(F.col("_row")[c].alias(c) for c in docs.columns))
+    return without(out, repeated).union(one)
