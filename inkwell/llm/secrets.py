@@ -10,6 +10,7 @@ whole millionths, so sums are exact and do not drift.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,34 +41,47 @@ KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 SPAN = "array<struct<start: long, rank: int, end: long>>"
 
 
+def prefixed(items: Column, value: Callable[[Column], Column], plus: Callable[[Column, Column], Column], per: int = 256) -> Column:
+    """Each item with what the values of all earlier ones come to, as (item, before), starting from 0.
+
+    An array that grows by one costs its length each time, so items go by
+    blocks of `per`: first the blocks' values, then the items of each block.
+    """
+    zero = F.lit(0).cast("long")
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(items) / per).cast("int") - 1, F.lit(0))), lambda i: F.slice(items, i * per + 1, per))
+    sums = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda a, x: plus(a, value(x)).cast("long")))
+    first = F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out"))
+    starts = F.aggregate(sums, first, lambda a, x: F.struct(plus(a["at"], x).cast("long").alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    def inside(block: Column, start: Column) -> Column:
+        own = F.aggregate(F.slice(block, F.lit(1), F.greatest(F.size(block) - 1, F.lit(0))), F.struct(start.alias("at"), F.array(start).alias("out")), lambda a, x: F.struct(plus(a["at"], value(x)).cast("long").alias("at"), F.concat(a["out"], F.array(plus(a["at"], value(x)).cast("long"))).alias("out")), lambda a: a["out"])
+        return F.zip_with(block, own, lambda x, at: F.struct(x.alias("item"), at.alias("before")))
+
+    return F.filter(F.flatten(F.zip_with(blocks, starts, inside)), lambda x: x["item"].isNotNull())
+
+
+def add(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def found(text: Column, pattern: str, rank: int, least_value: int = 0) -> Column:
     """Spans (start, rank, end) of the pattern's matches, left to right; with least_value, of those whose second group is so long."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if least_value else whole
     matches = F.zip_with(whole, value, lambda m, v: F.struct(F.length(m).alias("n"), (F.length(v) >= least_value).alias("ok")))
-    steps = F.zip_with(F.split(text, pattern, -1), matches, lambda gap, m: F.struct(F.length(gap).alias("gap"), m["n"].alias("n"), m["ok"].alias("ok")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        begin = a["at"] + s["gap"]
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), (begin + s["n"]).alias("end"))
-        return F.struct((begin + F.coalesce(s["n"], F.lit(0))).cast("long").alias("at"), F.when(s["ok"], F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
-
-    return F.when(text.rlike(pattern), F.aggregate(steps, start, step, lambda a: a["out"])).otherwise(F.array().cast(SPAN))
+    steps = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)), matches, lambda gap, m: F.struct(F.length(gap).alias("gap"), m["n"].alias("n"), m["ok"].alias("ok")))
+    kept = F.filter(prefixed(steps, lambda s: s["gap"] + s["n"], add), lambda x: x["item"]["ok"])
+    spans = F.transform(kept, lambda x: F.struct((x["before"] + x["item"]["gap"]).alias("start"), F.lit(rank).alias("rank"), (x["before"] + x["item"]["gap"] + x["item"]["n"]).alias("end")))
+    return F.when(text.rlike(pattern), spans.cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
 def candidates(text: Column) -> Column:
     """Candidate strings with the place where each begins."""
-    steps = F.zip_with(F.split(text, CANDIDATE, -1), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
+    whole = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    steps = F.zip_with(F.slice(F.split(text, CANDIDATE, -1), F.lit(1), F.size(whole)), whole, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
     kind = "array<struct<start: long, value: string>>"
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        begin = a["at"] + F.length(s["gap"])
-        one = F.struct(begin.alias("start"), s["m"].alias("value"))
-        return F.struct((begin + F.coalesce(F.length(s["m"]), F.lit(0))).cast("long").alias("at"), F.when(s["m"].isNotNull(), F.concat(a["out"], F.array(one))).otherwise(a["out"]).alias("out"))
-
-    return F.when(text.rlike(CANDIDATE), F.aggregate(steps, start, step, lambda a: a["out"])).otherwise(F.array().cast(kind))
+    placed = F.transform(prefixed(steps, lambda s: s["gap"] + F.length(s["m"]), add), lambda x: F.struct((x["before"] + x["item"]["gap"]).alias("start"), x["item"]["m"].alias("value")))
+    return F.when(text.rlike(CANDIDATE), placed.cast(kind)).otherwise(F.array().cast(kind))
 
 
 def hot_range(value: Column, window: int = WINDOW) -> Column:
@@ -145,14 +159,11 @@ def scan(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """docs with every span replaced by the mask, spans that overlap by one; n_chars follows the text. Other texts are unchanged."""
     spans = F.array_sort(F.concat("base", "added"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        fresh = s["start"] >= a["at"]
-        between = F.substring("text", (a["at"] + 1).cast("int"), F.greatest(s["start"] - a["at"], F.lit(0)).cast("int"))
-        return F.struct(F.greatest(s["end"], a["at"]).alias("at"), F.when(fresh, F.concat(a["out"], between, F.lit(mask))).otherwise(a["out"]).alias("out"))
-
-    rest = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring("text", (a["at"] + 1).cast("int"), F.lit(2**31 - 1))))
+    # a span that begins where all before it have ended masks the text between; others lie in one that was masked
+    fresh = F.filter(prefixed(spans, lambda s: s["end"], F.greatest), lambda x: x["item"]["start"] >= x["before"])
+    parts = F.transform(fresh, lambda x: F.concat(F.substring("text", (x["before"] + 1).cast("int"), (x["item"]["start"] - x["before"]).cast("int")), F.lit(mask)))
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+    rest = F.concat(F.array_join(parts, ""), F.substring("text", (last + 1).cast("int"), F.lit(2**31 - 1)))
     marked = scanned(boxed(docs, "text"))
     out = unboxed(marked.withColumn("text", F.when((F.size("base") > 0) | (F.size("added") > 0), rest).otherwise(F.col("text"))), docs.columns, "text")
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
