@@ -8,6 +8,7 @@ number of the text's bigrams and by the number that it shares at all.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -111,11 +112,12 @@ def passages(grams: np.ndarray, known: Library, least: float) -> list[tuple[str,
                 score, end = best_end(at[i : until[i]], code[i : until[i]], template[1], size)
                 if score >= least:
                     found.append((score, int(at[i]), end, name))
-    out: list[tuple[str, float, int, int]] = []
+    out: list[tuple[int, int, str, float]] = []  # disjoint, in order of place
     for score, a, b, name in sorted(found, key=lambda x: (-x[0], x[1] - x[2], x[1], x[3])):
-        if all(b <= c or a >= d for _, _, c, d in out):
-            out.append((name, score, a, b))
-    return sorted(out, key=lambda x: x[2])
+        k = bisect_left(out, (a,))
+        if (k == 0 or out[k - 1][1] <= a) and (k == len(out) or b <= out[k][0]):
+            out.insert(k, (a, b, name, score))
+    return [(name, score, a, b) for a, b, name, score in out]
 
 
 def scan(docs: DataFrame, *, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
