@@ -21,7 +21,7 @@ COVER = 0.98
 def probing(x: np.ndarray, c: np.ndarray, top: int = TOP, asked: int = 200) -> int:
     """The fewest lists, by centroid's inner product, that hold COVER of the sample queries' exact neighbours."""
     q = x[:: max(1, len(x) // asked)]
-    own = pq.nearest(x, c).argmin(axis=1)
+    own = pq.closest(x, c)
     place = np.empty((len(q), len(c)), np.int64)
     np.put_along_axis(place, np.argsort(-(q @ c.T), axis=1, kind="stable"), np.arange(len(c))[None, :], axis=1)
     k = min(top + 1, len(x))

@@ -20,8 +20,9 @@ from pyspark.sql import types as T
 
 from .runtime import bounded_sample, clean, keep, ready
 
-#: Bounds: rows that the index is fitted on, lists, codewords of a subspace, vectors and queries of a group.
-SAMPLE, LISTS, WORDS = 10_000, 1024, 256
+#: Lists grow with the square root of the number of vectors up to LISTS, and the rows that the index is fitted on with the
+#: lists: at least SAMPLE, PER_LIST for each list, so 98,304 at most. Codewords of a subspace; vectors and queries of a group.
+SAMPLE, PER_LIST, LISTS, WORDS = 10_000, 24, 4096, 256
 BLOCK, BATCH = 8192, 8192
 #: Dimensions of a subspace.
 WIDE = 4
@@ -46,12 +47,17 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (c * c).sum(axis=1) - 2 * x @ c.T
 
 
+def closest(x: np.ndarray, c: np.ndarray, step: int = 4096) -> np.ndarray:
+    """Which row of c is nearest each row of x, some rows at a time."""
+    return np.concatenate([nearest(x[a : a + step], c).argmin(axis=1) for a in range(0, len(x), step)])
+
+
 def means(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
     """Lloyd's k-means; a centre that loses all its points takes the place of a random one."""
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        near = nearest(x, c).argmin(axis=1)
+        near = closest(x, c)
         n = np.bincount(near, minlength=len(c))
         total = np.stack([np.bincount(near, x[:, j], len(c)) for j in range(x.shape[1])], axis=1)
         c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], x[rng.integers(0, len(x), len(c))])
@@ -96,16 +102,19 @@ class Index:
 
 
 def fit(rows: DataFrame, number: int, *, unit: bool, probing: Callable[[np.ndarray, np.ndarray], int], seed: int = 5) -> Index | None:
-    """Fit on at most SAMPLE vectors (those with the smallest hash of their id); None without rows."""
-    got = bounded_sample(rows, "vec_id", SAMPLE).limit(2 * SAMPLE).collect()
+    """Fit on a bounded sample (the vectors with the smallest hash of their id); None without rows."""
+    lists = max(1, min(LISTS, int(number**0.5 / 2)))
+    most = max(SAMPLE, PER_LIST * lists)
+    hashed = bounded_sample(rows, "vec_id", most).select("vec_id", "embedding", F.xxhash64("vec_id", "embedding").alias("h"))
+    got = hashed.orderBy("h", "vec_id").limit(most).collect()
     if not got:
         return None
-    got.sort(key=lambda r: r["vec_id"])
+    got.sort(key=lambda r: (r["vec_id"], r["h"]))
     x = np.array([r["embedding"] for r in got], np.float64)
     if unit:
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-    c = means(x, max(1, min(LISTS, int(number**0.5 / 2), len(x))), seed)
-    rest = x - c[nearest(x, c).argmin(axis=1)]
+    c = means(x, min(lists, len(x)), seed)
+    rest = x - c[closest(x, c)]
     dim = x.shape[1]
     cuts = np.linspace(0, dim, max(1, -(-dim // WIDE)) + 1).astype(int)
     books = [means(rest[:, a:b], WORDS, seed + m) for m, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
@@ -115,7 +124,7 @@ def fit(rows: DataFrame, number: int, *, unit: bool, probing: Callable[[np.ndarr
 def coded(rows: DataFrame, index: Index, *, probe_all: bool) -> DataFrame:
     """rows (vec_id, embedding, ...) with list, code, err, and probes (of queries only, unless probe_all)."""
     spark = ready(rows.sparkSession)
-    sent = spark.sparkContext.broadcast(index)  # LISTS centroids and WORDS codewords a subspace, whatever the corpus
+    sent = spark.sparkContext.broadcast(index)  # LISTS centroids and WORDS codewords a subspace at most, whatever the corpus
     names = rows.columns
     at = names.index("embedding")
     asks = None if probe_all else names.index("asks")
