@@ -43,23 +43,24 @@ def ngrams(codes: np.ndarray, begin: np.ndarray, end: np.ndarray, sizes: tuple[i
 def training_rows(labelled: DataFrame, rows: int, chars: int, seed: int = 7) -> list[tuple[int, str, object]]:
     """A bounded, reproducible sample of (doc_id, text, label): at most `rows` rows and `chars` characters.
 
-    Rows are taken in the order of a hash of doc_id until either bound is met;
-    the same table always gives the same sample, whatever its partitions.
+    Rows are taken in the order of a hash of doc_id, then of their text and
+    label, until either bound is met; the same table always gives the same
+    sample, whatever its partitions. At least one row is taken.
     """
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    sized = labelled.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).select("doc_id", "label", "text", order.alias("o"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
-    heads = sized.select("o", "doc_id", "n").orderBy("o", "doc_id").limit(rows).collect()
-    total, last = 0, None
+    key = [F.xxhash64(F.lit(seed), "doc_id").alias("o"), F.col("doc_id"), F.xxhash64("text", F.col("label").cast("string")).alias("h")]
+    sized = labelled.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).select(*key, F.length(F.coalesce("text", F.lit(""))).alias("n"), "label", "text")
+    heads = sized.select("o", "doc_id", "h", "n").orderBy("o", "doc_id", "h").limit(rows).collect()
+    total, taken = 0, 0
     for r in heads:
         total += r["n"]
-        if total > chars and last is not None:
+        if total > chars and taken:
             break
-        last = r["o"]
-    if last is None:
+        taken += 1
+    if not taken:
         return []
-    taken = sized.where(F.col("o") <= F.lit(last)).select("o", "doc_id", "text", "label").limit(2 * rows).collect()
-    taken.sort(key=lambda r: (r["o"], r["doc_id"], str(r["label"]), r["text"] or ""))
-    return [(r["doc_id"], r["text"] or "", r["label"]) for r in taken[:rows]]
+    last = F.struct(*(F.lit(heads[taken - 1][c]).cast("long").alias(c) for c in ("o", "doc_id", "h")))
+    got = sized.where(F.struct("o", F.col("doc_id").cast("long").alias("doc_id"), "h") <= last).orderBy("o", "doc_id", "h").limit(taken)
+    return [(r["doc_id"], r["text"] or "", r["label"]) for r in got.select("doc_id", "text", "label").collect()]
 
 
 def remainder(by: int, column: str = "doc_id") -> Column:
