@@ -236,7 +236,7 @@ def label_spans(docs: DataFrame, model: Model, *, switch: float = SWITCH) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        memo = tv.Memo(max(1, len(known.langs)), bits=20 if len(known.langs) <= 8 else 17)
+        memo = tv.Memo(max(1, len(known.langs)), bits=19 if len(known.langs) <= 8 else 16)
         for batch in batches:
             got = label_texts([t or "" for t in batch.column(1).to_pylist()], known, memo, switch)
             spans = [[{"lang": y, "begin": a, "end": b} for y, a, b in x[2]] for x in got]

@@ -11,6 +11,7 @@ from its own rank, which is worked out without gathering a length in one task.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ END_ID = 1
 #: A plan of more rows than this is joined by shuffle instead of broadcast (6 numbers a row: 5 MB).
 BROADCAST_ROWS = 100_000
 #: Ids kept for known words in a worker, 4 bytes each.
-POOL = 4_000_000
+POOL = 1_500_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -50,6 +51,7 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel already, and threads hold memory of their own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -58,8 +60,8 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.memo = tv.Memo(2, bits=20, kind=np.int64)
-        self.pool = np.zeros(1 << 16, np.uint32)
+        self.memo = tv.Memo(2, bits=19, kind=np.int32)
+        self.pool = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
     def whole(self, text: str) -> np.ndarray:
@@ -73,7 +75,7 @@ class Encoder:
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(flat)] = flat
-        rows = np.stack([self.used + np.cumsum(sizes) - sizes, sizes], axis=1)
+        rows = np.stack([self.used + np.cumsum(sizes) - sizes, sizes], axis=1).astype(np.int32)
         self.used += len(flat)
         return rows
 
@@ -95,7 +97,7 @@ class Encoder:
         begin, end = split(codes)
         rows = self.memo.get(h := tv.hashes(codes, begin, end), lambda at: self.learn(tv.strings(codes, begin[at], end[at])))
         del h
-        offset, size = rows[:, 0], rows[:, 1]
+        offset, size = rows[:, 0].astype(np.int64), rows[:, 1].astype(np.int64)
         flat = self.pool[np.repeat(offset - (np.cumsum(size) - size), size) + np.arange(size.sum())]
         last = np.concatenate(([0], np.cumsum(size)))
         cut = last[np.append(np.searchsorted(begin, starts), len(begin))]

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as tv
-from .runtime import boxed, chunks, ready, unboxed
+from .runtime import boxed, chunks, ready, trim, unboxed
 from .subwords import documents, ngrams, remainder, training_rows
 
 THRESHOLD = 0.3
@@ -75,7 +75,7 @@ def pairs(h: np.ndarray, cut: np.ndarray, buckets: int) -> tuple[np.ndarray, np.
 
 
 def features(texts: list[str], shape: Shape) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For training: each text's buckets and their shares of its features."""
+    """For training: each text's buckets and their shares of its features, as small as they can be, since all texts' stay in memory."""
     out = []
     for a, b in chunks(texts):
         codes, begin, end, cut = tokens(texts[a:b])
@@ -86,7 +86,7 @@ def features(texts: list[str], shape: Shape) -> list[tuple[np.ndarray, np.ndarra
         edge = np.searchsorted(found, np.arange(b - a + 1) * shape.buckets)
         for i in range(b - a):
             n = times[edge[i] : edge[i + 1]]
-            out.append((found[edge[i] : edge[i + 1]] - i * shape.buckets, n / max(1, n.sum())))
+            out.append(((found[edge[i] : edge[i + 1]] - i * shape.buckets).astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
     return out
 
 
@@ -96,8 +96,8 @@ def train(rows: list[tuple[int, str, object]], shape: Shape = Shape()) -> Model:
     vectors = rng.uniform(-1, 1, (shape.buckets, shape.width)) / shape.width
     out, bias = np.zeros((2, shape.width)), np.zeros(2)
     past, past_out, past_bias = np.full(vectors.shape, 1e-6), np.full(out.shape, 1e-6), np.full(2, 1e-6)
-    known = features([t for _, t, _ in rows], shape)
     truth = np.array([int(y) for *_, y in rows], np.int64)
+    known = features([t for _, t, _ in rows], shape)
     for _ in range(shape.epochs):
         order = rng.permutation(len(rows))
         for k in range(0, len(order), shape.batch):
@@ -157,7 +157,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = ROWS, chars: int = CH
     if heads["o"] is None:
         return train([], shape)
     some = one.where(order <= F.lit(heads["o"]))  # 2 * rows labels at most
-    return train(training_rows(documents(docs).join(F.broadcast(some), "doc_id"), rows, chars), shape)
+    model = train(training_rows(documents(docs).join(F.broadcast(some), "doc_id"), rows, chars), shape)
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -167,7 +169,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, memo = sent.value, tv.Memo(2, bits=20)
+        known, memo = sent.value, tv.Memo(2, bits=19)
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             got = pa.array(score_texts(texts, known, memo), pa.float64())

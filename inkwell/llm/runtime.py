@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+_libc = ctypes.CDLL(None)
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -51,7 +53,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def keep(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lineage ends, lost executors cost nothing."""
+    """Write df as Parquet in the shared folder and read it again: lineage ends, lost executors cost nothing.
+
+    The table stays until the cleaner of the cluster removes it, as
+    the result that a caller holds may still read it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/inkwell-{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
@@ -141,8 +147,15 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.select("id", F.col("root").alias("component"))
 
 
-def chunks(texts: list, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about `most` characters each, so that work arrays stay small; a longer text is its own range."""
+def trim() -> None:
+    """Give freed memory back to the system where the C library can, as workers live on from stage to stage."""
+    give_back = getattr(_libc, "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
+def chunks(texts: list, most: int = 250_000) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about `most` characters each, so that work arrays stay small; a longer text is its own range. Memory is trimmed at the end."""
     begin = size = 0
     for i, t in enumerate(texts):
         n = len(t) if t else 0
@@ -152,6 +165,7 @@ def chunks(texts: list, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
         size += n + 1
     if begin < len(texts):
         yield begin, len(texts)
+    trim()
 
 
 def boxed(docs: DataFrame, *used: str) -> DataFrame:
