@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embed_dedup, lang_id, licenses, mixing, order_minhash, packing, preference, quality, secrets
+from . import ann, embed_dedup, lang_id, licenses, mixing, order_minhash, packing, personal, preference, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,5 +68,25 @@ def op10_ann_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_license_scans, op3_preference_formatting, op4_best_fit_packing, op5_quality_classifier, op6_order_minhash, op7_secret_scans, op8_curriculum_mixing, op9_embedding_dedup, op10_ann_ivf_pq)}
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole document, by anchors and local parsers."""
+    return personal.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op2_license_scans,
+        op3_preference_formatting,
+        op4_best_fit_packing,
+        op5_quality_classifier,
+        op6_order_minhash,
+        op7_secret_scans,
+        op8_curriculum_mixing,
+        op9_embedding_dedup,
+        op10_ann_ivf_pq,
+        op11_personal_data,
+    )
+}
 SQL: dict[str, str] = {"op7_secret_scans": secrets.SQL, "op8_curriculum_mixing": mixing.SQL, "op3_preference_formatting": preference.SQL}
