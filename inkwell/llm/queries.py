@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embed_dedup, lang_id, licenses, mixing, order_minhash, packing, personal, preference, quality, secrets
+from . import ann, embed_dedup, lang_id, lexical, licenses, mixing, order_minhash, packing, personal, preference, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +73,11 @@ def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.scan(table(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that score highest for each benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -87,6 +92,7 @@ QUERIES: dict[str, Query] = {
         op9_embedding_dedup,
         op10_ann_ivf_pq,
         op11_personal_data,
+        op12_ranked_search,
     )
 }
-SQL: dict[str, str] = {"op7_secret_scans": secrets.SQL, "op8_curriculum_mixing": mixing.SQL, "op3_preference_formatting": preference.SQL}
+SQL: dict[str, str] = {"op7_secret_scans": secrets.SQL, "op8_curriculum_mixing": mixing.SQL, "op3_preference_formatting": preference.SQL, "op12_ranked_search": lexical.SQL}
