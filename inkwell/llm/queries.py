@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embed_dedup, lang_id, lexical, licenses, mixing, order_minhash, packing, personal, preference, quality, secrets
+from . import ann, embed_dedup, lang_id, lexical, licenses, mixing, order_minhash, packing, personal, preference, prefix_trie, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,6 +78,11 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all rebuilt conversations."""
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -93,6 +98,7 @@ QUERIES: dict[str, Query] = {
         op10_ann_ivf_pq,
         op11_personal_data,
         op12_ranked_search,
+        op13_conversation_trie,
     )
 }
-SQL: dict[str, str] = {"op7_secret_scans": secrets.SQL, "op8_curriculum_mixing": mixing.SQL, "op3_preference_formatting": preference.SQL, "op12_ranked_search": lexical.SQL}
+SQL: dict[str, str] = {"op7_secret_scans": secrets.SQL, "op8_curriculum_mixing": mixing.SQL, "op3_preference_formatting": preference.SQL, "op12_ranked_search": lexical.SQL, "op13_conversation_trie": prefix_trie.SQL}
