@@ -29,14 +29,18 @@ WINDOW = 20
 #: Least entropy in bits of a window, by character class.
 LEAST_BITS = {"entropy_hex": 3.0, "entropy_base64": 3.9}
 HEX_ONLY = r"^[0-9A-Fa-f]+$"
-#: Candidates that match one of these are no secrets: documentation keys, UUIDs, alphabets, dates and times, paths of words.
-ALLOWED = (
-    r"(?i)example|sample|placeholder|changeme|xxxx",
-    r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-    r"(?i)abcdefghijklm|0123456789abcdef",
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T_-]",
-    r"^[a-z]+(?:[/_=-][a-z]+)*[/_=-]?[0-9]{1,4}$",
+#: What is no secret is cut out of a candidate, and the rest is scanned: the documented example key, UUIDs, dates and times, and
+#: pieces between / _ = - that hold a word of documentation or an alphabet. Greedy classes are possessive or bounded by a
+#: look-behind, so that Java's matcher reads a run once; SQL has the same without, as its matcher never goes back.
+CUT = (
+    r"wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY|[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}|[0-9]{4}-[0-9]{2}-[0-9]{2}[T_-]",
+    r"(?i:example|sample|placeholder|changeme|xxxx|abcdefghijklm|0123456789abcdef)",
 )
+CUT_SQL = f"{CUT[0]}|[A-Za-z0-9+]*{CUT[1]}[A-Za-z0-9+]*"
+CUT_JAVA = f"{CUT[0]}|(?<![A-Za-z0-9+])[A-Za-z0-9+]*?{CUT[1]}[A-Za-z0-9+]*+"
+#: Words joined to a path, with a number: no secret as a whole.
+PATH_SQL = r"^[a-z]+(?:[/_=-][a-z]+)*[/_=-]?[0-9]{1,4}$"
+PATH_JAVA = PATH_SQL.replace(")*", ")*+")
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 SPAN = "array<struct<start: long, rank: int, end: long>>"
 
@@ -118,21 +122,24 @@ def hot_range(value: Column, window: int = WINDOW) -> Column:
     return F.aggregate(steps, start, step, lambda a: F.when(a["first"].isNotNull(), F.struct(a["first"].alias("first"), a["last"].alias("last"))))
 
 
-def entropy_spans(text: Column, allowed: tuple[str, ...] = ALLOWED, window: int = WINDOW) -> Column:
-    """Spans of the windows with enough entropy: in each candidate that no allowed shape covers, from its first to its last."""
-    some = F.filter(candidates(text), lambda c: ~_any(c["value"], allowed))
+def parts(candidate: Column, cut: str = CUT_JAVA, path: str = PATH_JAVA) -> Column:
+    """What the allow-list leaves of a candidate (start, value), as far as it can be a secret."""
+    value = candidate["value"]
+    gone = F.transform(F.regexp_extract_all(value, F.lit(cut), F.lit(0)), F.length)
+    left = F.split(value, cut, -1)
+    steps = F.transform(left, lambda x, i: F.struct(x.alias("m"), (F.length(x) + F.coalesce(F.get(gone, i), F.lit(0))).alias("n")))
+    placed = F.transform(prefixed(steps, lambda s: s["n"], add), lambda x: F.struct((candidate["start"] + x["before"]).cast("long").alias("start"), x["item"]["m"].alias("value")))
+    return F.filter(placed, lambda c: (F.length(c["value"]) >= WINDOW) & c["value"].rlike("[A-Za-z]") & c["value"].rlike("[0-9]") & ~c["value"].rlike(path))
+
+
+def entropy_spans(text: Column, window: int = WINDOW) -> Column:
+    """Spans of the windows with enough entropy: in each part of a candidate that the allow-list leaves, from its first to its last."""
+    some = F.flatten(F.transform(candidates(text), lambda c: parts(c)))
     ranged = F.transform(some, lambda c: F.struct(c["start"].alias("start"), F.when(c["value"].rlike(HEX_ONLY), 3).otherwise(4).alias("rank"), hot_range(c["value"], window).alias("hot")))
     warm = F.filter(ranged, lambda c: c["hot"].isNotNull())
     return F.transform(warm, lambda c: F.struct((c["start"] + c["hot"]["first"]).cast("long").alias("start"), c["rank"].alias("rank"), (c["start"] + c["hot"]["last"] + window).cast("long").alias("end")))
 
 
-def _any(value: Column, patterns: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for p in patterns:
-        out = out | value.rlike(p)
-    return out
-
-
 def scanned(docs: DataFrame) -> DataFrame:
     """Adds base and added, arrays of spans (start, rank, end); rank is the kind's place in KINDS. A null text is an empty one."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -180,7 +187,7 @@ def _sql() -> str:
         return f"""{name} AS (SELECT doc_id, row, list_filter(list_transform(range(1, len(m) + 1), lambda i: {{'start': CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT), 'rank': {rank}, 'value': m[i], 'group2': w[i]}}), lambda s: {test}) AS z
   FROM (SELECT doc_id, row, string_split_regex(text, '{p}') AS g, regexp_extract_all(text, '{p}') AS m, {"regexp_extract_all(text, '" + p + "', 2)" if rank == 0 else "regexp_extract_all(text, '" + p + "')"} AS w FROM d))"""
 
-    allowed = " OR ".join(f"regexp_matches(s.value, '{quoted(p)}')" for p in ALLOWED)
+    whole = f"length(s.value) >= {WINDOW} AND regexp_matches(s.value, '[A-Za-z]') AND regexp_matches(s.value, '[0-9]') AND NOT regexp_matches(s.value, '{PATH_SQL}')"
     weight = "list_sum(list_transform(list_distinct(string_split(w, '')), lambda c: CAST(round((length(w) - length(replace(w, c, ''))) * log2(length(w) - length(replace(w, c, ''))) * 1000000) AS BIGINT)))"
     bits = {k: round((math.log2(WINDOW) - b) * WINDOW * 1e6) for k, b in LEAST_BITS.items()}
     shown = "array_to_string(list_transform(list_sort({x}), lambda s: ['assign', 'access', 'hex', 'entropy_hex', 'entropy_base64'][s.rank + 1] || ':' || s.start || ':' || s.stop), ',')"
@@ -188,7 +195,9 @@ def _sql() -> str:
 {spans("a0", ASSIGN, 0, f"length(s.group2) >= {LEAST_VALUE}")},
 {spans("a1", ACCESS, 1)},
 {spans("a2", HEX, 2)},
-{spans("a3", "[A-Za-z0-9+/_=-]{20,}", 3, f"regexp_matches(s.value, '[A-Za-z]') AND regexp_matches(s.value, '[0-9]') AND NOT ({allowed})")},
+{spans("a4", "[A-Za-z0-9+/_=-]{20,}", 3, "regexp_matches(s.value, '[A-Za-z]') AND regexp_matches(s.value, '[0-9]')")},
+cuts AS (SELECT doc_id, row, list_transform(z, lambda s: {{'start': s.start, 'g': string_split_regex(s.value, '{CUT_SQL}'), 'm': regexp_extract_all(s.value, '{CUT_SQL}')}}) AS y FROM a4),
+a3 AS (SELECT doc_id, row, list_filter(flatten(list_transform(y, lambda c: list_transform(range(1, len(c.g) + 1), lambda i: {{'start': CAST(c.start + coalesce(list_sum(list_transform(c.g[1:i - 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(c.m[1:i - 1], lambda x: length(x))), 0) AS BIGINT), 'rank': 3, 'value': c.g[i]}}))), lambda s: {whole}) AS z FROM cuts),
 base AS (SELECT a0.doc_id, a0.row, list_transform(list_concat(a0.z, list_concat(a1.z, a2.z)), lambda s: {{'start': s.start, 'rank': s.rank, 'stop': CAST(s.start + length(s.value) AS BIGINT)}}) AS b, a3.z AS c FROM a0 JOIN a1 USING (row) JOIN a2 USING (row) JOIN a3 USING (row)),
 warm AS (SELECT doc_id, row, b, list_transform(c, lambda s: {{'start': s.start, 'rank': CASE WHEN regexp_matches(s.value, '{HEX_ONLY}') THEN 3 ELSE 4 END, 'hot': list_filter(range(0, length(s.value) - {WINDOW - 1}), lambda i: list_extract(list_transform([s.value[i + 1:i + {WINDOW}]], lambda w: {weight}), 1) <= CASE WHEN regexp_matches(s.value, '{HEX_ONLY}') THEN {bits["entropy_hex"]} ELSE {bits["entropy_base64"]} END)}}) AS c FROM base),
 found AS (SELECT doc_id, b, list_transform(list_filter(c, lambda s: len(s.hot) > 0), lambda s: {{'start': CAST(s.start + list_min(s.hot) AS BIGINT), 'rank': s.rank, 'stop': CAST(s.start + list_max(s.hot) + {WINDOW} AS BIGINT)}}) AS e FROM warm)
