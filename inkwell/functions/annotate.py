@@ -81,7 +81,7 @@ def commands(c: Column) -> Column:
 def names(c: Column) -> Column:
     """Capitalised words that do not begin a sentence, distinct and sorted."""
     inner = F.flatten(F.transform(tx.sentences(c), lambda s: tx.let(tx.words(s), lambda w: F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))))))
-    found = F.transform(F.filter(inner, lambda w: w.rlike(r"^\p{Lu}\p{Ll}+")), lambda w: F.regexp_replace(w, r"[^\p{L}]+$", ""))
+    found = F.transform(F.filter(inner, lambda w: w.rlike(r"^\p{Lu}\p{Ll}+")), lambda w: F.regexp_replace(w, tx.run(r"[^\p{L}]") + "$", ""))
     return F.array_sort(F.array_distinct(found))
 
 
@@ -104,6 +104,8 @@ def triples(c: Column) -> Column:
 #: One letter for each tag, so that phrases are found by patterns over them.
 LETTERS = {"NUM": "M", "PRON": "O", "DET": "D", "CCONJ": "C", "SCONJ": "S", "AUX": "X", "ADP": "P", "ADV": "R", "VERB": "V", "ADJ": "J", "NOUN": "N"}
 PHRASE = "D?[RJM]*N+(?:PD?[RJM]*N+|CD?[RJM]*N+)*"
+#: The same for Java's matcher: neither back into a repeated group nor from the middle of a run.
+RUN = "(?:D|(?<![DRJM]))[RJM]*+N++(?:[PC]D?[RJM]*+N++)*+"
 
 
 def phrases(c: Column) -> Column:
@@ -114,8 +116,8 @@ def phrases(c: Column) -> Column:
         letters = F.array_join(F.transform(t, lambda w: code[tag(w)]), "")
 
         def cut(s: Column) -> Column:
-            gaps = F.transform(F.split(s, PHRASE, -1), F.length)
-            runs = F.transform(F.regexp_extract_all(s, F.lit(PHRASE), F.lit(0)), F.length)
+            gaps = F.transform(F.split(s, RUN, -1), F.length)
+            runs = F.transform(F.regexp_extract_all(s, F.lit(RUN), F.lit(0)), F.length)
             both = F.zip_with(F.slice(gaps, F.lit(1), F.size(runs)), runs, lambda g, n: F.struct(g.alias("gap"), n.alias("n")))
             start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
             return F.aggregate(both, start, lambda a, x: F.struct((a["at"] + x["gap"] + x["n"]).alias("at"), F.concat(a["out"], F.array(F.array_join(F.slice(t, a["at"] + x["gap"] + 1, x["n"]), " "))).alias("out")), lambda a: a["out"])

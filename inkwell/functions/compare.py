@@ -9,6 +9,7 @@ from . import lexicon as lx
 from . import text as tx
 
 CITATION = r"\[\^\d+\]"
+MARK = "[\"']"
 QUOTE = r"[\"'][^\"']*[\"']"
 
 
@@ -18,7 +19,7 @@ def citations(c: Column) -> Column:
 
 def quotes(c: Column) -> Column:
     """Quoted passages of more than two characters, without their marks."""
-    bare = F.transform(F.regexp_extract_all(c, F.lit(QUOTE), F.lit(0)), lambda q: F.regexp_replace(q, r"^[\"']+|[\"']+$", ""))
+    bare = F.transform(F.regexp_extract_all(c, F.lit(QUOTE), F.lit(0)), lambda q: F.regexp_replace(q, f"^{MARK}++|{tx.run(MARK)}$", ""))
     return F.transform(F.filter(bare, lambda q: F.length(q) > 2), tx.strip)
 
 
@@ -57,7 +58,7 @@ def jaccard(a: Column, b: Column) -> Column:
 def invented(original: Column, generated: Column) -> Column:
     """Capitalised words of the output, not first in a sentence, that the source lacks in any case."""
     inner = F.flatten(F.transform(tx.sentences(generated), lambda s: F.slice(tx.words(s), F.lit(2), F.greatest(F.size(tx.words(s)) - 1, F.lit(0)))))
-    names = F.transform(F.filter(inner, lambda w: w.rlike(r"^\p{Lu}\p{Ll}")), lambda w: F.regexp_replace(w, r"[^\p{L}]+$", ""))
+    names = F.transform(F.filter(inner, lambda w: w.rlike(r"^\p{Lu}\p{Ll}")), lambda w: F.regexp_replace(w, tx.run(r"[^\p{L}]") + "$", ""))
     return tx.let(tx.tokens(original), lambda known: F.array_sort(F.array_distinct(F.filter(names, lambda w: ~F.array_contains(known, F.lower(w)) & ~F.lower(w).isin(lx.STOPS)))))
 
 

@@ -13,10 +13,16 @@ EDITS = ["remove", "delete", "cut", "replace", "change", "substitute", "swap", "
 REWRITES = ["rewrite", "restructure", "reorganize", "rephrase", "completely", "entire", "whole", "match the structure", "follow the pattern", "adopt the style", "emulate", "mirror"]
 
 
+def outermost(c: Column) -> Column:
+    """From the first brace to the last one that closes, or from the first bracket so, whichever begins first; empty if neither is there."""
+    ways = [F.struct(F.instr(c, a).alias("at"), F.regexp_extract(c, rf"(?s)^[^\{a}]*+(\{a}.*\{b})", 1).alias("found")) for a, b in ("{}", "[]")]
+    return F.coalesce(F.array_min(F.filter(F.array(*ways), lambda x: x["found"] != ""))["found"], F.when(c.isNotNull(), F.lit("")))
+
+
 def json_text(c: Column) -> Column:
     """The outermost object or list in an answer, code fences and chatter left out; single quotes, trailing commas and Python's words repaired."""
     bare = F.regexp_replace(c, r"```(?:json)?", "")
-    found = F.regexp_extract(bare, r"(?s)(\{.*\}|\[.*\])", 1)
+    found = outermost(bare)
     whole = F.try_parse_json(found).isNotNull()
     words = F.regexp_replace(F.regexp_replace(F.regexp_replace(found, r"\bTrue\b", "true"), r"\bFalse\b", "false"), r"\bNone\b", "null")
     repaired = F.regexp_replace(F.regexp_replace(words, r",\s*([}\]])", "$1"), r"'([^']*)'", '"$1"')
@@ -25,12 +31,12 @@ def json_text(c: Column) -> Column:
 
 def json_list(c: Column) -> Column:
     """The first list of an answer as non-empty strings; empty if there is none."""
-    return F.filter(F.coalesce(F.from_json(F.regexp_extract(c, r"(?s)(\[.*?\])", 1), "array<string>"), F.array().cast("array<string>")), lambda x: F.trim(x) != "")
+    return F.filter(F.coalesce(F.from_json(F.regexp_extract(c, r"^[^\[]*+(\[[^\]]*+\])", 1), "array<string>"), F.array().cast("array<string>")), lambda x: F.trim(x) != "")
 
 
 def issues(c: Column) -> Column:
     """Numbered items of a verdict, else its sentences, else the whole."""
-    numbered = F.transform(F.regexp_extract_all(c, F.lit(r"(?m)^\s*\d+[.)]\s*(.+)$"), F.lit(1)), F.trim)
+    numbered = F.transform(F.regexp_extract_all(c, F.lit(r"(?m)^[ \t\x0B\f]*+\d++[.)]\s*(.+)$"), F.lit(1)), F.trim)
     parts = tx.sentences(c)
     return F.when(F.size(numbered) > 0, numbered).when(F.size(parts) > 0, parts).otherwise(F.array(c))
 

@@ -12,7 +12,8 @@ from . import text as tx
 DIALOGUE = [r"^(And|But|So|Then) [a-z]", r"^If you (could|can|see)", r"^Then came", r'^"?[A-Z][a-z]+:', r"^Concerning", r"^What (if|about)"]
 SLOT = r"\[[^\]]+\]"
 MAJOR = r"\[(?:NP|VP|CLAUSE|ADJ|ADV)(?:\s+[^\]]+)?\]"
-EDGES = r"^[.,!?;:()\[\]{}'\"]+|[.,!?;:()\[\]{}'\"]+$"
+MARK = r"[.,!?;:()\[\]{}'\"]"
+EDGES = f"^{MARK}++|{tx.run(MARK)}$"
 
 
 def most_repeated(items: Column) -> Column:
@@ -49,7 +50,7 @@ def valid_template(c: Column) -> Column:
 def complete(c: Column) -> Column:
     """Ends with a final mark and no dangling word, and each later full sentence before the last begins in upper case."""
     last = bare(F.element_at(tx.words(c), -1))
-    parts = F.split(c, r"[.!?]+\s+")
+    parts = F.split(c, tx.run("[.!?]") + r"\s++")
     inner = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
     started = F.forall(inner, lambda s: (F.size(tx.words(s)) < 3) | s.rlike(r"^\p{Lu}"))
     return F.coalesce(c.rlike(r"[.!?\"']$") & ~last.isin(lx.DANGLING) & started, F.lit(False))
@@ -60,7 +61,7 @@ def coherent(c: Column) -> Column:
     w = tx.words(c)
     later = F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0)))
     upper = F.size(F.filter(later, lambda x: x.rlike(r"^\p{Lu}")))
-    salad = F.size(F.filter(later, lambda x: x.rlike(r"^\p{Lu}") & ~F.lower(F.regexp_replace(x, "^[.,!?;:]+|[.,!?;:]+$", "")).isin(lx.CAPITAL_EXEMPT)))
+    salad = F.size(F.filter(later, lambda x: x.rlike(r"^\p{Lu}") & ~F.lower(F.regexp_replace(x, f"^[.,!?;:]++|{tx.run('[.,!?;:]')}$", "")).isin(lx.CAPITAL_EXEMPT)))
     return ~(((F.size(w) > 5) & (upper / F.size(w) > 0.65)) | ((F.size(w) > 8) & (salad >= 8)))
 
 
@@ -68,7 +69,7 @@ def repetitive(c: Column, bigrams: int = 3, starts: int = 2) -> Column:
     """Too many equal word pairs, or too many sentences that begin alike."""
     w = tx.words(c)
     pairs = F.when(F.size(w) > 5, most_repeated(tx.grams(F.transform(w, F.lower), 2))).otherwise(0)
-    parts = F.filter(F.transform(F.split(c, r"[.!?]+\s+"), tx.strip), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(c, tx.run("[.!?]") + r"\s++"), tx.strip), lambda s: s != "")
     first = F.filter(F.transform(parts, lambda s: bare(F.get(tx.words(s), F.lit(0)))), lambda x: ~x.isin(lx.OPENER_EXEMPT))
     same = F.when((F.size(parts) >= 3) & (F.size(first) >= 3), most_repeated(first)).otherwise(0)
     return F.struct((pairs > bigrams).alias("pairs"), (same > starts).alias("starts"))
@@ -76,12 +77,13 @@ def repetitive(c: Column, bigrams: int = 3, starts: int = 2) -> Column:
 
 def anchors(c: Column) -> Column:
     """Words of a template outside its slots that hold a letter or digit."""
-    return F.size(F.filter(tx.words(F.regexp_replace(c, SLOT, " ")), lambda w: w.rlike(r"[\p{L}\p{N}]")))
+    held, rest = tx.cut_at_last(c, "]")  # an open bracket without an end would be followed to the end of the text, again and again
+    return F.size(F.filter(tx.words(F.concat(F.regexp_replace(held, SLOT, " "), rest)), lambda w: w.rlike(r"[\p{L}\p{N}]")))
 
 
 def anchor_health(c: Column) -> Column:
     """(valid, anchors): long enough, two anchors, a slot, and not four fifths fixed."""
-    n, slots = anchors(c), F.regexp_count(c, F.lit(SLOT))
+    n, slots = anchors(c), F.regexp_count(tx.cut_at_last(c, "]")[0], F.lit(SLOT))
     ok = (F.length(c) >= 20) & (n >= 2) & (slots > 0) & (n / (n + slots) < 0.8)
     return F.struct(ok.alias("valid"), F.when(F.length(c) < 20, 0).otherwise(n).cast("long").alias("anchors"))
 

@@ -29,7 +29,7 @@ CLOSES, BEGINS, RELATIVE, FRAGMENT = rf"(?i),\s+{OPENS}\s+[^,]+\.?\s*$", rf"(?i)
 
 def clause_parts(c: Column) -> Column:
     """Sentences without their marks, cut where marks and white space meet."""
-    return F.filter(F.transform(F.split(tx.strip(c), r"[.!?]+\s+"), tx.strip), lambda s: s != "")
+    return F.filter(F.transform(F.split(tx.strip(c), tx.run("[.!?]") + r"\s++"), tx.strip), lambda s: s != "")
 
 
 def dangling(s: Column) -> Column:
@@ -57,7 +57,7 @@ def fluency(c: Column) -> Column:
         start = 1.0 - F.when(c.rlike(STILTED), 0.5).otherwise(0.0) - F.when(c.rlike(FUTURE_PASSIVE), 0.15).otherwise(0.0)
         lacks = F.when(~whole & (start - 0.3 <= 0.8), 0.3).otherwise(0.0)
         articles = F.when(bare > 0, 0.2).otherwise(0.0) + 0.1 * bare
-        ends = F.when(~F.regexp_replace(c, r"\s+$", "").rlike(r"[.!?]$"), 0.1).otherwise(0.0)
+        ends = F.when(~F.regexp_replace(c, tx.run(r"\s") + "$", "").rlike(r"[.!?]$"), 0.1).otherwise(0.0)
         return F.greatest(F.lit(0.0), F.least(F.lit(1.0), start - lacks - articles - ends - F.when(F.size(t) < 3, 0.2).otherwise(0.0)))
 
     return F.when(F.coalesce(tx.strip(c), F.lit("")) == "", 0.0).otherwise(tx.let(tx.tokens(c), lambda t: tx.let(F.struct(t.alias("t"), F.transform(t, an.tag).alias("kinds")), score)))

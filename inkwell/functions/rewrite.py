@@ -13,8 +13,12 @@ CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 
 # Citations that models invent, spans that cleaning leaves alone, spacing, chapter numbers and answer prefixes.
 AUTHOR_YEAR = [r"\([A-Z][a-z]+,?\s+\d{4}(?:,\s*p\.\s*#?)?\)", r"(?i)\(Author,?\s+Year,?\s+p\.\s*#\)", r"\([A-Z][a-z]+\s+\d+\)"]
-PROTECTED = r"""\[\^\d+\]|["'](?:\\["']|[^"'])*["']"""
+PROTECTED = r"""\[\^\d+\]|["'](?:[^"'\\]|\\[\s\S])*["']"""
 SPACING = [(r"\s+([.,!?;:])", "$1"), (r"\.{2,}", "...")]
+# The same for Java's matcher, which must not go back into a repeated group: it would need stack for every turn. A backslash always takes the next character with it.
+SPANS = PROTECTED.replace(")*", ")*+")
+BLANKS = tx.run(r"\s")
+MARKS = BLANKS + "([.,!?;:])"
 NUMBERED = r"(?i)\b(chapter|section|part)\s+([0-9]+|[ivx]+)\b"
 PREFIX = r"(?i)^(output|response|rewritten):\s*"
 
@@ -44,15 +48,15 @@ def without_phantoms(generated: Column, expected: Column) -> Column:
 
 def with_citations(generated: Column, source: Column) -> Column:
     """Author-year forms and phantom citations out; what is missing of the source's, appended in order before the last mark."""
-    plain = F.regexp_replace(generated, r"\s*" + AUTHOR_YEAR[0], "")
+    plain = F.regexp_replace(generated, f"(?:{BLANKS})?+" + AUTHOR_YEAR[0], "")
     kept = without_phantoms(plain, cp.citations(source))
     missing = F.array_except(cp.citations(source), cp.citations(generated))
-    return F.when(F.size(missing) == 0, kept).otherwise(F.concat(F.regexp_replace(kept, r"[.!?]+$", ""), F.array_join(missing, ""), F.coalesce(F.nullif(F.regexp_extract(kept, r"([.!?]+)$", 1), F.lit("")), F.lit("."))))
+    return F.when(F.size(missing) == 0, kept).otherwise(F.concat(F.regexp_replace(kept, tx.run("[.!?]") + "$", ""), F.array_join(missing, ""), F.coalesce(F.nullif(F.regexp_extract(kept, tx.run("[.!?]") + "$", 0), F.lit("")), F.lit("."))))
 
 
 def tidied(c: Column) -> Column:
     """No space before marks, dots in threes."""
-    for pattern, new in SPACING:
+    for (_, new), pattern in zip(SPACING, (MARKS, SPACING[1][0]), strict=True):
         c = F.regexp_replace(c, pattern, new)
     return c
 
@@ -76,8 +80,8 @@ def clean_generated(c: Column) -> Column:
         c = F.regexp_replace(c, pattern, "")
 
     def mend(t: Column) -> Column:
-        spans = F.transform(F.regexp_extract_all(t, F.lit(PROTECTED), F.lit(0)), lambda q: F.when(q.startswith("[^") | (F.length(F.regexp_replace(q, "^[\"']+|[\"']+$", "")) > 2), q).otherwise(tidied(q)))
-        parts = F.transform(F.split(t, PROTECTED, -1), lambda x, i: F.regexp_replace(capitalised(tidied(x), i == 0), NUMBERED, ""))
+        spans = F.transform(F.regexp_extract_all(t, F.lit(SPANS), F.lit(0)), lambda q: F.when(q.startswith("[^") | (F.length(F.regexp_replace(q, f"^{cp.MARK}++|{tx.run(cp.MARK)}$", "")) > 2), q).otherwise(tidied(q)))
+        parts = F.transform(F.split(t, SPANS, -1), lambda x, i: F.regexp_replace(capitalised(tidied(x), i == 0), NUMBERED, ""))
         return F.array_join(F.flatten(F.zip_with(parts, spans, lambda p, q: F.array(p, F.coalesce(q, F.lit(""))))), "")
 
     return tx.strip(F.regexp_replace(tx.let(c, mend), PREFIX, ""))
@@ -90,10 +94,10 @@ def replaced(c: Column, violations: Column, palette: Column) -> Column:
         bare = F.lower(F.regexp_replace(w, r"[^\p{L}]", ""))
         new = F.coalesce(palette[bare], F.lit(""))
         cased = F.when(w.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, 2, 2**31 - 1))).otherwise(new)
-        tail = F.regexp_extract(w, r"[^\p{L}]*$", 0)
+        tail = F.regexp_extract(w, tx.run(r"[^\p{L}]") + "$", 0)
         return F.when(F.array_contains(violations, bare), F.concat(cased, tail)).otherwise(w)
 
-    return F.regexp_replace(F.array_join(F.filter(F.transform(tx.words(c), one), lambda w: w != ""), " "), r"\s+([.,!?;:])", "$1")
+    return F.regexp_replace(F.array_join(F.filter(F.transform(tx.words(c), one), lambda w: w != ""), " "), MARKS, "$1")
 
 
 def dehyphenated(lines: Column) -> Column:
@@ -104,11 +108,11 @@ def dehyphenated(lines: Column) -> Column:
         open_ = tx.strip(F.regexp_replace(was, "-$", ""))
         stem = F.coalesce(F.element_at(tx.words(open_), -1), F.lit(""))
         head = F.coalesce(F.get(tx.words(line), F.lit(0)), F.lit(""))
-        joins = was.endswith("-") & head.rlike(r"^\p{Ll}") & (F.length(F.regexp_replace(head, "[.,!?;:]+$", "")) <= 8) & (F.length(stem) <= 6) & ~open_.rlike("[.!?:]$")
+        joins = was.endswith("-") & head.rlike(r"^\p{Ll}") & (F.length(F.regexp_replace(head, tx.run("[.,!?;:]") + "$", "")) <= 8) & (F.length(stem) <= 6) & ~open_.rlike("[.!?:]$")
         joined = F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.concat(open_, tx.strip(line))))
         return F.when((F.size(a) > 0) & F.coalesce(joins, F.lit(False)), joined).otherwise(F.concat(a, F.array(line)))
 
-    return F.aggregate(F.transform(lines, lambda x: F.regexp_replace(x, r"\s+$", "")), F.array().cast("array<string>"), lambda a, x: F.when(F.size(a) == 0, F.array(x)).otherwise(step(a, x)))
+    return F.aggregate(F.transform(lines, lambda x: F.regexp_replace(x, BLANKS + "$", "")), F.array().cast("array<string>"), lambda a, x: F.when(F.size(a) == 0, F.array(x)).otherwise(step(a, x)))
 
 
 def split_middle(c: Column) -> Column:

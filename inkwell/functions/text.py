@@ -18,8 +18,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def run(chars: str) -> str:
+    """Pattern of a whole run of such characters. Where what follows does not fit it is not tried again from its middle, so a long run costs its length."""
+    return f"(?<!{chars}){chars}++"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, rf"^\s++|{run(r'\s')}$", "")
+
+
+def cut_at_last(c: Column, mark: str) -> tuple[Column, Column]:
+    """What ends with the last such mark, and what follows it: all of it, if there is none."""
+    tail = F.substring_index(c, mark, -1)
+    return F.substr(c, F.lit(1), F.length(c) - F.length(tail)), tail
 
 
 def full(parts: Column) -> Column:
