@@ -1,12 +1,12 @@
 """Near-duplicate documents by order MinHash, verified by banded alignment.
 
-A document is the sequence of its shingles of five words (lower case, between
-white space), each labelled with the number of times it has come before. A
+A document is the sequence of its shingles of five words, and of two (lower
+case, between white space), each labelled with the number of times it has come before. A
 sketch takes the labelled shingles with the smallest values under one hash
 function and joins them in text order; documents close in edits share many of
 their sketches. Two documents are near copies if the longest common
 subsequence of their words, L, is at least 0.8 of n1 + n2 - L. That is edit
-similarity of words: up to one word in nine replaced, or one in five put in.
+similarity of words: up to one word in nine replaced, or a quarter put in.
 """
 
 from __future__ import annotations
@@ -24,12 +24,15 @@ from . import textvec as tv
 from .runtime import chunks, clean, components, keep, ready
 
 WORDS, SIMILAR = 5, 0.8
-#: Sketches of each document, and labelled shingles in a sketch. With one word in twenty replaced two texts share 0.63 of
-#: their shingles and miss each other with probability 2e-4, with one in eleven 0.45 and 0.06, with one in nine (the
-#: threshold) 0.39 and 0.17; texts that share a tenth of their shingles meet with probability 0.03.
-SKETCHES, TAKEN = 30, 3
-#: Texts of up to FEW shingles have each one of these as a sketch besides.
-FEW = 20
+#: Sketches of each document: (words in a shingle, sketches, labelled shingles in one). Five-word shingles tell texts apart that
+#: share common phrases; at the threshold they miss near copies with many words put in, which break up most of them, so the
+#: larger part are of pairs. With one word in nine replaced two texts share 0.39 of the former and 0.65 of the latter and miss
+#: each other with probability 4e-4; with a quarter put in (0.16 and 0.5) with 0.07.
+NUMBERS = ((WORDS, 12, 2), (2, 18, 3))
+#: Texts of up to SHORT words have SHORT_NUMBER sketches of two pairs each; of up to TINY words all twos of their pairs, which
+#: near copies of at least four words share without exception. Two near copies differ in length by a quarter of the shorter
+#: one at most, so the ranges overlap by so much.
+TINY, SHORT, SHORT_NUMBER = 9, 38, 30
 #: Documents of a bucket in one block, and pairs that a document aligns first.
 BLOCK, FIRST = 768, 4
 #: Eighths of the buckets that are compared one after the other, and pairs that a document hands on from a block pair there:
@@ -40,6 +43,8 @@ WAVES, GROWTH = ((0, 1, 8), (1, 8, 32)), 16
 SPARSE, BITS = 6, 1 << 17
 #: Bits of the filter on the ids of documents to be aligned: at most FILTER / 64 rows are broadcast (4 MB).
 FILTER = 1 << 24
+#: Pairs of one document that one task meets.
+HUB = 2000
 
 
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,16 +91,28 @@ def shingles(h: np.ndarray, cut: np.ndarray, words: int = WORDS) -> tuple[np.nda
     return labelled_values(tv.mix(own), edge), edge
 
 
-def sketches(labels: np.ndarray, number: int = SKETCHES, taken: int = TAKEN) -> np.ndarray:
-    """The sketches of one text: for each hash function its smallest labelled shingles, hashed in text order; of few shingles each one besides."""
-    if len(labels) <= FEW:
-        return np.concatenate([_taken(labels, number, taken), tv.mix(labels + tv.POWERS[4])])
-    return _taken(labels, number, taken)
-
-
-def _taken(labels: np.ndarray, number: int, taken: int) -> np.ndarray:
+def sketches(h: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The sketches of one text from its words' hashes and its labelled five-word shingles."""
+    if len(h) < 4:
+        return np.zeros(0, np.uint64)
+    out, first = [], 0
+    pairs = shingles(h, np.array([0, len(h)]), 2)[0]
+    if len(h) <= TINY:
+        i, j = np.triu_indices(len(pairs), 1)
+        out.append(tv.mix(tv.mix(pairs[i] + tv.POWERS[4]) * tv.POWERS[3] + pairs[j]))
+    if 0.8 * TINY <= len(h) <= SHORT:
+        out.append(tv.mix(_taken(pairs, SHORT_NUMBER, 2) + tv.POWERS[4]))
+    if len(h) >= 0.8 * SHORT:
+        for words, number, taken in NUMBERS:
+            out.append(tv.mix(_taken(own if words == WORDS else pairs, number, taken, first) + np.uint64(words)))
+            first += number
+    return np.concatenate(out)
+
+
+def _taken(labels: np.ndarray, number: int, taken: int, first: int = 0) -> np.ndarray:
+    """For each of `number` hash functions from the one numbered `first` its smallest labelled shingles, hashed in text order."""
     n, out = len(labels), np.empty(number, np.uint64)
-    odd = tv.mix(np.arange(1, number + 1, dtype=np.uint64)) | np.uint64(1)
+    odd = tv.mix(np.arange(first + 1, first + number + 1, dtype=np.uint64)) | np.uint64(1)
     taken = min(taken, n)
     step = max(1, 4_000_000 // n)
     for a in range(0, number, step):
@@ -117,7 +134,7 @@ def _taken(labels: np.ndarray, number: int, taken: int) -> np.ndarray:
         else:
             best = np.argsort(values, axis=1, kind="stable")[:, :taken]
         best.sort(axis=1)
-        h = np.arange(a, a + len(values), dtype=np.uint64)
+        h = np.arange(first + a, first + a + len(values), dtype=np.uint64)
         for k in range(taken):
             h = tv.mix(h * tv.POWERS[3] + labels[best[:, k]])
         out[a : a + step] = h
@@ -132,7 +149,7 @@ def bitmap(labels: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def signatures(docs: DataFrame, *, words: int = WORDS, number: int = SKETCHES, taken: int = TAKEN) -> DataFrame:
+def signatures(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
     """doc_id, h (hash of the text), two hashes of the words (null without words), n words, the sketches and the bitmap of every whole text."""
     ready(docs.sparkSession)
 
@@ -143,10 +160,10 @@ def signatures(docs: DataFrame, *, words: int = WORDS, number: int = SKETCHES, t
                 h, cut = words_of(texts[a:b])
                 own, edge = shingles(h, cut, words)
                 bags = labelled_values(h, cut)
-                got = [sketches(own[i:j], number, taken).view(np.int64) if j > i else np.zeros(0, np.int64) for i, j in zip(edge[:-1], edge[1:], strict=True)]
+                got = [sketches(h[i:j], own[k:m]).view(np.int64) for i, j, k, m in zip(cut[:-1], cut[1:], edge[:-1], edge[1:], strict=True)]
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in got]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(got)))
-                maps = pa.array([bitmap(bags[i:j]) if m else None for i, j, m in zip(cut[:-1], cut[1:], np.diff(edge), strict=True)], pa.binary())
+                maps = pa.array([bitmap(bags[i:j]) if len(x) else None for i, j, x in zip(cut[:-1], cut[1:], got, strict=True)], pa.binary())
                 marks = (pa.array(m.view(np.int64), mask=np.diff(cut) == 0) for m in text_marks(h, cut))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a).cast(pa.int64()) for c in (0, 1)), *marks, pa.array(np.diff(cut)), lists, maps], names=["doc_id", "h", "mark1", "mark2", "n", "sketches", "bits"])
 
@@ -237,11 +254,28 @@ def aligned(a: np.ndarray, b: np.ndarray, similar: float = SIMILAR, words: int =
     return size / (total - size) if size >= need else 0.0
 
 
+def beside(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """pairs (a, b and more) with the value of each end as _a and _b. values: one row (doc_id, value) per document.
+
+    One document can be the first end of very many pairs, so the second ends'
+    values are joined first; a first end of over HUB pairs is then met in
+    parts, to each of which its value is sent.
+    """
+    name = values.columns[1]
+    many = pairs.groupBy(F.col("a").alias("_h")).count().where(F.col("count") > HUB).select("_h", F.ceil(F.col("count") / HUB).cast("int").alias("_parts"))
+    many = keep(many, "hubs")
+    right = pairs.join(values.select(F.col("doc_id").alias("b"), F.col(name).alias("_b")), "b")
+    left = values.select(F.col("doc_id").alias("_d"), F.col(name).alias("_a"))
+    if many.isEmpty():
+        return right.join(left, F.col("a") == F.col("_d")).drop("_d")
+    right = right.join(many, F.col("a") == F.col("_h"), "left").withColumn("_part", F.pmod(F.xxhash64("b"), F.coalesce("_parts", F.lit(1)))).drop("_h", "_parts")
+    left = left.join(many, F.col("_d") == F.col("_h"), "left").select("_d", "_a", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_at"))
+    return right.join(left, (F.col("a") == F.col("_d")) & (F.col("_part") == F.col("_at"))).drop("_d", "_part", "_at")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, *, words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
     """The pairs (a, b) whose texts are near copies. texts: one row per doc_id."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    both = beside(pairs.select("a", "b"), texts.select("doc_id", "text")).select("a", "b", F.col("_a").alias("ta"), F.col("_b").alias("tb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,13 +382,10 @@ def block_pairs(side: np.ndarray, ids: np.ndarray, n: np.ndarray, part: np.ndarr
 
 def likely(pairs: DataFrame, bits: DataFrame, *, similar: float = SIMILAR) -> DataFrame:
     """The pairs (a, na, b, nb) that bitmaps do not rule out, as (a, b): see `block_pairs`."""
-    left = bits.select(F.col("doc_id").alias("a"), F.col("bits").alias("ba"))
-    right = bits.select(F.col("doc_id").alias("b"), F.col("bits").alias("bb"))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for na, nb, one, two in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "ba", "bb")), strict=True):
+            for na, nb, one, two in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "_a", "_b")), strict=True):
                 x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
                 while len(x) != len(y):
                     x, y = (x, y) if len(x) < len(y) else (y, x)
@@ -362,7 +393,7 @@ def likely(pairs: DataFrame, bits: DataFrame, *, similar: float = SIMILAR) -> Da
                 ok.append(int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) <= na + nb - 2 * (similar / (1 + similar) * (na + nb) - 1e-9))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
+    return beside(pairs.select("a", "na", "b", "nb"), bits.select("doc_id", "bits")).mapInArrow(run, "a long, b long")
 
 
 def blocks_apart(placed: DataFrame, main: DataFrame, bits: DataFrame, limit: int, *, similar: float = SIMILAR) -> DataFrame:
@@ -437,21 +468,31 @@ def closest(due: DataFrame, limit: int) -> DataFrame:
     return ends.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit).select("a", "b").distinct()
 
 
-def one_text(signed: DataFrame) -> DataFrame:
-    """signed, where a doc_id has rows of different texts with the text of the smallest hash in all of them."""
-    twice = signed.where("doc_id is not null").groupBy(F.col("doc_id").alias("_d")).agg(F.min("h").alias("_h"), F.max("h").alias("_last")).where("_h <> _last").drop("_last")
+def told_apart(signed: DataFrame) -> DataFrame:
+    """(id, h, node): the rows of ids that have several texts, but those with the smallest hash, whose node is the id itself. Nodes are hashes that no id equals."""
+    rows = signed.where("doc_id is not null").select(F.col("doc_id").alias("id"), "h")
+    twice = rows.groupBy("id").agg(F.min(F.coalesce("h", F.lit(0))).alias("_h"), F.max(F.coalesce("h", F.lit(0))).alias("_last")).where("_h <> _last").drop("_last")
     twice = keep(twice, "twice")
     if twice.isEmpty():
-        return signed
-    some = signed.join(twice, F.col("doc_id") == F.col("_d"), "left")
-    told = some.where("h = _h").groupBy("doc_id").agg(*(F.min(c).alias(c) for c in signed.columns[1:]))
-    plain = signed.join(twice, F.col("doc_id") == F.col("_d"), "left_anti")
-    rows = signed.select("doc_id").join(told, "doc_id").select(*signed.columns)
-    return keep(plain.union(rows), "signed")
+        return signed.sparkSession.createDataFrame([], "id long, h long, node long")
+    others = rows.join(twice, "id").where("coalesce(h, 0) <> _h").select("id", "h").distinct()
+    salt = 0
+    while True:
+        nodes = keep(others.withColumn("node", F.xxhash64(F.lit(salt), "id", "h")), "nodes")
+        if nodes.join(rows.select(F.col("id").alias("node")), "node", "left_semi").isEmpty() and nodes.select("node").distinct().count() == nodes.count():
+            return nodes
+        salt += 1
+
+
+def by_node(rows: DataFrame, apart: DataFrame) -> DataFrame:
+    """rows (doc_id, h and more) with the node of each as doc_id, and the id as _own."""
+    known = apart.select(F.col("id").alias("_i"), F.col("h").alias("_x"), "node")
+    found = rows.join(known, (F.col("doc_id") == F.col("_i")) & F.col("h").eqNullSafe(F.col("_x")), "left")
+    return found.withColumn("_own", F.col("doc_id")).withColumn("doc_id", F.coalesce("node", "doc_id")).drop("_i", "_x", "node")
 
 
 def classes(docs: DataFrame, *, words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, class_id, kept for every row: class_id is the smallest doc_id reachable over near copies, kept marks it.
+    """doc_id, class_id, kept for every row: class_id is the smallest doc_id reachable over near copies, kept marks the class's document.
 
     Equal word sequences fall into one class first, and one of them goes on.
     Each document is aligned with one other: of the smallest documents of its
@@ -462,14 +503,25 @@ def classes(docs: DataFrame, *, words: int = WORDS, similar: float = SIMILAR) ->
     `still_apart`: each document is aligned with its nearest ones of other
     classes, then with all that are in another class still; a bucket that left
     pairs out is compared again. Null texts and
-    texts without words are alone. A doc_id is one document: rows that repeat
-    it get the same class, and of different texts the one with the smallest
-    hash speaks for it. A null doc_id has class null and is kept.
+    texts without words are alone. Rows that repeat a doc_id are judged each by
+    its own text, so one doc_id can be in several classes; rows alike in both
+    are all kept or none. A null doc_id has class null and is kept.
     """
-    signed = one_text(keep(signatures(docs, words=words), "signed"))
+    return placed_rows(docs, words=words, similar=similar).select("doc_id", "class_id", "kept")
+
+
+def placed_rows(docs: DataFrame, *, words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
+    """doc_id, h (hash of the text), node (the id in the graph of near copies), class_id, kept: see `classes`."""
+    signed = keep(signatures(docs, words=words), "signed")
+    apart = told_apart(signed)
+    single = apart.isEmpty()
+    docs = clean(docs, "doc_id", "text")
+    if not single:
+        signed = keep(by_node(signed, apart), "signed")
+        docs = by_node(docs.withColumn("h", F.xxhash64("text")), apart).select("doc_id", "text")
     copies = signed.where("mark1 is not null and doc_id is not null").groupBy(F.col("mark1").alias("m1"), F.col("mark2").alias("m2")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").drop("last")
     known = signed.join(copies, (F.col("mark1") == F.col("m1")) & (F.col("mark2") == F.col("m2")), "left")
-    firsts = keep(known.select("doc_id", F.coalesce("first", "doc_id").alias("first"), "n", F.when(F.col("doc_id") == F.coalesce("first", "doc_id"), F.col("sketches")).alias("sketches")), "firsts")
+    firsts = keep(known.select(*(["_own"] if not single else []), "h", "doc_id", F.coalesce("first", "doc_id").alias("first"), "n", F.when(F.col("doc_id") == F.coalesce("first", "doc_id"), F.col("sketches")).alias("sketches")), "firsts")
     sketched = firsts.where("size(sketches) > 0").dropDuplicates(["doc_id"])
     rows = sketched.select("doc_id", "n", F.explode("sketches").alias("key"))
     buckets = rows.groupBy(F.col("key").alias("k")).agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).where("b <> last").drop("last")
@@ -519,8 +571,12 @@ def classes(docs: DataFrame, *, words: int = WORDS, similar: float = SIMILAR) ->
                 break
             wave = wave.join(again, "key", "left_semi")
             handed *= GROWTH
-    out = labelled(firsts.select("doc_id", "first"), "first", reached, "class_id")
-    return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    out = labelled(firsts, "first", reached, "root")
+    if single:
+        return out.select("doc_id", "h", F.col("doc_id").alias("node"), F.col("root").alias("class_id"), F.coalesce(F.col("doc_id") == F.col("root"), F.lit(True)).alias("kept"))
+    told = out.groupBy(F.col("root").alias("_root")).agg(F.min(F.struct("_own", "doc_id")).alias("m"))
+    out = out.join(told, F.col("root") == F.col("_root"), "left")
+    return out.select(F.col("_own").alias("doc_id"), "h", F.col("doc_id").alias("node"), F.col("m._own").alias("class_id"), F.coalesce(F.col("doc_id") == F.col("m.doc_id"), F.lit(True)).alias("kept"))
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -536,13 +592,17 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each class, all columns kept; of rows that repeat a doc_id that with the smallest hash of its text stays."""
-    found = keep(classes(docs), "classes")
-    out = without(docs, keep(found.where(~F.col("kept")).select("doc_id").distinct(), "dropped"))
-    repeated = keep(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    """One document of each class, all columns kept: of rows alike in doc_id and text one stays, whichever text it is that a repeated doc_id has."""
+    found = keep(placed_rows(docs), "classes")
+    several = keep(found.where("node <> doc_id").select("doc_id").distinct(), "several")
+    repeated = keep(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id").union(several).distinct(), "repeated")
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    out = without(docs, keep(gone.join(repeated, "doc_id", "left_anti"), "dropped"))
     if repeated.isEmpty():
         return out
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    again = out.select(F.struct(*columns).alias("_row"), F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_h")).join(repeated.select(F.col("doc_id").alias("_i")), F.col("_d") == F.col("_i"), "left_semi")
-    one = again.groupBy("_d").agg(F.min_by("_row", "_h").alias("_row")).select(*(F.col("_row")[c].alias(c) for c in docs.columns))
+    stays = found.where("kept").join(repeated, "doc_id").select(F.col("doc_id").alias("_i"), F.coalesce("h", F.lit(0)).alias("_x")).distinct()
+    rows = out.select(F.struct(*columns).alias("_row"), F.col("doc_id").alias("_d"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_h"))
+    rows = rows.join(stays, (F.col("_d") == F.col("_i")) & (F.col("_h") == F.col("_x")), "left_semi")
+    one = rows.groupBy("_d", "_h").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row")).select(*(F.col("_row")[c].alias(c) for c in docs.columns))
     return without(out, repeated).union(one)
