@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +15,7 @@ from ..functions.fixture import Fixture, Made
 from ..operators import generate as gn
 from ..operators import match as mt
 from ..operators import measure as ms
+from ..operators import metric as me
 from .answers import FIRST_TWO
 from .made import CITED_TURNS, MET, SENT_CASES, SENT_ID, SENTS_OF, TURN_LISTS, met, para_rows, sent_rows, tag_sql
 from .pairs import CITED, bound, clean_sql, content_sql
@@ -312,27 +309,18 @@ def discourse_markers_lex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source", "marker").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE e AS (SELECT vec_id, label, {E} AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings),
+r AS (SELECT DISTINCT label, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS ids, CAST([] AS DOUBLE[][]) AS vs, CAST(NULL AS BIGINT) AS vec_id, CAST(NULL AS BIGINT) AS leader FROM e
+ UNION ALL SELECT label, i, CASE WHEN f IS NULL THEN list_append(ids, vec_id) ELSE ids END, CASE WHEN f IS NULL THEN list_append(vs, v) ELSE vs END, vec_id, coalesce(ids[f], vec_id)
+ FROM (SELECT e.label, e.i, r.ids, r.vs, e.vec_id, e.v, list_filter(range(1, len(r.ids) + 1), lambda k: round(list_cosine_similarity(r.vs[k], e.v), 6) >= 0.7)[1] AS f FROM r JOIN e ON e.label = r.label AND e.i = r.i + 1))
+SELECT label, vec_id, leader FROM r WHERE i > 0"""
+)
 def vocabulary_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each label's vectors in groups around the first ones: a vector joins the first leader that it is like (cosine 0.7 or more)."""
-
-    def lead(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        rows = rows.sort_values("vec_id")
-        x = np.stack(rows["embedding"].to_list()).astype(float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-8)
-        leaders: list[int] = []
-        out = []
-        for i in range(len(x)):
-            like = x[leaders] @ x[i] >= 0.7 if leaders else np.zeros(0, bool)
-            if like.any():
-                out.append(leaders[int(like.argmax())])
-            else:
-                leaders.append(i)
-                out.append(i)
-        ids = rows["vec_id"].to_numpy()
-        return pd.DataFrame({"label": rows["label"].to_numpy(), "vec_id": ids, "leader": ids[out]})
-
-    return table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding").groupBy("label").applyInPandas(lead, "label int, vec_id long, leader long")
+    rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
+    led = me.leaders(me.unit(rows, "vec_id", "embedding", by="label"), 0.7).withColumnRenamed("id", "vec_id")
+    return rows.select("label", "vec_id").join(led, "vec_id", "left").select("label", "vec_id", F.coalesce("leader", "vec_id").alias("leader"))
 
 
 # --- joins
@@ -342,9 +330,9 @@ NEAREST = f"e AS (SELECT vec_id, label, {E} AS v FROM embeddings), s AS (SELECT
 
 @query(f"WITH {NEAREST} SELECT query_id, vec_id, similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 3")
 def nearest_of_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector's three nearest of its label."""
-    rows = table(spark, sf_dir, "embeddings")
-    return mt.nearest_join(rows.withColumnRenamed("vec_id", "query_id"), rows, "label", "embedding", "query_id", "vec_id", k=3)
+    """Each vector's three nearest of its label, by pivots and blocks."""
+    rows = me.unit(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", by="label")
+    return me.nearest(rows, rows, 3).select(F.col("query").alias("query_id"), F.col("id").alias("vec_id"), F.col("likeness").alias("similarity"), F.col("rank").cast("int"))
 
 
 @query("SELECT item_id, doc_id, n, n_chars FROM (SELECT item_id, length(text) AS n FROM benchmark) b JOIN documents d ON CAST(d.n_chars AS DOUBLE) / b.n >= 0.98 AND CAST(d.n_chars AS DOUBLE) / b.n <= 1.02 WHERE n > 0 AND n_chars > 0")
