@@ -327,11 +327,33 @@ def distances(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return out
 
 
-def block_pairs(side: np.ndarray, ids: np.ndarray, n: np.ndarray, part: np.ndarray, bits: list[bytes], limit: int, similar: float = SIMILAR) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+def here_first(x: np.ndarray, y: np.ndarray, sketches: np.ndarray) -> np.ndarray:
+    """Which pairs of rows share none of these sketches; 0 fills a row up."""
+    out = np.ones(len(x), bool)
+    for s in range(0, len(x), 4096):
+        a, b = sketches[x[s : s + 4096]], sketches[y[s : s + 4096]]
+        same = np.zeros(len(a), bool)
+        for k in range(a.shape[1]):
+            same |= ((a[:, k, None] == b) & (a[:, k, None] != 0)).any(axis=1)
+        out[s : s + 4096] = ~same
+    return out
+
+
+def earlier(sketches: list[np.ndarray], key: int, wave: tuple[int, int]) -> np.ndarray:
+    """Of each row the sketches of the wave that come before this bucket's, in a matrix filled up with 0."""
+    own = [x[(x < key) & (x % 8 >= wave[0]) & (x % 8 < wave[1]) & (x != 0)] for x in sketches]
+    out = np.zeros((len(own), max([1, *map(len, own)])), np.int64)
+    for i, x in enumerate(own):
+        out[i, : len(x)] = x
+    return out
+
+
+def block_pairs(side: np.ndarray, ids: np.ndarray, n: np.ndarray, part: np.ndarray, bits: list[bytes], limit: int, similar: float = SIMILAR, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
     """Pairs (smaller id, larger id, share of bits that differ) of one block pair that differ in class and may be near copies, and whether any was left out.
 
     side: 0 and 1 where rows of side 0 meet those of side 1 only, 2 where all
-    meet. Each row hands on its `limit` nearest by bitmap. Two near copies
+    meet. before: each row's sketches whose buckets come first; a pair that
+    shares one of them is met there. Each row hands on its `limit` nearest by bitmap. Two near copies
     share at least `need` words, so at most n1 + n2 - 2 need bits differ: no
     near copy is dropped by that. A wider bitmap is folded to the narrower
     one's width; lengths of near copies are so close that one fold serves.
@@ -367,9 +389,12 @@ def block_pairs(side: np.ndarray, ids: np.ndarray, n: np.ndarray, part: np.ndarr
                 apart = distances(own[i], own[j])
                 x, y = np.nonzero(fit[kept] & (apart <= most[kept]))
                 far.append((at[i[x]].astype(np.int32), at[j[y]].astype(np.int32), (apart[x, y] / total[kept][x, y]).astype(np.float32)))
-    if not far:
+    x, y, d = (np.concatenate(c) for c in zip(*far, strict=True)) if far else (np.zeros(0, np.int32),) * 3
+    if before is not None and len(x):
+        mine = here_first(x, y, before)
+        x, y, d = x[mine], y[mine], d[mine]
+    if not len(x):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), False
-    x, y, d = (np.concatenate(c) for c in zip(*far, strict=True))
     a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
     pairs = np.arange(len(x), dtype=np.int32)
     ends, whose = np.concatenate([x, y]), np.concatenate([pairs, pairs])
@@ -396,13 +421,14 @@ def likely(pairs: DataFrame, bits: DataFrame, *, similar: float = SIMILAR) -> Da
     return beside(pairs.select("a", "na", "b", "nb"), bits.select("doc_id", "bits")).mapInArrow(run, "a long, b long")
 
 
-def blocks_apart(placed: DataFrame, main: DataFrame, bits: DataFrame, limit: int, *, similar: float = SIMILAR) -> DataFrame:
+def blocks_apart(placed: DataFrame, main: DataFrame, bits: DataFrame, limit: int, wave: tuple[int, int], *, similar: float = SIMILAR) -> DataFrame:
     """(key, a, b, d, more): pairs of different classes that a bucket holds and bitmaps do not rule out, and the share of bits that differ.
 
     A bucket of up to BLOCK documents is one block. Of a larger one the class
     that has most of it and the rest are dealt into blocks of about BLOCK
     documents by a hash; every block of the rest meets every block, each two
-    in one task. more: pairs of that task were left out, as each document
+    in one task. A pair that meets in several buckets of the wave is handed on
+    by the first. more: pairs of that task were left out, as each document
     hands on its `limit` nearest ones there.
     """
     rows = placed.join(main.select("k", "main", "total", (F.floor((F.col("most") - 1) / BLOCK) + 1).alias("_m"), (F.floor((F.col("total") - F.col("most") - 1) / BLOCK) + 1).alias("_r")), F.col("key") == F.col("k"))
@@ -425,7 +451,8 @@ def blocks_apart(placed: DataFrame, main: DataFrame, bits: DataFrame, limit: int
         def done() -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
             key = t.column("key")[0].as_py()
-            a, b, d, more = block_pairs(*(t.column(c).to_numpy() for c in ("side", "a", "na", "part")), t.column("bits").to_pylist(), limit, similar)
+            before = earlier([np.array(x, np.int64) for x in t.column("sketches").to_pylist()], key, wave)
+            a, b, d, more = block_pairs(*(t.column(c).to_numpy() for c in ("side", "a", "na", "part")), t.column("bits").to_pylist(), limit, similar, before)
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([key] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.float32()), pa.array([more] * len(a), pa.bool_())], names=["key", "a", "b", "d", "more"])
 
@@ -446,19 +473,19 @@ def blocks_apart(placed: DataFrame, main: DataFrame, bits: DataFrame, limit: int
     return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "key long, a long, b long, d float, more boolean")
 
 
-def still_apart(members: DataFrame, reached: DataFrame, bits: DataFrame, limit: int, *, similar: float = SIMILAR) -> DataFrame:
+def still_apart(members: DataFrame, reached: DataFrame, bits: DataFrame, limit: int, wave: tuple[int, int], *, similar: float = SIMILAR) -> DataFrame:
     """(key, a, b, d, more): pairs of a bucket that lie in different components and may be near copies.
 
     Buckets of all sizes are compared block by block, see `blocks_apart`; a
     pair is due if it meets in one bucket. The bucket's smallest document is
-    left out: every other one was held against it before. bits: doc_id and bitmap of every
-    document in members.
+    left out: every other one was held against it before. bits: doc_id, bitmap and sketches of every
+    document in members. wave: the eighths of the buckets that members holds.
     """
     placed = keep(labelled(members.where("a <> b"), "a", reached, "part").select("key", "a", "na", "part"), "placed")
     parts = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
     main = parts.groupBy(F.col("key").alias("k")).agg(F.sum("n").alias("total"), F.count("*").alias("parts"), F.max(F.struct("n", (-F.col("part")).alias("p"))).alias("m")).where("parts > 1")
     main = keep(main.select("k", "total", F.col("m.n").alias("most"), (-F.col("m.p")).alias("main")), "main")
-    return blocks_apart(placed, main, bits, limit, similar=similar)
+    return blocks_apart(placed, main, bits, limit, wave, similar=similar)
 
 
 def closest(due: DataFrame, limit: int) -> DataFrame:
@@ -527,8 +554,8 @@ def placed_rows(docs: DataFrame, *, words: int = WORDS, similar: float = SIMILAR
     buckets = rows.groupBy(F.col("key").alias("k")).agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).where("b <> last").drop("last")
     members = keep(rows.join(buckets, F.col("key") == F.col("k")).select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), "b"), "members")
 
-    held = among(signed.where("bits is not null").select("doc_id", "bits"), members.select(F.col("a").alias("doc_id")).distinct())
-    bits = keep(held.groupBy("doc_id").agg(F.min("bits").alias("bits")), "bits")
+    held = among(signed.where("bits is not null").select("doc_id", "bits", "sketches"), members.select(F.col("a").alias("doc_id")).distinct())
+    bits = keep(held.groupBy("doc_id").agg(F.min(F.struct("bits", "sketches")).alias("m")).select("doc_id", "m.*"), "bits")
     sizes = sketched.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"))
     near = F.least("na", "nb") >= F.greatest("na", "nb") * similar
     met = members.where("a <> b").groupBy("a", "na", "b").agg(F.count("*").alias("times")).join(sizes, "b").where(near)
@@ -557,7 +584,7 @@ def placed_rows(docs: DataFrame, *, words: int = WORDS, similar: float = SIMILAR
     for low, high, handed in WAVES:
         wave = members.where(F.pmod("key", F.lit(8)).between(low, high - 1))
         while True:
-            met = keep(still_apart(wave, reached, bits, handed, similar=similar), "due")
+            met = keep(still_apart(wave, reached, bits, handed, (low, high), similar=similar), "due")
             due = keep(met.groupBy("a", "b").agg(F.min("d").alias("d")).join(tested, ["a", "b"], "left_anti"), "apart")
             if not due.isEmpty():
                 now = keep(closest(due, FIRST), "pairs")
