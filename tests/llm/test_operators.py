@@ -158,6 +158,38 @@ def test_license_notices_and_edges(spark):
     assert licenses.scan(documents(spark)).count() == len(TEXTS) and licenses.scan(documents(spark).limit(0)).count() == 0
 
 
+def notice(license: str, version: str, what: str = "program") -> str:
+    return f"This {what} is free software; you can redistribute it and/or modify it under the terms of the {license} as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version. This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {license} for more details."
+
+
+def test_sibling_licences_keep_their_names(spark):
+    """Each notice gets its own name, or none where its licence has no template."""
+    bsd = next(t for n, t in licenses.TEMPLATES if n == "BSD-3-Clause")
+    texts = {
+        notice("GNU General Public License", "2"): "GPL-2.0-or-later",
+        notice("GNU General Public License", "3"): "GPL-3.0-or-later",
+        notice("GNU Lesser General Public License", "2.1", "library"): "LGPL-2.1-or-later",
+        notice("GNU Lesser General Public License", "3"): "LGPL-3.0-or-later",
+        notice("GNU Affero General Public License", "3"): "AGPL-3.0-or-later",
+        notice("GNU General Public License", "7"): None,
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0",
+        bsd: "BSD-3-Clause",
+        bsd.replace("the copyright holder nor", "Some Company Ltd nor"): "BSD-3-Clause",
+        next(t for n, t in licenses.TEMPLATES if n == "BSD-2-Clause"): "BSD-2-Clause",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "CC-BY-NC-4.0",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": "CC-BY-4.0",
+        "Licensed under CC BY-NC-SA 4.0": "CC-BY-NC-SA-4.0",
+        "Licensed under CC BY-NC 4.0": "CC-BY-NC-4.0",
+        "Licensed under CC BY-ND 4.0": "CC-BY-ND-4.0",
+        "Licensed under the Apache License, Version 1.1.": None,
+    }
+    rows = spark.createDataFrame(list(enumerate(f"Some words first. {t} And some words more." for t in texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(rows).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
 def test_licenses_of_any_passage_length():
     rng = random.Random(5)
     template = [f"t{rng.randrange(30)}" for _ in range(40)]
