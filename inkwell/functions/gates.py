@@ -18,7 +18,7 @@ EDGES = f"^{MARK}++|{tx.run(MARK)}$"
 
 def most_repeated(items: Column) -> Column:
     """How often the most frequent item of a list occurs."""
-    return tx.let(F.array_sort(items), lambda xs: F.aggregate(xs, F.struct(F.lit(None).cast("string").alias("was"), F.lit(0).alias("n"), F.lit(0).alias("top")), lambda a, x: F.struct(x.alias("was"), F.when(a["was"] == x, a["n"] + 1).otherwise(1).alias("n"), F.greatest(a["top"], F.when(a["was"] == x, a["n"] + 1).otherwise(1)).alias("top")), lambda a: a["top"]))
+    return tx.let(F.sort_array(items), lambda xs: F.aggregate(xs, F.struct(F.lit(None).cast("string").alias("was"), F.lit(0).alias("n"), F.lit(0).alias("top")), lambda a, x: F.struct(x.alias("was"), F.when(a["was"] == x, a["n"] + 1).otherwise(1).alias("n"), F.greatest(a["top"], F.when(a["was"] == x, a["n"] + 1).otherwise(1)).alias("top")), lambda a: a["top"]))
 
 
 def bare(word: Column) -> Column:

@@ -41,7 +41,7 @@ NARRATIVE_OPENERS = ["and", "but", "then", "so", "or", "nor", "yet"]
 SENSORY_VERBS = ["see", "hear", "feel", "grasp", "watch", "listen", "touch", "smell", "sense", "perceive"]
 
 # Corpus cleaning.
-HEADERS = ["Introduction", "Preface", "Chapter", "Contents", "The Blind Watchmaker", "Doomed rivals", "Acknowledgements"]
+HEADERS = ["Introduction", "Preface", "Chapter", "Contents", "Acknowledgements"]
 ROMAN = r"^(I{1,3}|IV|VI{0,3}|IX|X{1,3}|XI{0,3}|XIV|XV|XVI|XVII|XVIII|XIX|XX|XXX)$"
 INSTRUCTIONS = ["CRITICAL:", "REWRITE:", "INPUT TEXT:", "TASK:", "INSTRUCTIONS:", "Subjects:", "Actions:", "Objects:", "Entities:", "Keywords:", "Citations:", "Quotes:", "Citations to include:", "Quotes to preserve:", "Citations to preserve:", "Direct quotes to preserve exactly:"]
 

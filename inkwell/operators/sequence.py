@@ -18,7 +18,7 @@ def runs(items: Column) -> Column:
         each = tx.let(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(xs, i).alias("item"), (F.coalesce(F.get(at, k + 1), F.size(xs)) - i).cast("long").alias("n"))))
         return F.when(F.size(xs) < 2, F.array().cast("array<struct<item: string, n: bigint>>")).otherwise(F.filter(each, lambda x: x["n"] > 1))
 
-    return tx.let(F.array_sort(items), cut)
+    return tx.let(F.sort_array(items), cut)
 
 
 def repeated_grams(docs: DataFrame, n: int, key: str = "doc_id", *, content: bool = False) -> DataFrame:
@@ -45,7 +45,7 @@ def proximal(docs: DataFrame, key: str = "doc_id", reach: int = 10) -> DataFrame
     def least(xs: Column) -> Column:
         return F.filter(xs, lambda x, i: (i == 0) | (x["word"] != F.get(xs, i - 1)["word"]))
 
-    found = tx.let(F.array_sort(tx.let(F.array_sort(placed), gaps)), least)
+    found = tx.let(F.sort_array(tx.let(F.sort_array(placed), gaps)), least)
     return docs.select(key, F.explode(found).alias("_g")).select(key, F.col("_g.word").alias("word"), F.col("_g.gap").alias("least_gap"))
 
 

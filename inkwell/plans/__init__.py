@@ -1,6 +1,6 @@
 """Registered queries of the library."""
 
-from . import answers, asked, choices, contexts, draws, judges, made, meanings, pairs, rules, sequences, stores, structures, tags, texts
+from . import answers, asked, choices, contexts, draws, judges, lattices, made, meanings, pairs, rules, sequences, stores, structures, tags, texts
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "answers", "asked", "choices", "contexts", "draws", "judges", "made", "meanings", "pairs", "rules", "sequences", "stores", "structures", "tags", "texts"]
+__all__ = ["QUERIES", "SQL", "answers", "asked", "choices", "contexts", "draws", "judges", "lattices", "made", "meanings", "pairs", "rules", "sequences", "stores", "structures", "tags", "texts"]

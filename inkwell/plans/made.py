@@ -14,7 +14,7 @@ from .registry import PARAS, SENTS, list_sql, table, tokens_sql, words_sql
 
 TURNS = "turns AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations)"
 #: Turns with the one before, and an id of their own.
-MET = f"{TURNS}, met AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, text, prev FROM turns WHERE prev IS NOT NULL AND text IS NOT NULL)"
+MET = f"{TURNS}, met AS (SELECT conv_id * 1048576 + turn AS id, conv_id, turn, text, prev FROM turns WHERE prev IS NOT NULL AND text IS NOT NULL)"
 
 
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def met(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return turn_pairs(spark, sf_dir).where(F.col("text").isNotNull()).withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    return turn_pairs(spark, sf_dir).where(F.col("text").isNotNull()).withColumn("id", F.col("conv_id") * 1048576 + F.col("turn"))
 
 
 def sent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,8 +35,8 @@ def para_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tx.paragraph_rows(table(spark, sf_dir, "documents"))
 
 
-PARA_ID = "doc_id * 1000 + para_idx"
-SENT_ID = "doc_id * 1000000 + para_idx * 1000 + sent_idx"
+PARA_ID = "CAST(doc_id AS STRING) || '-' || CAST(para_idx AS STRING)"
+SENT_ID = PARA_ID + " || '-' || CAST(sent_idx AS STRING)"
 
 
 def first(c: Column, n: int) -> Column:

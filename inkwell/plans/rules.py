@@ -101,7 +101,7 @@ def moralizing_endings(rows: DataFrame) -> DataFrame:
 
 
 def most_sql(items: str) -> str:
-    return f"coalesce(list_max(list_transform(list_distinct({items}), lambda y: len(list_filter({items}, lambda z: z = y)))), 0)"
+    return f"coalesce(list_max(map_values(list_histogram({items}))), 0)"
 
 
 W = words_sql("text")

@@ -14,9 +14,11 @@ from ..operators import measure as ms
 from ..operators import retrieve as rt
 from ..operators import sequence as sq
 from ..sources import store as st
+from ..sources.shared import kept
 from ..streaming import windows as sw
 from .made import FOLD_SENTS
 from .registry import PARAS, SENTS, list_sql, over, query, table, tokens_sql, words_sql
+from .texts import STYLE
 
 DIM = 64
 E = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
@@ -218,16 +220,36 @@ def greedy_dedup(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.aggregate(F.col("s.skeleton"), F.array().cast("array<string>"), step).alias("kept"))
 
 
-@query()
+ARCHETYPES, ROUNDS = 8, 4
+
+
+def _kmeans_sql() -> str:
+    """Seeds and rounds one after the other: c0 to c7 are seeds, r0 to r4 the centres of each round."""
+    dims = ms.DIMENSIONS
+    far = "round(sqrt(list_sum(list_transform(range(1, {n} + 1), lambda i: (x[i] - {c}[i]) * (x[i] - {c}[i])))), {d})"
+    apart = lambda c, d: far.format(n=len(dims), c=c, d=d)
+    out = [STYLE, f"stats AS (SELECT {', '.join(f'avg({x}) AS m{i}, stddev_pop({x}) AS s{i}' for i, x in enumerate(dims))} FROM style)"]
+    out.append("v AS MATERIALIZED (SELECT doc_id, [" + ", ".join(f"CASE WHEN s{i} > 0 THEN round(({x} - m{i}) / s{i}, 6) ELSE 0.0::DOUBLE END" for i, x in enumerate(dims)) + "] AS x FROM style, stats)")
+    out.append("c0 AS MATERIALIZED (SELECT 0 AS k, x AS c FROM v ORDER BY doc_id LIMIT 1)")
+    for k in range(1, ARCHETYPES):
+        out.append(f"c{k} AS MATERIALIZED (SELECT * FROM c{k - 1} UNION ALL (SELECT {k}, x FROM (SELECT doc_id, any_value(x) AS x, min({apart('c', 6)}) AS d FROM v, c{k - 1} GROUP BY doc_id) WHERE d > 0 ORDER BY d DESC, doc_id LIMIT 1))")
+    last = f"c{ARCHETYPES - 1}"
+    for r in range(ROUNDS):
+        out.append(f"a{r} AS MATERIALIZED (SELECT doc_id, any_value(x) AS x, min(struct_pack(d := {apart('c', 9)}, k := k)).k AS k FROM v, {last} GROUP BY doc_id)")
+        out.append(f"r{r} AS MATERIALIZED (SELECT o.k, coalesce(n.c, o.c) AS c FROM {last} o LEFT JOIN (SELECT k, [{', '.join(f'round(avg(x[{i + 1}]), 6)' for i in range(len(dims)))}] AS c FROM a{r} GROUP BY k) n USING (k))")
+        last = f"r{r}"
+    return "WITH " + ",\n".join(out) + f"\nSELECT doc_id, CAST(min(struct_pack(d := {apart('c', 9)}, k := k)).k AS INTEGER) AS archetype_id FROM v, {last} GROUP BY doc_id"
+
+
+@query(_kmeans_sql())
 def kmeans_archetypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archetypes of documents by their standardised style vectors."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-
-    rows = ms.style_vectors(table(spark, sf_dir, "documents"), "doc_id")
-    steps = [VectorAssembler(inputCols=ms.DIMENSIONS, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), KMeans(k=8, seed=42, predictionCol="archetype_id")]
-    return Pipeline(stages=steps).fit(rows).transform(rows).select("doc_id", "archetype_id")
+    """Archetypes of documents by their standardised style vectors: seeds far apart, then a fixed number of rounds."""
+    rows = kept(ms.style_vectors(table(spark, sf_dir, "documents"), "doc_id"), "style")
+    vectors = kept(cu.standardised(rows, ms.DIMENSIONS, "doc_id"), "features")
+    centres, _ = cu.lloyd(vectors, "doc_id", "features", cu.farthest_first(vectors, "doc_id", "features", ARCHETYPES), ROUNDS)
+    if not centres:
+        return vectors.select("doc_id", F.lit(None).cast("int").alias("archetype_id"))
+    return vectors.select("doc_id", cu.nearest(F.col("features"), centres, 9)["key"].alias("archetype_id"))
 
 
 def asked(spark: SparkSession, sf_dir: str, kind: str, **values: object) -> DataFrame:

@@ -23,19 +23,19 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def save(rows: DataFrame, path: str, by: str = "source") -> None:
-    """Write or replace the authors present in rows; others stay."""
+    """Write or replace the authors present in rows, under their keys; others stay. An author's rows go to as many tasks as their size asks for."""
     mode = rows.sparkSession.conf.get("spark.sql.sources.partitionOverwriteMode")
     rows.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        rows.repartition(by, F.pmod(F.xxhash64(*rows.columns), F.lit(16))).write.mode("overwrite").partitionBy(by).parquet(path)
+        rows.withColumn(by, author_key(F.col(by))).hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(path)
     finally:
         rows.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
 
 
-def load(spark: SparkSession, path: str, author: str | None = None) -> DataFrame:
+def load(spark: SparkSession, path: str, author: str | None = None, by: str = "source") -> DataFrame:
     """An author's rows, or all: the filter prunes directories."""
     rows = spark.read.parquet(path)
-    return rows if author is None else rows.where(F.col("source") == author_key(F.lit(author)))
+    return rows if author is None else rows.where(F.col(by) == author_key(F.lit(author)))
 
 
 def upsert(profiles: DataFrame, changes: DataFrame, key: str = "name") -> DataFrame:
@@ -76,5 +76,6 @@ def forget(spark: SparkSession, path: str, author: str, by: str = "source") -> b
     if not exists(spark, path):
         return False
     key = spark.range(1).select(author_key(F.lit(author)).alias("k")).first()["k"]
-    found = [r[by] for r in load(spark, path).select(by).distinct().where(author_key(F.col(by)) == key).collect()]  # spellings of one name
-    return any([drop(spark, f"{path.rstrip('/')}/{by}={name}") for name in found])
+    found = [r[by] for r in load(spark, path, by=by).select(by).distinct().where(author_key(F.col(by)) == key).collect()]  # spellings of one name
+    folder = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    return any([drop(spark, f"{path.rstrip('/')}/{by}={folder(str(name))}") for name in found])

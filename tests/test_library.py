@@ -124,6 +124,14 @@ def test_store_drops_and_forgets(spark, tmp_path):
     assert st.drop(spark, path) is True and st.exists(spark, path) is False
 
 
+def test_store_takes_names_as_they_are_written(spark, tmp_path):
+    path = str(tmp_path / "names")
+    st.save(spark.createDataFrame([("Ann  Bee", 1), ("a/b", 2), ("c:d=e%", 3), ("Ann Bee", 4)], "source string, v int"), path)
+    assert sorted(r["v"] for r in st.load(spark, path, "ann bee").collect()) == [1, 4] == sorted(r["v"] for r in st.load(spark, path, "Ann Bee").collect())
+    assert st.forget(spark, path, "a/b") is True and st.forget(spark, path, "C:d=e%") is True and st.forget(spark, path, "A/B") is False
+    assert sorted(r["v"] for r in st.load(spark, path).collect()) == [1, 4]
+
+
 def test_author_is_built_stage_by_stage(spark, tmp_path):
     (tmp_path / "a.txt").write_text("One sentence here. Two follow it. Three end it.\n\nA second paragraph stands. It is short.")
     out = au.build_author(spark, "Ann Bee", str(tmp_path / "a.txt"), str(tmp_path / "store"), skip=["fragments"])
