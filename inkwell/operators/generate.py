@@ -1,8 +1,9 @@
-"""Loops around a text generator, unrolled: each attempt asks only for the rows that no earlier attempt has settled."""
+"""Loops around a text generator: each attempt reads only the rows that no earlier attempt has settled, from a table."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from ..functions import judge as jd
 from ..functions import rewrite as rw
 from ..functions import structure as sr
 from ..functions import text as tx
+from ..sources.shared import kept
 
 #: How strictly attempts are judged, in order, and the least score of each.
 LADDER = (("strict", 0.75), ("loose", 0.6), ("safety", 0.0))
@@ -53,6 +55,24 @@ def _tried(original: Column, at: int, mode: str, least: float) -> Callable[[Colu
     return more
 
 
+def frontier(rows: DataFrame, rounds: int, attempt: Callable[[DataFrame, int], DataFrame], open_: Column) -> DataFrame:
+    """rows after up to `rounds` attempts, each on the rows that are still open.
+
+    Every round reads its rows from the table that the last one wrote, so no
+    settled row goes to a generator, an answer that was paid for is not asked
+    for again when executors are lost, and plans do not grow with the rounds.
+    """
+    now = kept(rows, "frontier")
+    settled = []
+    for r in range(rounds):
+        live = now.where(open_)
+        if live.isEmpty():
+            break
+        settled.append(now.where(~open_))
+        now = kept(attempt(live, r), "frontier")
+    return reduce(DataFrame.unionByName, settled, now)
+
+
 def with_critic(rows: DataFrame, make: Callable[[], Completer], text: str = "text", ladder: Sequence[tuple[str, float]] = LADDER) -> DataFrame:
     """rows with what a generator made of the text: generated, mode, kind, score, attempts.
 
@@ -61,13 +81,16 @@ def with_critic(rows: DataFrame, make: Callable[[], Completer], text: str = "tex
     equals. What the last attempt lacked is told in the next one's prompt.
     """
     kind = "array<struct<score: double, at: int, generated: string, kind: string, mode: string, taken: boolean>>"
-    done = rows.withColumn("_tries", F.array().cast(kind)).withColumn("_why", F.lit(""))
-    for at, (mode, least) in enumerate(ladder):
-        open_ = ~F.exists("_tries", lambda t: t["taken"])
-        asked = done.withColumn("_system", F.concat(F.lit(f"{mode}: " + instruction("polish", style="plain") + " "), F.col("_why"))).withColumn("_user", F.when(open_, F.col(text)))
-        got = answered(asked, make, "_system", "_user", "_answer")
+
+    def attempt(live: DataFrame, at: int) -> DataFrame:
+        mode, least = ladder[at]
+        asked = live.withColumn("_system", F.concat(F.lit(f"{mode}: " + instruction("polish", style="plain") + " "), F.col("_why")))
+        got = answered(asked, make, "_system", text, "_answer")
         tries = F.when(F.col("_answer").isNotNull(), tx.let(rw.clean_generated(F.col("_answer")), _tried(F.col(text), at, mode, least))).otherwise(F.col("_tries"))
-        done = got.withColumn("_tries", tries).withColumn("_why", F.coalesce(F.concat(F.lit("Mend: "), F.element_at("_tries", -1)["kind"]), F.lit(""))).drop("_system", "_user", "_answer")
+        return got.withColumn("_tries", tries).withColumn("_why", F.coalesce(F.concat(F.lit("Mend: "), F.element_at("_tries", -1)["kind"]), F.lit(""))).drop("_system", "_answer")
+
+    start = rows.withColumn("_tries", F.array().cast(kind)).withColumn("_why", F.lit(""))
+    done = frontier(start, len(ladder), attempt, ~F.exists("_tries", lambda t: t["taken"]))
     taken = F.get(F.filter("_tries", lambda t: t["taken"]), F.lit(0))
     best = F.coalesce(taken, F.array_max("_tries"))
     return done.withColumn("_b", best).select(*rows.columns, F.col("_b.generated").alias("generated"), F.when(taken.isNotNull(), F.col("_b.mode")).otherwise("none").alias("mode"), F.col("_b.kind").alias("kind"), F.col("_b.score").alias("score"), F.size("_tries").alias("attempts"))
@@ -81,16 +104,18 @@ def evolved(rows: DataFrame, make: Callable[[], Completer], original: str = "ori
     scores better; a row that scores enough, or did not improve twice, asks no more.
     """
     score = lambda c: F.round(sr.raw_score(cp.recall(F.col(original), c), jd.fluency(c)), 6)
-    now = rows.withColumn("text", F.col(draft)).withColumn("score", score(F.col(draft))).withColumn("generation", F.lit(0)).withColumn("_idle", F.lit(0))
-    for g in range(1, generations + 1):
+
+    def attempt(live: DataFrame, g: int) -> DataFrame:
         need = fb.diagnosis(cp.recall(F.col(original), F.col("text")), jd.fluency(F.col("text")))
         system = F.when(need == "semantic_injection", instruction("inject", words="all")).when(need == "grammar_repair", instruction("grammar")).otherwise(instruction("polish", style="plain"))
-        live = (F.col("score") < enough) & (F.col("_idle") < 2)
-        asked = now.withColumn("_system", system).withColumn("_user", F.when(live, F.concat_ws(" ", F.col("text"), F.col(original))))
+        asked = live.withColumn("_system", system).withColumn("_user", F.concat_ws(" ", F.col("text"), F.col(original)))
         got = answered(asked, make, "_system", "_user", "_answer").withColumn("_new", rw.clean_generated(F.col("_answer"))).withColumn("_s", score(F.col("_new")))
         better = F.coalesce(F.col("_s") > F.col("score"), F.lit(False))
-        now = got.select(*rows.columns, F.when(better, F.col("_new")).otherwise(F.col("text")).alias("text"), F.when(better, F.col("_s")).otherwise(F.col("score")).alias("score"), F.when(better, g).otherwise(F.col("generation")).alias("generation"), F.when(better, 0).otherwise(F.col("_idle") + 1).alias("_idle"))
-    return now.drop("_idle")
+        return got.select(*rows.columns, F.when(better, F.col("_new")).otherwise(F.col("text")).alias("text"), F.when(better, F.col("_s")).otherwise(F.col("score")).alias("score"), F.when(better, g + 1).otherwise(F.col("generation")).alias("generation"), F.when(better, 0).otherwise(F.col("_idle") + 1).alias("_idle"))
+
+    start = rows.withColumn("text", F.col(draft)).withColumn("score", score(F.col(draft))).withColumn("generation", F.lit(0)).withColumn("_idle", F.lit(0))
+    live = F.coalesce((F.col("score") < enough) & (F.col("_idle") < 2), F.lit(False))
+    return frontier(start, generations, attempt, live).drop("_idle")
 
 
 def arena(candidates: DataFrame, by: str, key: str, k: int = 5, structure: float = 0.7, least: float = 0.5, alike: float = 0.85, viable: float = 0.85) -> DataFrame:
