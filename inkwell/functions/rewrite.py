@@ -15,8 +15,9 @@ CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 AUTHOR_YEAR = [r"\([A-Z][a-z]+,?\s+\d{4}(?:,\s*p\.\s*#?)?\)", r"(?i)\(Author,?\s+Year,?\s+p\.\s*#\)", r"\([A-Z][a-z]+\s+\d+\)"]
 PROTECTED = r"""\[\^\d+\]|["'](?:[^"'\\]|\\[\s\S])*["']"""
 SPACING = [(r"\s+([.,!?;:])", "$1"), (r"\.{2,}", "...")]
-# The same for Java's matcher, which must not go back into a repeated group: it would need stack for every turn. A backslash always takes the next character with it.
-SPANS = PROTECTED.replace(")*", ")*+")
+# The same for Java's matcher, which must not go back into a repeated group, as it would need stack for every turn. A backslash takes
+# the next character with it: a mark behind one neither closes a quote nor opens one (the latter SQL's matcher cannot tell).
+SPANS = PROTECTED.replace("|[", "|(?<!\\\\)[", 1).replace(")*", ")*+")
 BLANKS = tx.run(r"\s")
 MARKS = BLANKS + "([.,!?;:])"
 NUMBERED = r"(?i)\b(chapter|section|part)\s+([0-9]+|[ivx]+)\b"
