@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,16 +37,26 @@ def search(table: DataFrame, *, every: int = EVERY, top: int = TOP, rerank: int
 
     Score is the inner product of the original vectors in double precision,
     ties go to the smaller vec_id. Vectors that are null, empty, zero or hold
-    null or non-finite components take no part, nor those of another dimension
-    than most; rows that repeat an id and its vector count once.
+    null or non-finite components and rows without vec_id take no part; each
+    dimension has an index of its own; rows that repeat an id and its vector
+    count once.
     """
-    rows = pq.vectors(table).withColumn("asks", F.col("vec_id") % every == 0)
+    schema = "query_id long, vec_id long, score double"
+    parts = [found_in(rows, every, top, rerank) for rows in pq.vectors(table)]
+    found = reduce(DataFrame.unionByName, parts, table.sparkSession.createDataFrame([], schema)) if len(parts) != 1 else parts[0]
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+
+
+def found_in(rows: DataFrame, every: int, top: int, rerank: int) -> DataFrame:
+    """query_id, vec_id, score: the best of each block for the queries among vectors of one dimension."""
+    rows = rows.withColumn("asks", F.col("vec_id") % every == 0)
     number = rows.count()
     index = pq.fit(rows, number, unit=False, probing=probing)
     schema = "query_id long, vec_id long, score double"
     if index is None:
-        return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sent = table.sparkSession.sparkContext.broadcast(index)
+        return rows.sparkSession.createDataFrame([], schema)
+    sent = rows.sparkSession.sparkContext.broadcast(index)
 
     def work(members: pa.Table, queries: pa.Table) -> pa.Table:
         known = sent.value
@@ -76,6 +88,4 @@ def search(table: DataFrame, *, every: int = EVERY, top: int = TOP, rerank: int
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
-    found = pq.grouped(keep(pq.coded(rows, index, probe_all=False), "coded"), len(index.centroids), work, schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    return pq.grouped(keep(pq.coded(rows, index, probe_all=False), "coded"), len(index.centroids), work, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,18 +57,27 @@ def links(table: DataFrame, *, cosine: float = COSINE) -> DataFrame:
     Pairs found by the index are held against the exact cosine in double
     precision. Equal vectors are joined first and stand as one with a weight,
     so a vector with many copies costs no more than one. Vectors that are
-    null, empty, zero or hold null or non-finite components link with nothing,
-    nor do those of another dimension than most. Rows that repeat an id get
+    null, empty, zero or hold null or non-finite components link with nothing;
+    each dimension has an index of its own. Rows that repeat an id get
     the same result; a null id gets no component and is kept.
     """
-    spark = table.sparkSession
-    rows = pq.vectors(table)
+    every = clean(table, "vec_id")
+    parts = [linked(rows, cosine) for rows in pq.vectors(table)]
+    if not parts:
+        return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    by_id = reduce(DataFrame.unionByName, parts).groupBy("vec_id").agg(F.max("n_links").cast("long").alias("n_links"), F.min("component_id").alias("component_id"))
+    out = every.join(by_id, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+def linked(rows: DataFrame, cosine: float) -> DataFrame:
+    """vec_id, n_links, component_id of vectors of one dimension."""
+    spark = rows.sparkSession
     named = keep(rows.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight")), "distinct")
     number = named.count()
     index = pq.fit(named, number, unit=True, probing=lambda x, c: probing(x, c, cosine))
-    every = clean(table, "vec_id")
     if index is None:
-        return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     sent = spark.sparkContext.broadcast(index)
 
     def work(members: pa.Table, queries: pa.Table) -> pa.Table:
@@ -116,6 +127,4 @@ def links(table: DataFrame, *, cosine: float = COSINE) -> DataFrame:
     reached = components(found.where("kind = 1").select("a", "b"))
     whole = named.join(counts, F.col("vec_id") == F.col("a"), "left").join(reached, F.col("vec_id") == F.col("id"), "left")
     told = whole.select("embedding", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    by_id = rows.join(told, "embedding").groupBy("vec_id").agg(F.max("n_links").cast("long").alias("n_links"), F.min("component_id").alias("component_id"))
-    out = every.join(by_id, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return rows.join(told, "embedding").select("vec_id", "n_links", "component_id")

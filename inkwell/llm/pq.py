@@ -34,12 +34,12 @@ def sound(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def vectors(table: DataFrame) -> DataFrame:
-    """vec_id and embedding of the rows that take part, once each; of several dimensions the most frequent one, of those the smallest."""
+def vectors(table: DataFrame) -> list[DataFrame]:
+    """vec_id and embedding of the rows that take part, once each: a DataFrame for each dimension, as vectors of two dimensions have no product."""
     rows = clean(table, "vec_id", "embedding").where(F.col("vec_id").isNotNull() & sound(F.col("embedding")))
     rows = keep(rows.withColumn("dim", F.size("embedding")).distinct(), "vectors")
-    first = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    return rows.where(F.col("dim") == (first["dim"] if first else 0)).drop("dim")
+    dims = sorted(r["dim"] for r in rows.select("dim").distinct().collect())
+    return [rows.where(F.col("dim") == d).drop("dim") for d in dims]
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:

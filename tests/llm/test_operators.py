@@ -762,6 +762,24 @@ def test_search_recall_and_scores(spark):
     assert [(r["query_id"], r["vec_id"]) for r in few] == [(20, 1), (20, 2)]
 
 
+def test_each_dimension_is_searched(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(v) for v in rng.normal(size=8)]) for i in range(60)] + [(100 + i, [float(v) for v in rng.normal(size=5)]) for i in range(41)]
+    rows += [(200, [x * 2 for x in rows[3][1]]), (201, [x * 3 for x in rows[70][1]]), (300, [1.0, 2.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in embed_dedup.links(table).collect()}
+    assert got[200]["component_id"] == 3 and got[201]["component_id"] == rows[70][0] and got[300]["component_id"] == 300 and got[3]["n_links"] >= 1
+    found: dict[int, list[int]] = {}
+    for r in ann.search(table, every=20, top=5).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    known = dict(rows)
+    for q in (i for i, _ in rows if i % 20 == 0 and i != 300):
+        same = [i for i, v in rows if len(v) == len(known[q]) and i != q]
+        want = sorted(same, key=lambda i, q=q: (-float(np.dot(known[q], known[i])), i))[:5]
+        assert len(set(want) & set(found[q])) >= 4
+    assert 300 not in found
+
+
 # --- pipeline
 
 
