@@ -66,17 +66,18 @@ def means(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Index:
-    """Coarse centroids, codebooks (one per subspace), where subspaces begin, lists to probe, and the norm that vectors are brought to (None: as they are)."""
+    """Coarse centroids, codebooks (one per subspace), where subspaces begin, lists to probe, whether vectors are brought to length 1, and what they are divided by otherwise."""
 
     centroids: np.ndarray
     books: list[np.ndarray]
     cuts: np.ndarray
     probes: int
     unit: bool
+    scale: float = 1.0
 
     def ready(self, x: np.ndarray) -> np.ndarray:
         x = np.asarray(x, np.float64)
-        return x / np.linalg.norm(x, axis=1, keepdims=True) if self.unit else x
+        return x / np.linalg.norm(x, axis=1, keepdims=True) if self.unit else x / self.scale
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each vector's list, residual codes, and the distance of what they stand for from the vector itself."""
@@ -113,12 +114,14 @@ def fit(rows: DataFrame, number: int, *, unit: bool, probing: Callable[[np.ndarr
     x = np.array([r["embedding"] for r in got], np.float64)
     if unit:
         x /= np.linalg.norm(x, axis=1, keepdims=True)
+    scale = 1.0 if unit else 2.0 ** np.floor(np.log2(np.abs(x).max()))  # a power of two, so nothing is rounded
+    x /= scale
     c = means(x, min(lists, len(x)), seed)
     rest = x - c[closest(x, c)]
     dim = x.shape[1]
     cuts = np.linspace(0, dim, max(1, -(-dim // WIDE)) + 1).astype(int)
     books = [means(rest[:, a:b], WORDS, seed + m) for m, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-    return Index(c, books, cuts, min(len(c), max(1, probing(x, c))), unit)
+    return Index(c, books, cuts, min(len(c), max(1, probing(x, c))), unit, float(scale))
 
 
 def coded(rows: DataFrame, index: Index, *, probe_all: bool) -> DataFrame:
