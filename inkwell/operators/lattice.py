@@ -11,12 +11,12 @@ lie, adds up per task what was chosen, and makes weights of the sums.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -32,6 +32,8 @@ NEVER = -100_000
 LONGEST = 4
 #: Suffixes of a counted model, the most frequent first; a longer one that is not among them falls back on a shorter one.
 MOST_SUFFIXES = 4096
+#: Different words that a task counts before it hands its sums on, and whose emissions it remembers.
+MOST_WORDS = 100_000
 #: First shares of the tags behind a suffix, and of the tags that follow a tag; what is not listed gets little.
 SUFFIXES = {"": "NOUN 6 VERB 2 ADJ 2 ADV 1", "ly": "ADV 8 ADJ 1", "ed": "VERB 7 ADJ 2", "ing": "VERB 5 NOUN 3 ADJ 1", "s": "NOUN 6 VERB 3", "ness": "NOUN 9", "ity": "NOUN 9", "ion": "NOUN 8 VERB 1", "ment": "NOUN 8 VERB 1", "ous": "ADJ 8", "ful": "ADJ 7 NOUN 1", "ive": "ADJ 6 NOUN 2", "able": "ADJ 8", "ible": "ADJ 8", "al": "ADJ 6 NOUN 3", "ic": "ADJ 6 NOUN 3", "less": "ADJ 8 ADV 1", "ize": "VERB 8", "ise": "VERB 6 NOUN 2", "ify": "VERB 8"}
 FOLLOWS = {
@@ -97,95 +99,162 @@ def first_model() -> Model:
     return Model(words, {s: weights(shares(x), OPEN) for s, x in SUFFIXES.items()}, [weights(shares(FOLLOWS[t])) for t in [*TAGS, ""]], weights(shares(ENDS)))
 
 
-def decode(sentences: list[list[str]], model: Model) -> list[list[int]]:
-    """The best path of each sentence, by places of TAGS: all sentences go forward together, word by word."""
-    names = sorted({w for s in sentences for w in s})
-    table = np.array([model.emission(w) for w in names] or [[0] * len(TAGS)], np.int64)
-    place = {w: i for i, w in enumerate(names)}
-    order = sorted(range(len(sentences)), key=lambda i: -len(sentences[i]))
-    sizes = np.array([len(sentences[i]) for i in order])
+class Emissions:
+    """The different emissions of a model as rows of one table, and the row of each word; the last words asked for are remembered."""
+
+    def __init__(self, model: Model):
+        self.known = {w: i for i, w in enumerate(model.words)}
+        self.suffixes = {s: len(self.known) + i for i, s in enumerate(model.suffixes)}
+        self.digits = len(self.known) + len(self.suffixes)
+        self.table = np.array([*model.words.values(), *model.suffixes.values(), model.emission("0")], np.int64)
+        self.seen: dict[str, int] = {}
+
+    def row(self, word: str) -> int:
+        if word.isdigit():
+            return self.digits
+        at = self.known.get(word)
+        if at is None:
+            size = len(word)
+            at = next(self.suffixes[s] for n in range(min(LONGEST, size), -1, -1) if (s := word[size - n :]) in self.suffixes)
+        return at
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        seen = self.seen
+        if len(seen) > MOST_WORDS:
+            seen.clear()
+        for w in words:
+            if w not in seen:
+                seen[w] = self.row(w)
+        return np.fromiter((seen[w] for w in words), np.int64, len(words))
+
+
+def walk(codes: np.ndarray, sizes: np.ndarray, table: np.ndarray, model: Model) -> np.ndarray:
+    """Tags, by places of TAGS, of sentences laid end to end: words as rows of the table of emissions. All sentences go forward together, word by word."""
     follows, ends = np.array(model.follows, np.int64), np.array(model.ends, np.int64)
+    starts = np.cumsum(sizes) - sizes
+    order = np.argsort(-sizes, kind="stable")
+    begin, long = starts[order], sizes[order]
+    live = np.searchsorted(-long, -np.arange(int(long[0]) if len(long) else 0), side="left")
     score = np.zeros((len(order), len(TAGS)), np.int64)
     back: list[np.ndarray] = []
-    for t in range(int(sizes[0]) if len(sizes) else 0):
-        live = int(np.searchsorted(-sizes, -t, side="left"))
-        own = table[[place[sentences[order[i]][t]] for i in range(live)]]
+    for t, n in enumerate(live):
+        own = table[codes[begin[:n] + t]]
         if t == 0:
-            score[:live] = follows[-1] + own
-            back.append(np.zeros((live, len(TAGS)), np.int8))
+            score[:n] = follows[-1] + own
+            back.append(np.zeros((n, len(TAGS)), np.int8))
+            continue
+        best, came = score[:n, :1] + follows[0], np.zeros((n, len(TAGS)), np.int8)
+        if n < 64:
+            ways = score[:n, :, None] + follows[None, :-1, :]
+            best, came = ways.max(axis=1), ways.argmax(axis=1).astype(np.int8)
         else:
-            ways = score[:live, :, None] + follows[None, :-1, :]
-            back.append(ways.argmax(axis=1).astype(np.int8))
-            score[:live] = ways.max(axis=1) + own
-    out: list[list[int]] = [[] for _ in sentences]
-    for i, o in enumerate(order):
-        tag, path = int((score[i] + ends).argmax()), []
-        for t in range(int(sizes[i]) - 1, -1, -1):
-            path.append(tag)
-            tag = int(back[t][i, tag])
-        out[o] = path[::-1]
+            for j in range(1, len(TAGS)):
+                way = score[:n, j : j + 1] + follows[j]
+                came[way > best] = j
+                np.maximum(best, way, out=best)
+        back.append(came)
+        score[:n] = best + own
+    out = np.zeros(int(sizes.sum()), np.int8)
+    tag = (score + ends).argmax(axis=1)
+    for t in range(len(live) - 1, -1, -1):
+        n = live[t]
+        out[begin[:n] + t] = tag[:n]
+        tag[:n] = back[t][np.arange(n), tag[:n]]
     return out
 
 
-def groups(sentences: list[list[str]], most: int = 100_000) -> Iterator[tuple[int, int]]:
+def ranges(sizes: np.ndarray, most: int = 100_000) -> Iterator[tuple[int, int]]:
     """Ranges of sentences with about `most` words each; a longer one is its own range."""
     begin = size = 0
-    for i, s in enumerate(sentences):
-        if size and size + len(s) > most:
+    for i, n in enumerate(sizes.tolist()):
+        if size and size + n > most:
             yield begin, i
             begin, size = i, 0
-        size += len(s)
-    if begin < len(sentences):
-        yield begin, len(sentences)
+        size += n
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+def decoded(column: pa.Array, model: Model, told: Emissions) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Of an array of sentences: the different words, each word's place among them, each sentence's length (0 for null), and all tags end to end."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten().dictionary_encode()
+    names, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False)
+    rows = told.rows(names)[codes] if names else codes
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    tags = [walk(rows[ends[a] : ends[b]], sizes[a:b], told.table, model) for a, b in ranges(sizes)]
+    return names, codes, sizes, np.concatenate(tags) if tags else np.zeros(0, np.int8)
+
+
+def decode(sentences: list[list[str]], model: Model) -> list[list[int]]:
+    """The best path of each sentence, by places of TAGS."""
+    _, _, sizes, tags = decoded(pa.array(sentences, pa.list_(pa.string())), model, Emissions(model))
+    return [part.tolist() for part in np.split(tags, np.cumsum(sizes)[:-1])] if len(sizes) else []
 
 
 def tagged(rows: DataFrame, tokens: str, model: Model, out: str = "tags") -> DataFrame:
     """rows with the tags of an array of lower-case words; null stays null, an empty array empty."""
     at = rows.columns.index(tokens)
     sent = rows.sparkSession.sparkContext.broadcast(model)
-    names = np.array(TAGS, object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, told = pa.array(TAGS, pa.string()), Emissions(sent.value)
         for batch in batches:
-            words = [w or [] for w in batch.column(at).to_pylist()]
-            paths: list[list[str]] = []
-            for a, b in groups(words):
-                paths += [names[p].tolist() if p else [] for p in decode(words[a:b], sent.value)]
-            null = batch.column(at).is_null().to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if n else p for n, p in zip(null, paths, strict=True)], pa.list_(pa.string()))], names=[*batch.schema.names, out])
+            column = batch.column(at)
+            _, _, sizes, tags = decoded(column, sent.value, told)
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, names.take(pa.array(tags)), mask=column.is_null())
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, out])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(out, ArrayType(StringType()))]))
 
 
 def counted(rows: DataFrame, tokens: str, model: Model) -> Model:
-    """The model that the best paths of all rows make: one round of counting. Each task adds up what it has seen before it hands it on."""
+    """The model that the best paths of all rows make: one round of counting. Each task adds up what it has seen before it hands it on, MOST_WORDS different words at a time."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
-    schema = "kind int, key string, tag int, n long"
+    width = len(TAGS)
+    schema = "kind int, key string, " + ", ".join(f"_{i} long" for i in range(width))
+
+    def told(known: Model, follows: np.ndarray, last: np.ndarray, seen: dict[str, np.ndarray]) -> pa.RecordBatch:
+        out: dict[tuple[int, str], np.ndarray] = {(0, str(i)): row for i, row in enumerate(follows)} | {(0, "end"): last}
+        for w, row in seen.items():
+            if w in known.words:
+                out[1, w] = row
+            elif not w.isdigit():
+                for n in range(min(LONGEST, len(w)) + 1):
+                    key = 2, w[len(w) - n :]
+                    out[key] = out[key] + row if key in out else row
+        out = {k: row for k, row in out.items() if row.any()}
+        counts = np.array(list(out.values()), np.int64).reshape(len(out), width)
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.int32()), pa.array([k[1] for k in out], pa.string()), *(pa.array(counts[:, i]) for i in range(width))], names=["kind", "key", *(f"_{i}" for i in range(width))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
+        known, lines = sent.value, Emissions(sent.value)
+        follows, last, seen = np.zeros((width + 1, width), np.int64), np.zeros(width, np.int64), {}
         for batch in batches:
-            words = [w for w in batch.column(0).to_pylist() if w]
-            seen: Counter = Counter()
-            for a, b in groups(words):
-                for sentence, path in zip(words[a:b], decode(words[a:b], known), strict=True):
-                    seen.update((0, str(p), t) for p, t in zip([len(TAGS), *path], path, strict=False))
-                    seen[0, "end", path[-1]] += 1
-                    for w, t in zip(sentence, path, strict=True):
-                        if w in known.words:
-                            seen[1, w, t] += 1
-                        elif not w.isdigit():
-                            for n in range(min(LONGEST, len(w)) + 1):
-                                seen[2, w[len(w) - n :], t] += 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.int32()), pa.array([k[1] for k in seen], pa.string()), pa.array([k[2] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["kind", "key", "tag", "n"])
-
-    counts = rows.select(tokens).mapInArrow(run, schema).groupBy("kind", "key").agg(*(F.sum(F.when(F.col("tag") == i, F.col("n")).otherwise(0)).alias(f"_{i}") for i in range(len(TAGS))), F.sum("n").alias("total"))
+            names, codes, sizes, tags = decoded(batch.column(0), known, lines)
+            if not len(tags):
+                continue
+            tags, sizes = tags.astype(np.int64), sizes[sizes > 0]
+            before = np.concatenate([[width], tags[:-1]])
+            before[np.cumsum(sizes)[:-1]] = width
+            follows += np.bincount(before * width + tags, minlength=(width + 1) * width).reshape(width + 1, width)
+            last += np.bincount(tags[np.cumsum(sizes) - 1], minlength=width)
+            for w, row in zip(names, np.bincount(codes * width + tags, minlength=len(names) * width).reshape(len(names), width), strict=True):
+                seen[w] = seen[w] + row if w in seen else row
+            if len(seen) > MOST_WORDS:
+                yield told(known, follows, last, seen)
+                follows, last, seen = np.zeros_like(follows), np.zeros_like(last), {}
+        yield told(known, follows, last, seen)
+
+    sums = [F.sum(f"_{i}").alias(f"_{i}") for i in range(width)]
+    counts = rows.select(tokens).mapInArrow(run, schema).groupBy("kind", "key").agg(*sums).withColumn("total", sum((F.col(f"_{i}") for i in range(width)), F.lit(0)))
     small = counts.where("kind < 2").collect()  # as many rows as tags and closed words at most
     suffixes = counts.where("kind = 2").orderBy(F.desc("total"), "key").limit(MOST_SUFFIXES).collect()
-    told = lambda r: {t: float(r[f"_{i}"]) for i, t in enumerate(TAGS)}
-    follows = {r["key"]: weights(told(r), little=1) for r in small if r["kind"] == 0}
-    words = {r["key"]: weights(told(r), [t for t, w in zip(TAGS, model.words[r["key"]], strict=True) if w > NEVER], 1) for r in small if r["kind"] == 1}
-    known = {r["key"]: weights(told(r), OPEN, 1) for r in suffixes}
+    told_of = lambda r: {t: float(r[f"_{i}"]) for i, t in enumerate(TAGS)}
+    follows = {r["key"]: weights(told_of(r), little=1) for r in small if r["kind"] == 0}
+    words = {r["key"]: weights(told_of(r), [t for t, w in zip(TAGS, model.words[r["key"]], strict=True) if w > NEVER], 1) for r in small if r["kind"] == 1}
+    known = {r["key"]: weights(told_of(r), OPEN, 1) for r in suffixes}
     return Model(model.words | words, {"": model.suffixes[""]} | known, [follows.get(str(i), model.follows[i]) for i in range(len(TAGS) + 1)], follows.get("end", model.ends))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import clauses as cs
 from ..functions import text as tx
 from ..operators import lattice as la
+from ..sources.shared import kept
 from .registry import query, table, tokens_sql
 
 
@@ -43,7 +44,7 @@ def lattice_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lattice_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How tags follow each other in each author's sentences, by a model counted in two rounds over all documents."""
     sents = table(spark, sf_dir, "documents").select("source", F.explode(tx.paragraphs(F.col("text"))).alias("p")).select("source", F.explode(tx.sentences(F.col("p"))).alias("s"))
-    rows = sents.select("source", tx.tokens(F.col("s")).alias("tokens"))
+    rows = kept(sents.select("source", tx.tokens(F.col("s")).alias("tokens")), "sentences")  # three passes read it
     tags = la.tagged(rows, "tokens", la.trained(rows, "tokens")).where(F.size("tags") > 1)
     pairs = F.zip_with(F.slice("tags", F.lit(1), F.size("tags") - 1), F.slice("tags", F.lit(2), F.size("tags")), lambda a, b: F.struct(a.alias("src"), b.alias("tgt")))
     counts = tags.select("source", F.explode(pairs).alias("x")).groupBy("source", "x.src", "x.tgt").agg(F.count("*").alias("n"))
