@@ -32,8 +32,11 @@ def pairs(texts: DataFrame, tokens: str = "tokens", window: int = WINDOW) -> Dat
 
 
 def with_total(rows: DataFrame, totals: DataFrame, word: str, other: str, out: str, salts: int = SALTS) -> DataFrame:
-    """rows with the total of one of their words. The rows of a word meet it in `salts` parts by their other word."""
-    parts = totals.select(F.col("word").alias("_w"), F.col("total").alias(out), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_part"))
+    """rows with the total of one of their words. The rows of a word meet it in `salts` parts by their other word.
+
+    The parts grow with the vocabulary, `salts` times over, which Spark's estimate does not see; so they are never sent to the driver.
+    """
+    parts = totals.select(F.col("word").alias("_w"), F.col("total").alias(out), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_part")).hint("merge")
     return rows.withColumn("_at", F.pmod(F.xxhash64(other), F.lit(salts)).cast("int")).join(parts, (F.col(word) == F.col("_w")) & (F.col("_at") == F.col("_part"))).drop("_w", "_at", "_part")
 
 

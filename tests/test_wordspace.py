@@ -59,3 +59,12 @@ def test_words_of_like_use_meet(spark):
     rows = spark.createDataFrame([(1, ["car", "road"], ["automobile", "road"]), (2, ["car"], ["bread"]), (3, ["unseen", "car"], ["unseen"]), (4, ["car"], None), (5, [], ["car"])], "id long, a array<string>, b array<string>")
     got = {r["id"]: (r["n"], r["missing"]) for r in ws.coverage(rows, "id", F.col("a"), F.col("b"), space, 0.6).collect()}
     assert got == {1: (2, []), 2: (1, ["car"]), 3: (2, ["car"]), 4: (1, ["car"]), 5: (0, [])}
+
+
+def test_totals_are_not_broadcast(spark):
+    """A vocabulary times its parts passes through the driver if it is."""
+    counted = spark.createDataFrame([("a", "b", 2), ("b", "a", 2), ("a", "a", 4)], "word string, near string, n long")
+    totals = counted.groupBy("word").agg(F.sum("n").alias("total"))
+    joined = ws.with_total(counted, totals, "word", "near", "tw")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["word"], r["near"], r["tw"]) for r in joined.collect()) == [("a", "a", 6), ("a", "b", 6), ("b", "a", 2)]
