@@ -11,16 +11,20 @@ from . import text as tx
 
 def rhetoric(c: Column) -> Column:
     """Rhetorical type; rules are tried in order and look for characters, not whole words."""
-    low = F.lower(c)
-    first = F.lower(F.get(tx.words(c), F.lit(0)))
-    return (
-        F.when(F.coalesce(tx.strip(c), F.lit("")) == "", "UNKNOWN")
-        .when(tx.has_any(low, lx.DESCRIPTIVE), "OBSERVATION")
-        .when(tx.has_any(low, lx.DEFINITION), "DEFINITION")
-        .when(first.isin(lx.IMPERATIVE), "IMPERATIVE")
-        .when(tx.has_any(low, lx.ARGUMENT), "ARGUMENT")
-        .otherwise("OBSERVATION")
-    )
+
+    def judge(x: Column) -> Column:
+        low, s = x["low"], x["s"]
+        first = F.lower(F.get(tx.words(s), F.lit(0)))
+        return (
+            F.when(F.coalesce(tx.strip(s), F.lit("")) == "", "UNKNOWN")
+            .when(tx.has_any(low, lx.DESCRIPTIVE), "OBSERVATION")
+            .when(tx.has_any(low, lx.DEFINITION), "DEFINITION")
+            .when(first.isin(lx.IMPERATIVE), "IMPERATIVE")
+            .when(tx.has_any(low, lx.ARGUMENT), "ARGUMENT")
+            .otherwise("OBSERVATION")
+        )
+
+    return tx.let(c, lambda s: tx.let(F.struct(s.alias("s"), F.lower(s).alias("low")), judge))
 
 
 def sentence_type(c: Column) -> Column:
@@ -37,15 +41,23 @@ def skeleton_type(skeleton: Column, text: Column) -> Column:
 
 def syntax_type(c: Column) -> Column:
     """Fragment, Compound, Complex or Simple, by counts of conjunctions among the tokens."""
-    t = tx.tokens(c)
+    return tx.let(tx.tokens(c), syntax_of)
+
+
+def syntax_of(t: Column) -> Column:
+    """The same, of tokens."""
     return F.when(F.size(t) < 4, "Fragment").when(tx.among(t, lx.COORDINATORS) > 0, "Compound").when(tx.among(t, lx.SUBORDINATORS) > 0, "Complex").otherwise("Simple")
 
 
 def sentiment(c: Column) -> Column:
     """Positive, Negative or Neutral, by words of either list per token against 0.05."""
-    t = tx.tokens(c)
+    return tx.let(tx.tokens(c), sentiment_of)
+
+
+def sentiment_of(t: Column) -> Column:
+    """The same, of tokens."""
     score = (tx.among(t, lx.POSITIVE) - tx.among(t, lx.NEGATIVE)) / F.greatest(F.size(t), F.lit(1))
-    return F.when(score >= 0.05, "Positive").when(score <= -0.05, "Negative").otherwise("Neutral")
+    return tx.let(score, lambda x: F.when(x >= 0.05, "Positive").when(x <= -0.05, "Negative").otherwise("Neutral"))
 
 
 def moralizing(paragraph: Column) -> Column:
