@@ -36,12 +36,12 @@ def place(idx: Column, n: Column) -> Column:
 
 def contexts(docs: DataFrame) -> DataFrame:
     """A row for every sentence: its id (doc_id, para_idx, sent_idx), the fields of its context, the sentence. The type before a paragraph's first sentence is Simple."""
-    paras = docs.select("doc_id", tx.paragraphs(F.col("text")).alias("_p")).select("doc_id", F.size("_p").alias("_n"), F.posexplode("_p").alias("para_idx", "_q"))
-    own = paras.select("doc_id", "para_idx", place(F.col("para_idx"), F.col("_n")).alias("para_pos"), F.transform(tx.sentences(F.col("_q")), lambda s: F.struct(s.alias("s"), cl.syntax_type(s).alias("type"))).alias("_s"))
-    each = own.select("doc_id", "para_idx", "para_pos", "_s", F.posexplode("_s").alias("sent_idx", "_x"))
+    paras = docs.select("doc_id", tx.paragraphs(F.col("text")).alias("_p")).select("doc_id", F.size("_p").alias("_n"), F.posexplode_outer("_p").alias("para_idx", "_q")).where("para_idx IS NOT NULL")
+    own = paras.select("doc_id", "para_idx", place(F.col("para_idx"), F.col("_n")).alias("para_pos"), F.transform(tx.sentences(F.col("_q")), lambda s: tx.let(tx.tokens(s), lambda t: F.struct(s.alias("s"), cl.syntax_of(t).alias("type"), cl.sentiment_of(t).alias("mood")))).alias("_s"))
+    each = own.select("doc_id", "para_idx", "para_pos", "_s", F.posexplode_outer("_s").alias("sent_idx", "_x")).where("sent_idx IS NOT NULL")
     before = F.coalesce(F.get("_s", F.col("sent_idx") - 1)["type"], F.lit("Simple"))
     s = F.col("_x.s")
-    return each.select(*ID, "para_pos", place(F.col("sent_idx"), F.size("_s")).alias("sent_pos"), before.alias("previous_type"), cl.sentiment(s).alias("sentiment"), cl.length_category(F.size(tx.words(s))).alias("length"), s.alias("sentence"))
+    return each.select(*ID, "para_pos", place(F.col("sent_idx"), F.size("_s")).alias("sent_pos"), before.alias("previous_type"), F.col("_x.mood").alias("sentiment"), cl.length_category(F.size(tx.words(s))).alias("length"), s.alias("sentence"))
 
 
 def first_of(rows: DataFrame, group: list[str], k: int) -> DataFrame:
@@ -64,43 +64,69 @@ def cell_index(corpus: DataFrame, k: int = NEAREST) -> DataFrame:
 
 
 def nearest(cells: DataFrame, index: DataFrame, k: int = NEAREST) -> DataFrame:
-    """For each cell (a row of FIELDS) the array `near` of its k + 1 nearest contexts (distance, id, tags), nearest first, ties by id."""
+    """For each cell (a row of FIELDS, and what else it has) the array `near` of its k + 1 nearest contexts (distance, id, tags), nearest first, ties by id."""
     theirs = index.select("mask", "key", *ID, *(F.col(f).alias(f"_{f}") for f in FIELDS), "tags")
-    met = masked(cells.select(*FIELDS)).join(theirs, ["mask", "key"])
+    met = masked(cells).join(theirs, ["mask", "key"])
     apart = sum((F.when(F.col(f) != F.col(f"_{f}"), 1).otherwise(0) for f in FIELDS), F.lit(0))
-    one = met.select(*FIELDS, F.struct(apart.alias("distance"), F.struct(*ID).alias("id"), "tags").alias("_c"))
-    return one.groupBy(*FIELDS).agg(F.slice(F.array_sort(F.array_distinct(F.collect_list("_c"))), 1, k + 1).alias("near"))  # 32 masks of k + 1 each
+    one = met.select(*cells.columns, F.struct(apart.alias("distance"), F.struct(*ID).alias("id"), "tags").alias("_c"))
+    return one.groupBy(*cells.columns).agg(F.slice(F.array_sort(F.array_distinct(F.collect_list("_c"))), 1, k + 1).alias("near"))  # 32 masks of k + 1 each
 
 
 def built(templates: Column, target: Column) -> Column:
-    """The most frequent tag at each place, of equals the one of the nearer context; as long as the target if that is close to the mean, filled up or cut to it then."""
+    """The template of these tags for a sentence of so many words; see `merged` and `fitted`."""
+    return tx.let(merged(templates), lambda m: fitted(m, target))
+
+
+def merged(templates: Column, most: Column | None = None) -> Column:
+    """(mean, tags): the mean length of the templates that have tags (null without any), and at each place (of the first `most`, if told) their most frequent tag, of equals the one of the nearer context."""
+
+    def best(here: Column) -> Column:
+        return F.array_max(F.transform(here, lambda t, j: F.struct(F.size(F.filter(here, lambda u: u == t)).alias("n"), (-j).alias("j"), t.alias("tag"))))["tag"]
 
     def at(xs: Column, i: Column) -> Column:
-        here = F.filter(F.transform(xs, lambda t: F.get(t, i)), lambda t: t.isNotNull())
-        best = F.array_max(F.transform(here, lambda t, j: F.struct(F.size(F.filter(here, lambda u: u == t)).alias("n"), (-j).alias("j"), t.alias("tag"))))["tag"]
-        return F.coalesce(best, F.get(F.array(*map(F.lit, OPENING)), F.least(i, F.lit(len(OPENING) - 1))))
+        return tx.let(F.filter(F.transform(xs, lambda t: F.get(t, i)), lambda t: t.isNotNull()), best)
 
     def whole(xs: Column) -> Column:
-        mean = F.floor(F.aggregate(xs, F.lit(0), lambda a, t: a + F.size(t)) / F.size(xs)).cast("int")
-        n = F.when(F.abs(target - mean) <= CLOSE, target).otherwise(mean)
-        tags = F.transform(F.sequence(F.lit(0), F.greatest(F.least(n, target) - 1, F.lit(0))), lambda i: at(xs, i))
-        fill = F.transform(F.sequence(F.lit(0), F.greatest(target - n - 1, F.lit(0))), lambda i: F.element_at(F.array(*map(F.lit, FILL)), i % len(FILL) + 1))
-        return F.concat(F.slice(tags, F.lit(1), F.least(n, target)), F.slice(fill, F.lit(1), F.greatest(target - n, F.lit(0))))
+        mean = F.floor(F.aggregate(xs, F.lit(0), lambda a, t: a + F.size(t)) / F.nullif(F.size(xs), F.lit(0))).cast("int")
+        longest = F.coalesce(F.array_max(F.transform(xs, F.size)), F.lit(0))
+        n = longest if most is None else F.least(longest, most)
+        return F.struct(mean.alias("mean"), F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: at(xs, i))).otherwise(F.array().cast("array<string>")).alias("tags"))
+
+    return tx.let(F.filter(templates, lambda t: F.size(t) > 0), whole)
+
 
-    known = F.filter(templates, lambda t: F.size(t) > 0)
-    fallback = F.transform(F.sequence(F.lit(0), F.greatest(target - 1, F.lit(0))), lambda i: F.element_at(F.array(*map(F.lit, FILL)), i % len(FILL) + 1))
-    return tx.let(known, lambda xs: F.when(F.size(xs) > 0, whole(xs)).otherwise(F.slice(fallback, F.lit(1), target)))
+def fitted(m: Column, target: Column) -> Column:
+    """A merged template as long as the target if that is close to the mean, filled up or cut to it then; without tags it is all filling."""
+    filled = lambda n: F.slice(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.element_at(F.array(*map(F.lit, FILL)), i % len(FILL) + 1)), F.lit(1), F.greatest(n, F.lit(0)))
+    opening = lambda i: F.get(F.array(*map(F.lit, OPENING)), F.least(i, F.lit(len(OPENING) - 1)))
+
+    def cut(n: Column) -> Column:
+        own = F.least(n, target)
+        tags = F.transform(F.sequence(F.lit(0), F.greatest(own - 1, F.lit(0))), lambda i: F.coalesce(F.get(m["tags"], i), opening(i)))
+        return F.concat(F.slice(tags, F.lit(1), own), filled(target - n))
+
+    n = F.when(F.abs(target - m["mean"]) <= CLOSE, target).otherwise(m["mean"])
+    return F.when(m["mean"].isNull(), filled(target)).otherwise(tx.let(n, cut))
 
 
 def statistical_templates(targets: DataFrame, corpus: DataFrame, k: int = NEAREST) -> DataFrame:
     """For every target sentence the ids of its k nearest contexts in the corpus, itself left out, and the template of tags they make.
 
     Both are rows of `contexts`. Cells, not sentences, are searched: the join
-    with the sentences is by cell, with a table of at most 324 rows.
+    with the sentences is by cell, with a table of at most 324 rows that goes to
+    every task. A cell has k + 2 templates at most, one without each of its
+    k + 1 nearest contexts and one of the first k, so they are merged by cell too.
     """
-    cells = targets.select(*FIELDS).distinct()
+    words = F.size(tx.words(F.col("sentence")))
+    cells = targets.groupBy(*FIELDS).agg(F.max(words).alias("_most"))
     near = nearest(cells, cell_index(corpus, k), k)
-    own = F.struct(*ID)
-    rows = targets.join(near, list(FIELDS), "left").withColumn("_n", F.slice(F.filter(F.coalesce("near", F.array()), lambda c: c["id"] != own), 1, k))
-    target = F.size(tx.words(F.col("sentence")))
-    return rows.select(*ID, *FIELDS, F.transform("_n", lambda c: c["id"]).alias("nearest"), F.transform("_n", lambda c: c["distance"]).alias("distances"), built(F.transform("_n", lambda c: c["tags"]), target).alias("template"))
+
+    def without(j: Column) -> Column:
+        left = F.slice(F.filter(F.col("near"), lambda c, i: i != j), 1, k)
+        return tx.let(left, lambda n: F.struct(F.transform(n, lambda c: c["id"]).alias("nearest"), F.transform(n, lambda c: c["distance"]).alias("distances"), merged(F.transform(n, lambda c: c["tags"]), F.col("_most")).alias("m")))
+
+    made = near.select(*FIELDS, F.transform("near", lambda c: c["id"]).alias("_ids"), F.transform(F.sequence(F.lit(-1), F.size("near") - 1), without).alias("_made"))
+    rows = targets.join(F.broadcast(made), list(FIELDS), "left")
+    own = F.get("_made", F.coalesce(F.array_position("_ids", F.struct(*ID)), F.lit(0)).cast("int"))
+    none = F.array().cast("array<array<string>>")
+    return rows.withColumn("_t", own).select(*ID, *FIELDS, F.coalesce("_t.nearest", F.array()).alias("nearest"), F.coalesce("_t.distances", F.array()).alias("distances"), fitted(F.coalesce("_t.m", merged(none)), words).alias("template"))
