@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,11 +40,26 @@ RULES: list[tuple[str, str | list[str]]] = [
 ]
 
 
+#: What a word must look like before a pattern is tried on it: how it ends, or that it begins with a digit.
+HINTS = {r"^[0-9]+$": None, ADVERB: ["ly"], VERB: ["ed", "ing", "ize", "ise", "ify"], ADJECTIVE: ["ous", "ful", "ive", "able", "ible", "al", "ic", "less"]}
+LISTED = sorted({w for _, rule in RULES if not isinstance(rule, str) for w in rule})
+
+
+def fits(word: Column, rule: str) -> Column:
+    ends = HINTS[rule]
+    return (word < ":" if ends is None else reduce(lambda a, b: a | b, (word.endswith(e) for e in ends))) & word.rlike(rule)
+
+
 def tag(word: Column) -> Column:
-    out = F.lit("NOUN")
-    for name, rule in reversed(RULES):
-        out = F.when(word.rlike(rule) if isinstance(rule, str) else word.isin(rule), name).otherwise(out)
-    return out
+    """The first rule that fits. Most words are on no list, which one look tells, and have no ending that a pattern asks for."""
+
+    def first(rules: list[tuple[str, str | list[str]]]) -> Column:
+        out = F.lit("NOUN")
+        for name, rule in reversed(rules):
+            out = F.when(fits(word, rule) if isinstance(rule, str) else word.isin(rule), name).otherwise(out)
+        return out
+
+    return F.when(word.isin(LISTED), first(RULES)).otherwise(first([r for r in RULES if isinstance(r[1], str)]))
 
 
 def tags(c: Column) -> Column:
@@ -51,7 +68,12 @@ def tags(c: Column) -> Column:
 
 def with_tag(c: Column, *names: str) -> Column:
     """Distinct tokens of these tags, sorted."""
-    return F.array_sort(F.array_distinct(F.filter(tx.tokens(c), lambda w: tag(w).isin(*names))))
+    return F.filter(distinct(c), lambda w: tag(w).isin(*names))
+
+
+def distinct(c: Column) -> Column:
+    """Distinct tokens, sorted."""
+    return F.sort_array(F.array_distinct(tx.tokens(c)))
 
 
 def base_form(w: Column) -> Column:
@@ -86,17 +108,19 @@ def names(c: Column) -> Column:
 
 
 def triples(c: Column) -> Column:
-    """Subject, verb and object by order alone: each verb with the nearest noun or pronoun on either side."""
+    """Subject, verb and object by order alone: each verb with the nearest noun or pronoun on either side. Tags are given once, and each gap between two nouns is read once."""
 
     def read(t: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1))), lambda i: tag(F.get(t, i - 1)) == "VERB")
-        near = lambda part: F.filter(part, lambda w: tag(w).isin("NOUN", "PRON"))
+        return tx.let(F.struct(t.alias("t"), F.transform(t, tag).alias("k")), between)
 
-        def one(i: Column) -> Column:
-            before, after = near(F.slice(t, F.lit(1), i - 1)), near(F.slice(t, i + 1, F.greatest(F.size(t) - i, F.lit(0))))
-            return F.concat_ws("|", F.coalesce(F.get(before, F.size(before) - 1), F.lit("")), F.get(t, i - 1), F.coalesce(F.get(after, F.lit(0)), F.lit("")))
+    def between(x: Column) -> Column:
+        nouns = F.filter(F.sequence(F.lit(0), F.size(x["k"]) - 1), lambda i: F.get(x["k"], i).isin("NOUN", "PRON"))
+        ends = F.concat(F.array(F.lit(-1)), nouns, F.array(F.size(x["k"])))
+        return F.when(F.size(x["k"]) == 0, F.array().cast("array<string>")).otherwise(tx.let(ends, lambda e: F.flatten(F.transform(F.slice(e, F.lit(1), F.size(e) - 1), lambda a, j: verbs(x, a, F.get(e, j + 1))))))
 
-        return F.when(F.size(t) == 0, F.array().cast("array<string>")).otherwise(F.transform(at, one))
+    def verbs(x: Column, a: Column, b: Column) -> Column:
+        at = F.when(b - a > 1, F.filter(F.sequence(a + 1, b - 1), lambda i: F.get(x["k"], i) == "VERB")).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.concat_ws("|", F.coalesce(F.get(x["t"], a), F.lit("")), F.get(x["t"], i), F.coalesce(F.get(x["t"], b), F.lit(""))))
 
     return tx.let(tx.tokens(c), read)
 

@@ -47,14 +47,15 @@ def distinct_sql(*names: str) -> str:
 )
 def tagged_words(rows: DataFrame) -> DataFrame:
     c = F.col("text")
-    return rows.select(
-        "id", an.with_tag(c, "CCONJ", "SCONJ").alias("conjunctions"), an.with_tag(c, "VERB").alias("verbs"), an.with_tag(c, "NOUN").alias("nouns"), an.with_tag(c, "NOUN", "VERB", "ADJ", "ADV").alias("content"),
-        tx.among(tx.tokens(c), an.RELATIVES).alias("relatives"), (tx.among(tx.tokens(c), an.lx.BE_FORMS) > 0).alias("has_copula"), an.asks(c).alias("asks"), an.commands(c).alias("commands"),
+    tagged = lambda t: F.transform(F.sort_array(F.array_distinct(t)), lambda w: F.struct(w.alias("w"), an.tag(w).alias("k")))
+    known = rows.select("id", "text", tx.let(tx.tokens(c), lambda t: F.struct(tagged(t).alias("x"), tx.among(t, an.RELATIVES).alias("relatives"), (tx.among(t, an.lx.BE_FORMS) > 0).alias("has_copula"), F.slice(t, 1, 2).alias("first"))).alias("k"))
+    named = lambda *names: F.transform(F.filter("k.x", lambda x: x["k"].isin(*names)), lambda x: x["w"])
+    return known.select(
+        "id", named("CCONJ", "SCONJ").alias("conjunctions"), named("VERB").alias("verbs"), named("NOUN").alias("nouns"), named("NOUN", "VERB", "ADJ", "ADV").alias("content"),
+        "k.relatives", "k.has_copula", an.asks_by(c, F.col("k.first")).alias("asks"), an.commands_by(F.col("k.first")).alias("commands"),
     )
 
 
-
-
 def verbs_sql(s: str) -> str:
     stem = "CASE WHEN regexp_matches(v, '(bb|dd|gg|kk|ll|mm|nn|pp|rr|tt)$') THEN v[1:-2] ELSE v END"
     cut = "regexp_replace(regexp_replace(w, '(ied|ies)$', 'y'), '(ed|ing|es|s)$', '')"
