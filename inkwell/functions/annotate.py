@@ -90,13 +90,22 @@ def action_verbs(c: Column) -> Column:
 
 def asks(c: Column) -> Column:
     """Whether a sentence is a question: its mark, a question word first, or an auxiliary first."""
-    first = F.get(tx.tokens(c), F.lit(0))
+    return asks_by(c, tx.tokens(c))
+
+
+def asks_by(c: Column, t: Column) -> Column:
+    """The same, the first tokens known."""
+    first = F.get(t, F.lit(0))
     return F.coalesce(tx.strip(c).endswith("?") | first.isin(*QUESTION_AUX, "who", "what", "where", "why", "how", "which", "when"), F.lit(False))
 
 
 def commands(c: Column) -> Column:
     """Whether a sentence begins with a bare verb and names no person before the next verb."""
-    t = tx.tokens(c)
+    return tx.let(tx.tokens(c), commands_by)
+
+
+def commands_by(t: Column) -> Column:
+    """The same, the first tokens known."""
     return F.coalesce(F.get(t, F.lit(0)).isin([*lx.IMPERATIVE, "go", "see", "make", "take", "leave"]) & ~F.get(t, F.lit(1)).isin("i", "we", "he", "she", "they"), F.lit(False))
 
 
