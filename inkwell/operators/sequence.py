@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,10 +25,15 @@ def runs(items: Column) -> Column:
 
 def repeated_grams(docs: DataFrame, n: int, key: str = "doc_id", *, content: bool = False) -> DataFrame:
     """n-grams that a text has more than once, without connectors; content: none with a function word. Counted within the row: nothing is shuffled."""
-    found = F.filter(tx.grams(tx.tokens(F.col("text")), n), lambda g: ~tx.has_any(g, lx.GLUE))
-    if content:
-        found = F.filter(found, lambda g: ~F.arrays_overlap(F.split(g, " "), F.array(*map(F.lit, lx.STOPS))))
-    return docs.select(key, F.explode(runs(found)).alias("_r")).select(key, F.col("_r.item").alias("phrase"), F.col("_r.n").alias("n"))
+
+    def cut(t: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(1)))
+        if content:
+            starts = F.filter(starts, lambda i: ~reduce(lambda a, b: a | b, (F.get(t, i + k - 1).isin(lx.STOPS) for k in range(n))))
+        return F.when(F.size(t) < n, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(t, i, n), " ")))
+
+    found = F.explode_outer(runs(tx.let(tx.tokens(F.col("text")), cut))).alias("_r")
+    return docs.select(key, found).where("_r IS NOT NULL").select(key, F.col("_r.item").alias("phrase"), F.col("_r.n").alias("n")).where(~tx.has_any(F.col("phrase"), lx.GLUE))  # connectors last: few phrases come again
 
 
 def proximal(docs: DataFrame, key: str = "doc_id", reach: int = 10) -> DataFrame:
