@@ -3,7 +3,7 @@
 Unit vectors lie at Euclidean distance sqrt(2 - 2 cos). A bounded number of
 rows are pivots. Each row belongs to its nearest pivot; a pivot's rows are cut
 into bands by their distance to it, and bands into blocks of a bounded number
-of rows. By the triangle inequality a row within r of a query lies no nearer
+of rows; small bands share a block. By the triangle inequality a row within r of a query lies no nearer
 to a pivot than the query less r, and no farther than the query and r; so a
 query meets only the blocks whose bands reach into that ring. For the nearest
 k, r is the k-th smallest of the ways over the pivots. A task holds one block
@@ -24,9 +24,11 @@ from pyspark.sql.window import Window
 
 from ..sources.shared import kept
 
-PIVOTS, BANDS, BLOCK = 32, 16, 2048
+PIVOTS, BANDS, BLOCK = 32, 16, 8192
 #: Groups and pivots together, as what is known of them goes to every task.
 MOST_CELLS = 8192
+#: Queries held against a block at a time.
+STEP = 128
 #: Queries that one task lets pass by a block.
 PASSING = 250_000
 #: Likeness is rounded to so many places before it is compared.
@@ -123,15 +125,21 @@ def index(rows: DataFrame, k: int = 0, *, pivots: int = PIVOTS, bands: int = BAN
     table = table.mapInArrow(band, ROW + ", pivot int, dist double, band int")
     stats = table.groupBy("grp", "pivot", "band").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi")).orderBy("grp", "pivot", "band").collect()  # at most `bands` a cell
     cells: dict[str, list] = {}
-    for number, r in enumerate(stats):
-        cells.setdefault(r["grp"], []).append((r["pivot"], r["lo"], r["hi"], -(-r["n"] // block), number))
+    numbers, number, held = [], -1, block
+    for r in stats:  # cells that follow one another share a block while it has room, so that a query goes to few blocks
+        if r["grp"] not in cells or held + r["n"] > block:
+            number, held = number + 1, 0
+        held += r["n"]
+        parts = -(-r["n"] // block)
+        cells.setdefault(r["grp"], []).append((r["pivot"], r["lo"], r["hi"], parts, number))
+        numbers.append((r["grp"], r["pivot"], r["band"], number, parts))
     first: dict[str, list] = {}
     if k:
         near = Window.partitionBy("grp", "pivot").orderBy("dist")
         for r in table.withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= k + 1).select("grp", "pivot", "dist").collect():  # k + 1 a cell
             first.setdefault(r["grp"], []).append((r["pivot"], r["dist"]))
-    numbers = spark.createDataFrame([(r["grp"], r["pivot"], r["band"], number, -(-r["n"] // block)) for number, r in enumerate(stats)] or [], "grp string, pivot int, band int, cell long, blocks long")
-    table = table.join(F.broadcast(numbers), ["grp", "pivot", "band"])  # at most MOST_CELLS x bands rows
+    places = spark.createDataFrame(numbers, "grp string, pivot int, band int, cell long, blocks long")
+    table = table.join(F.broadcast(places), ["grp", "pivot", "band"])  # at most MOST_CELLS x bands rows
     table = table.select("grp", "id", "v", (F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("id"), "blocks")).alias("block"))
     return table, Cells(chosen, edges, {g: np.array(c, float) for g, c in cells.items()}, {g: np.array(c, float) for g, c in first.items()})
 
@@ -155,7 +163,10 @@ def routed(queries: DataFrame, cells: Cells, k: int = 0, radius: float = 0.0) ->
                     ways = far[:, over.astype(int)] + more
                     reach = np.sort(np.partition(ways, min(k, ways.shape[1] - 1), axis=1), axis=1)[:, min(k, ways.shape[1] - 1)] if ways.shape[1] > k else np.full(len(x), 3.0)
                 own = far[:, pivot.astype(int)]
-                i, j = np.nonzero((own + reach[:, None] + SLACK >= lo) & (own - reach[:, None] - SLACK <= hi))
+                near = (own + reach[:, None] + SLACK >= lo) & (own - reach[:, None] - SLACK <= hi)
+                at_block = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])  # cells of a block stand together
+                i, j = np.nonzero(np.logical_or.reduceat(near, at_block, axis=1))
+                j = at_block[j]
                 n = parts[j].astype(int)
                 part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 rows.append(np.repeat(at[i], n))
@@ -196,9 +207,9 @@ def met(queries: DataFrame, table: DataFrame, least: float, k: int, count: int)
                     yield from pairs(some.column(3).to_numpy(), matrix(some.column(4)), ids[0], own[0])
 
     def pairs(query: np.ndarray, x: np.ndarray, ids: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for s in range(0, len(query), 512):
-            like = np.round(x[s : s + 512] @ y.T, PLACES)
-            like[query[s : s + 512, None] == ids[None, :]] = -2
+        for s in range(0, len(query), STEP):
+            like = np.round(x[s : s + STEP] @ y.T, PLACES)
+            like[query[s : s + STEP, None] == ids[None, :]] = -2
             if k and like.shape[1] > k:
                 edge = -np.partition(-like, k - 1, axis=1)[:, k - 1]
                 i, j = np.nonzero((like >= edge[:, None]) & (like >= max(least, -1.5)))
@@ -208,7 +219,7 @@ def met(queries: DataFrame, table: DataFrame, least: float, k: int, count: int)
                 i, j = i[rank < k], j[rank < k]
             else:
                 i, j = np.nonzero(like >= max(least, -1.5))
-            yield pa.RecordBatch.from_arrays([pa.array(query[s : s + 512][i]), pa.array(ids[j]), pa.array(like[i, j])], names=["query", "id", "likeness"])
+            yield pa.RecordBatch.from_arrays([pa.array(query[s : s + STEP][i]), pa.array(ids[j]), pa.array(like[i, j])], names=["query", "id", "likeness"])
 
     return both.repartition("block", "part").sortWithinPartitions("block", "part", "side", "id").mapInArrow(run, "query long, id long, likeness double")
 

@@ -62,3 +62,10 @@ def test_leaders_equal_taking_turns(spark, kind):
 def test_empty_tables(spark):
     none = me.unit(frame(spark, vectors("random"), 1).limit(0), "id", "v")
     assert me.nearest(none, none, 3).count() == 0 and me.leaders(none, 0.7).count() == 0
+
+
+def test_small_cells_share_a_block(spark):
+    rows = me.kept(me.unit(frame(spark, np.random.default_rng(5).normal(size=(600, 6)), 1), "id", "v"), "t")
+    table, cells = me.index(rows, 3)
+    assert table.select("block").distinct().count() == 2  # one for each dimension
+    assert me.routed(rows, cells, k=3).count() == rows.count()
