@@ -186,7 +186,7 @@ def paragraph_features(paragraphs: DataFrame, least: int = 2) -> DataFrame:
     mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(xs), F.lit(1))
 
     def read(s: Column) -> Column:
-        return tx.let(F.struct(s.alias("s"), F.flatten(s).alias("t"), F.transform(F.flatten(s), an.tag).alias("k"), F.transform(s, lambda x: F.size(x).cast("double")).alias("lens")), told)
+        return tx.let(F.flatten(s), lambda t: tx.let(F.struct(s.alias("s"), t.alias("t"), F.transform(t, an.tag).alias("k"), F.transform(s, lambda x: F.size(x).cast("double")).alias("lens")), told))
 
     def told(x: Column) -> Column:
         s, t, k, lens = x["s"], x["t"], x["k"], x["lens"]
@@ -196,9 +196,13 @@ def paragraph_features(paragraphs: DataFrame, least: int = 2) -> DataFrame:
         spread = tx.let(avg, lambda m: F.sqrt(mean(F.transform(lens, lambda v: (v - m) * (v - m)))))
 
         def heads(verbs: Column) -> Column:
-            return F.when(F.size(verbs) == 0, 0.0).otherwise(mean(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_min(F.transform(verbs, lambda v: F.abs(v - i))).cast("double"))))
+            """Mean distance to the nearest verb: words between verbs d apart add d * d div 4, those on v places before the first or after the last v * (v + 1) / 2."""
+            outer = lambda v: F.floor(v * (v + 1) / 2)
+            each = F.transform(verbs, lambda v, j: F.when(j == 0, outer(v)).otherwise(tx.let(v - F.get(verbs, j - 1), lambda d: F.floor(d * d / 4))))
+            total = F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x) + outer(n - 1 - F.get(verbs, F.size(verbs) - 1))
+            return F.when(F.size(verbs) == 0, 0.0).otherwise(total.cast("double") / n)
 
-        verbs = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(k, i) == "VERB")
+        verbs = F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(k, i) == "VERB"), lambda i: i.cast("long"))
         return F.struct(
             F.size(s).cast("double").alias("sentence_count"), avg.alias("avg_len"), F.when(avg > 0, spread / avg).otherwise(0.0).alias("burstiness"), tx.let(verbs, heads).alias("complexity"),
             (F.size(F.filter(t, lambda w: w.isin(lx.SUBORDINATORS))) / F.size(s)).alias("clause_density"), share("NOUN").alias("noun_ratio"), share("VERB").alias("verb_ratio"), share("ADJ").alias("adj_ratio"),
