@@ -121,4 +121,4 @@ def titled_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tx.paragraph_rows(table(spark, sf_dir, "documents")).where(~F.col("paragraph").contains("## "))
     parts = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("para_idx", "paragraph"))).alias("p"))
     text = F.array_join(F.transform("p", lambda x: F.concat(F.lit("## P"), (x["para_idx"] % 3).cast("string"), F.lit("\n"), x["paragraph"])), "\n")
-    return parts.select("doc_id", F.explode(ak.sections(text)).alias("name", "body"))
+    return parts.select("doc_id", F.explode_outer(ak.sections(text)).alias("name", "body")).where("name IS NOT NULL")
