@@ -93,16 +93,57 @@ def words_alike(a: Column, b: Column) -> Column:
     return set_cosine(F.array_distinct(tx.tokens(a)), F.array_distinct(tx.tokens(b)))
 
 
+def alike_pairs(xs: Column, ys: Column, least: float) -> Column:
+    """Numbers (x, y from 0, one long: x * 2^31 + y) of the words that may be more alike than `least`, all that are among them; each word has w and its triples t.
+
+    Sets of which the greater shares more than `least`^2 of its parts, as it then
+    must, meet in their first parts of any order common to them: so words meet by
+    the digests of these, in one sort, and others never do.
+    """
+    bits = lambda x, n: F.call_function("shiftright", x, F.lit(n))
+    first = lambda t: F.slice(F.sort_array(F.transform(t, lambda g: F.hash(g).cast("long"))), F.lit(1), F.size(t) - F.floor(F.size(t) * (least * least) - 1e-9).cast("int"))
+    place = lambda words, side: F.flatten(F.transform(words, lambda x, i: F.transform(first(x["t"]), lambda h: F.call_function("shiftleft", h, F.lit(32)) + (i.cast("long") + side))))
+    at = lambda k: k.bitwiseAND(F.lit(2**31 - 1))
+    of_x = lambda k: k.bitwiseAND(F.lit(2**31)) != 0
+
+    def meet(keys: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(keys) - 1), lambda i: (i == 0) | (bits(F.get(keys, i), 32) != bits(F.get(keys, i - 1), 32)))
+
+        def pairs(run: Column) -> Column:
+            one = F.transform(F.filter(run, of_x), lambda x: F.transform(F.filter(run, lambda k: ~of_x(k)), lambda y: at(x) * 2**31 + at(y)))
+            return F.flatten(one)
+
+        def each(begin: Column) -> Column:
+            spans = F.transform(begin, lambda s, k: F.struct(s.alias("s"), F.coalesce(F.get(begin, k + 1), F.size(keys)).alias("e")))
+            both = F.filter(spans, lambda r: ~of_x(F.get(keys, r["s"])) & of_x(F.get(keys, r["e"] - 1)))  # within a digest, those of y come first
+            return F.flatten(F.transform(both, lambda r: tx.let(F.slice(keys, r["s"] + 1, r["e"] - r["s"]), pairs)))
+
+        return F.array_distinct(tx.let(starts, each))
+
+    found = tx.let(F.sort_array(F.concat(place(xs, F.lit(2**31)), place(ys, F.lit(0).cast("long")))), meet)
+    return F.when((F.size(xs) == 0) | (F.size(ys) == 0), F.array().cast("array<bigint>")).otherwise(found)
+
+
 def soft_coverage(original: Column, generated: Column, least: float = 0.7) -> Column:
-    """(coverage, missing): the share of the source's content words with one in the output that is more alike than `least`, and the others; null where the source has none."""
-    shapes = lambda c: F.transform(cp.content(c), lambda w: F.struct(w.alias("w"), triples_of(w).alias("t")))
+    """(coverage, missing): the share of the source's content words with one in the output that is more alike than `least`, and the others; null where the source has none.
+
+    Words that both have are alike; of the others only those that share one of their first triples are compared.
+    """
+    shapes = lambda words: F.transform(words, lambda w: F.struct(w.alias("w"), triples_of(w).alias("t")))
+
+    def lost(s: Column) -> Column:
+        def one(k: Column) -> Column:
+            return F.struct(F.get(s["x"], F.call_function("shiftright", k, F.lit(31)).cast("int")).alias("x"), F.get(s["y"], k.bitwiseAND(F.lit(2**31 - 1)).cast("int")).alias("y"))
+
+        near = F.filter(F.transform(alike_pairs(s["x"], s["y"], least), one), lambda p: set_cosine(p["x"]["t"], p["y"]["t"]) > least)
+        return F.array_except(s["x"]["w"], F.transform(near, lambda p: p["x"]["w"]))
 
     def judge(s: Column) -> Column:
-        lost = F.filter(s["a"], lambda x: ~F.exists(s["b"], lambda y: set_cosine(x["t"], y["t"]) > least))
-        share = 1.0 - F.size(lost) / F.size(s["a"])
-        return F.when(F.size(s["a"]) > 0, F.struct(share.alias("coverage"), F.transform(lost, lambda x: x["w"]).alias("missing")))
+        own = F.coalesce(F.array_except(s["a"], s["b"]), F.array().cast("array<string>"))
+        missing = tx.let(F.struct(shapes(own).alias("x"), shapes(F.coalesce(s["b"], F.array().cast("array<string>"))).alias("y")), lost)
+        return tx.let(missing, lambda m: F.when(F.size(s["a"]) > 0, F.struct((1.0 - F.size(m) / F.size(s["a"])).alias("coverage"), m.alias("missing"))))
 
-    return tx.let(F.struct(shapes(original).alias("a"), shapes(generated).alias("b")), judge)
+    return tx.let(F.struct(cp.content(original).alias("a"), cp.content(generated).alias("b")), judge)
 
 
 def proposition_recall(propositions: Column, sentences: Column, least: float = 0.45, hybrid: float = 0.25, overlap: float = 0.75) -> Column:

@@ -114,7 +114,7 @@ covered AS (SELECT {key}, len(a) AS n, list_transform(list_filter(a, lambda x: l
 @query(f"WITH {MET}, {coverage_sql('met', 'prev', 'text')} SELECT id, round(1.0 - CAST(len(missing) AS DOUBLE) / n, 6) AS coverage, missing, 1.0 - CAST(len(missing) AS DOUBLE) / n >= 0.8 AS passed FROM covered WHERE n > 0")
 def soft_keyword_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each turn's content the next one covers, words alike by their letters included."""
-    rows = met(spark, sf_dir).select("id", jd.soft_coverage(F.col("prev"), F.col("text")).alias("x")).where(F.col("x").isNotNull())
+    rows = met(spark, sf_dir).select("id", F.explode_outer(F.array(jd.soft_coverage(F.col("prev"), F.col("text")))).alias("x")).where(F.col("x").isNotNull())  # a filter is not put before an explode, where it would work all out once more
     return rows.select("id", F.round("x.coverage", 6).alias("coverage"), "x.missing", (F.col("x.coverage") >= 0.8).alias("passed"))
 
 
