@@ -73,31 +73,60 @@ def opener_penalties(paragraphs: DataFrame, threshold: float = 0.3) -> DataFrame
     return paragraphs.withColumn("share", F.when(F.col("opener").isNull(), 0.0).otherwise(share)).withColumn("penalty", F.when(F.col("share") <= threshold, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - (F.col("share") - threshold) * 2.0)))
 
 
-def pattern_overlap(a: Column, b: Column) -> Column:
-    """Places that agree, by the longer list."""
-    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: F.coalesce(x, F.lit(False))))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(same / F.greatest(F.size(a), F.size(b)))
+def placed(items: Column) -> Column:
+    """Each item with its place, so that lists agree where these are equal."""
+    return F.filter(F.transform(items, lambda x, i: F.concat(i.cast("string"), F.lit(":"), x)), lambda x: x.isNotNull())
 
 
-def rhythm_similarity(a: Column, b: Column) -> Column:
-    """0.15 number of sentences, 0.35 opener, 0.15 lengths, 0.35 types; each side has opener, lengths, types."""
-    n, m = F.size(a["lengths"]), F.size(b["lengths"])
-    count = 1.0 - F.abs(n - m) / F.greatest(n, m, F.lit(1))
-    opener = (F.lower(F.coalesce(a["opener"], F.lit("none"))) == F.lower(F.coalesce(b["opener"], F.lit("none")))).cast("double")
-    return count * 0.15 + opener * 0.35 + pattern_overlap(a["lengths"], b["lengths"]) * 0.15 + pattern_overlap(a["types"], b["types"]) * 0.35
+def pattern_overlap(a: Column, b: Column, n: Column, m: Column) -> Column:
+    """Places that agree, by the longer list; a and b are `placed`, n and m are the lists' sizes."""
+    return F.when((n == 0) | (m == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(n, m))
+
+
+def rhythm_shape(opener: Column, lengths: Column, types: Column) -> Column:
+    """A structure as `rhythm_similarity` takes it."""
+    return F.struct(F.lower(F.coalesce(opener, F.lit("none"))).alias("opener"), F.size(lengths).alias("n"), placed(lengths).alias("lengths"), F.size(types).alias("m"), placed(types).alias("types"))
+
+
+def rhythm_similarity(a: Column, b: Column, best: Column | None = None) -> Column:
+    """0.15 number of sentences, 0.35 opener, 0.15 lengths, 0.35 types; each side is a `rhythm_shape`. Given a best one so far, the greater: lists are compared only where their sizes leave a chance."""
+    opener = (a["opener"] == b["opener"]).cast("double")
+    count = 1.0 - F.abs(a["n"] - b["n"]) / F.greatest(a["n"], b["n"], F.lit(1))
+    alike = count * 0.15 + opener * 0.35 + pattern_overlap(a["lengths"], b["lengths"], a["n"], b["n"]) * 0.15 + pattern_overlap(a["types"], b["types"], a["m"], b["m"]) * 0.35
+    if best is None:
+        return alike
+    most = count * 0.3 + opener * 0.35 + F.least(a["m"], b["m"]) / F.greatest(a["m"], b["m"], F.lit(1)) * 0.35
+    return F.when(most + 1e-9 < best, best).otherwise(F.greatest(best, alike))
 
 
 def diversity(maps: DataFrame) -> DataFrame:
     """How new each paragraph's structure is among all paragraphs of its text before it: 0 if the same was there.
 
-    maps: doc_id, pos, opener, lengths, types. A structure is compared with
-    each distinct earlier one, so a text is held as its set of structures.
+    maps: doc_id, pos, opener, lengths, types. A text is held once, as the list
+    of its structures; only the first of equal ones is compared, with the first
+    ones before it.
     """
-    one = F.struct("opener", "lengths", "types")
-    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    past = maps.withColumn("_own", one).withColumn("_past", F.collect_set(one).over(before))
-    most = F.array_max(F.transform("_past", lambda p: F.when(p.eqNullSafe(F.col("_own")), 1.0).otherwise(rhythm_similarity(p, F.col("_own")))))
-    return past.select("doc_id", "pos", F.round(1.0 - F.coalesce(most, F.lit(0.0)), 6).alias("diversity"))
+    texts = maps.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "opener", "lengths", "types"))).alias("p"))
+
+    def shaped(x: Column) -> Column:
+        own = F.struct(x["opener"].alias("opener"), x["lengths"].alias("lengths"), x["types"].alias("types"))
+        return F.struct(x["pos"].alias("pos"), F.to_json(own, {"ignoreNullFields": "false"}).alias("same"), rhythm_shape(x["opener"], x["lengths"], x["types"]).alias("shape"))
+
+    def judge(p: Column) -> Column:
+        def split(order: Column) -> Column:
+            new = F.transform(order, lambda x, k: F.struct(x["i"].alias("i"), ((k == 0) | (x["same"] != F.get(order, k - 1)["same"])).alias("new")))
+            return tx.let(new, lambda o: F.concat(seen(o), tx.let(F.transform(F.sort_array(F.transform(F.filter(o, lambda x: x["new"]), lambda x: x["i"])), lambda i: F.get(p, i)), compared)))
+
+        def seen(o: Column) -> Column:
+            return F.transform(F.filter(o, lambda x: ~x["new"]), lambda x: F.struct(F.get(p, x["i"])["pos"].alias("pos"), F.lit(0.0).alias("diversity")))
+
+        def compared(q: Column) -> Column:
+            most = lambda x, k: F.aggregate(F.slice(q, F.lit(1), k), F.lit(0.0), lambda best, y: rhythm_similarity(y["shape"], x["shape"], best))
+            return F.transform(q, lambda x, k: F.struct(x["pos"].alias("pos"), F.round(1.0 - most(x, k), 6).alias("diversity")))
+
+        return tx.let(F.sort_array(F.transform(p, lambda x, i: F.struct(x["same"].alias("same"), i.alias("i")))), split)
+
+    return texts.select("doc_id", F.explode_outer(tx.let(F.transform("p", shaped), judge)).alias("x")).select("doc_id", "x.pos", "x.diversity")
 
 
 def packed(lengths: Column, limit: Column) -> Column:
