@@ -5,12 +5,17 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import time
 from collections import Counter
+from pathlib import Path
 
+import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as tx
 from inkwell.operators import wordspace as ws
+from inkwell.sources.shared import CLEANUP, shared_dir
 
 FRAMES = ["the {} drove along the wet road to town", "she parked her {} near the old bridge", "a {} needs fuel and four good wheels", "the driver of the {} turned left"]
 OTHER = ["the {} was baked with flour and butter", "they ate the {} with honey for breakfast", "a warm {} smelled sweet on the table"]
@@ -68,3 +73,41 @@ def test_totals_are_not_broadcast(spark):
     joined = ws.with_total(counted, totals, "word", "near", "tw")
     assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["word"], r["near"], r["tw"]) for r in joined.collect()) == [("a", "a", 6), ("a", "b", 6), ("b", "a", 2)]
+
+
+def shuffle_files(spark) -> set[str]:
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {p.name for d in dirs for p in Path(d).rglob("shuffle_*.data")}
+
+
+def test_many_chunks_and_buckets_equal_plain_computation(spark):
+    """Frequent words are dealt out by the words they meet, and chunks and buckets are added up."""
+    texts = corpus()
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3).select(tx.tokens(F.col("text")).alias("tokens"))
+    got = {r["word"]: (r["total"], r["vector"]) for r in ws.vectors(frame, chunk=50, bucket=100).collect()}
+    want = plain(texts)
+    assert got.keys() == want.keys()
+    for word, (total, vector) in want.items():
+        assert got[word][0] == total and all(abs(a - b) <= 40 for a, b in zip(got[word][1], vector, strict=True)), word
+
+
+def test_no_pairs_stay_on_the_disk(spark):
+    """Shuffle files of counting go with each turn, and no table has a row for each pair."""
+    rng = random.Random(5)
+    texts = [(" ".join(f"w{rng.randrange(300)}" for _ in range(400)),) for _ in range(20)]
+    before, tables = shuffle_files(spark), set(Path(shared_dir(spark).removeprefix("file:")).rglob("*.parquet"))
+    ws.vectors(spark.createDataFrame(texts, "text string").select(F.split("text", " ").alias("tokens")))
+    assert spark.conf.get(CLEANUP) == "false"
+    for _ in range(50):
+        left = shuffle_files(spark) - before
+        if len(left) <= 12:
+            break
+        time.sleep(0.1)
+    assert len(left) <= 12, left
+    made = set(Path(shared_dir(spark).removeprefix("file:")).rglob("*.parquet")) - tables
+    assert made and max(pq.read_metadata(p).num_rows for p in made) <= 3000
+
+
+def test_packed_numbers_come_back():
+    for numbers in ([], [0], [1, 255, 256], [-1, -(2**63), 2**63 - 1], list(range(1000))):
+        assert ws.unpacked(ws.packed(np.array(numbers, np.int64))).tolist() == numbers
