@@ -14,7 +14,7 @@ the next one begins: the disk holds an eighth of the pairs at any time.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -197,8 +197,8 @@ def summed(whole: float, frequent: float, pairs: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array(np.concatenate([i for i, _ in found])), "vector": lists})
 
 
-def vectors(texts: DataFrame, tokens: str = "tokens", *, window: int = WINDOW, name: str = "pairs", chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
-    """word, total (places near others), vector (WIDTH whole numbers) of every word that stands near another. A null or single-word text adds none."""
+def vectors(texts: DataFrame, tokens: str = "tokens", *, window: int = WINDOW, name: str = "pairs", chunk: int = CHUNK, bucket: int = BUCKET, only: DataFrame | None = None) -> DataFrame:
+    """word, total (places near others), vector (WIDTH whole numbers) of every word that stands near another, or of those in `only`. A null or single-word text adds none."""
     rows = kept(chunked(texts, tokens, window, chunk), "texts", lean=True)
     words = rows.where("word IS NOT NULL").select("chunk", "place", "word", "total")
     for salt in itertools.count():
@@ -211,10 +211,13 @@ def vectors(texts: DataFrame, tokens: str = "tokens", *, window: int = WINDOW, n
     frequent = whole / (4 * SLICES * parts)
     placed = with_total(words.select("chunk", "place", "word"), totals, "word", "chunk", "tw", 1).select(F.col("chunk").alias("of"), "place", "tw", numbered("word", salt).alias("id"))
     chunks = kept(told_chunks(rows.where("word IS NULL").select("chunk", "codes", "sizes"), placed, parts * SLICES), "chunks", lean=True)
+    if only is not None:
+        totals = kept(totals.join(only.select("word").distinct(), "word", "left_semi"), "wanted", lean=True)
     sums = []
     for turn in range(SLICES):
         pairs = met(chunks, turn, parts, window, frequent)
-        sums.append(kept(pairs.groupBy("bucket").applyInArrow(lambda t: summed(float(whole), frequent, t), "id long, vector array<long>"), name, lean=True))
+        part = pairs.groupBy("bucket").applyInArrow(lambda t: summed(float(whole), frequent, t), "id long, vector array<long>")
+        sums.append(kept(part if only is None else part.join(totals.select("id"), "id", "left_semi"), name, lean=True))
     made = reduce(DataFrame.unionAll, sums).groupBy("id").agg(*(F.sum(F.get("vector", F.lit(j))).alias(f"_{j}") for j in range(WIDTH)))
     made = made.select("id", F.array(*(F.col(f"_{j}") for j in range(WIDTH))).alias("vector"))
     zero = F.array_repeat(F.lit(0).cast("long"), WIDTH)
@@ -237,28 +240,49 @@ def like(a: Column, b: Column) -> Column:
     return F.coalesce(F.round(dot, 6), F.lit(0.0))
 
 
-def with_vectors(rows: DataFrame, key: str, words: dict[str, Column], space: DataFrame) -> DataFrame:
-    """key and, for each named column of words, an array of (word, vector), sorted by word: the words meet their vectors in a join and come back to their row."""
+def asked(each: DataFrame, space: DataFrame) -> DataFrame:
+    """word, vector of the words of each that the space has, kept."""
+    return kept(space.join(each.select("word").distinct(), "word", "left_semi").select("word", "vector"), "asked", lean=True)
 
-    def side(name: str, items: Column) -> Column:
-        return F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda w: F.struct(F.lit(name).alias("side"), w.alias("word")))
 
-    sides = F.concat(*(side(n, c) for n, c in words.items()))
-    each = rows.select(key, F.explode_outer(sides).alias("_x")).select(key, "_x.side", "_x.word")
+def in_turns(each: DataFrame, key: list[str], made: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """What is made of the rows of each key, SLICES-th by SLICES-th: rows with vectors are many times as wide as their words, and only one turn's are on the disk."""
+    at = F.pmod(F.xxhash64(*key), F.lit(SLICES))
+    return reduce(DataFrame.unionAll, [kept(made(each.where(at == turn)), name, lean=True) for turn in range(SLICES)])
+
+
+def with_vectors(each: DataFrame, key: str, sides: Iterable[str], space: DataFrame) -> DataFrame:
+    """key and, for each side, an array of (word, vector), sorted by word: the words meet their vectors in a join and come back to their key."""
     found = each.join(space.select(F.col("word").alias("_w"), unit(F.col("vector")).alias("vector")), F.col("word") == F.col("_w"), "left")
-    lists = [F.sort_array(F.collect_list(F.when(F.col("side") == n, F.struct("word", "vector")))).alias(n) for n in words]
+    lists = [F.sort_array(F.collect_list(F.when(F.col("side") == n, F.struct("word", "vector")))).alias(n) for n in sides]
     return found.groupBy(key).agg(*lists)
 
 
 def coverage(rows: DataFrame, key: str, original: Column, generated: Column, space: DataFrame, least: float) -> DataFrame:
     """key, n, missing: the original's words, and those that the output has neither as they are nor by a word at least so like."""
-    both = with_vectors(rows, key, {"a": original, "b": generated}, space)
+
+    def side(name: str, items: Column) -> Column:
+        return F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda w: F.struct(F.lit(name).alias("side"), w.alias("word")))
+
+    def made(part: DataFrame) -> DataFrame:
+        both = with_vectors(part, key, "ab", known)
+        return both.select(key, F.size("a").alias("n"), F.transform(lost, lambda x: x["word"]).alias("missing"))
+
     lost = F.filter("a", lambda x: ~F.exists("b", lambda y: (x["word"] == y["word"]) | (like(x["vector"], y["vector"]) >= least)))
-    return both.select(key, F.size("a").alias("n"), F.transform(lost, lambda x: x["word"]).alias("missing"))
+    each = rows.select(key, F.explode_outer(F.concat(side("a", original), side("b", generated))).alias("_x"))
+    each = kept(each.select(key, "_x.side", "_x.word"), "words", lean=True)
+    known = asked(each, space)
+    return in_turns(each, [key], made, "coverage")
 
 
 def means(rows: DataFrame, key: list[str], words: Column, space: DataFrame) -> DataFrame:
     """key, vector: the sum of the vectors of a text's words, as whole numbers."""
-    each = rows.select(*key, F.explode(words).alias("_word"))
-    found = each.join(space.select("word", "vector"), F.col("_word") == F.col("word"))
-    return found.groupBy(*key).agg(*(F.sum(F.get("vector", F.lit(j))).alias(f"_{j}") for j in range(WIDTH))).select(*key, F.array(*(F.col(f"_{j}") for j in range(WIDTH))).alias("vector"))
+
+    def made(part: DataFrame) -> DataFrame:
+        found = part.join(known.withColumnRenamed("word", "_word"), F.col("word") == F.col("_word"))
+        sums = found.groupBy(*key).agg(*(F.sum(F.get("vector", F.lit(j))).alias(f"_{j}") for j in range(WIDTH)))
+        return sums.select(*key, F.array(*(F.col(f"_{j}") for j in range(WIDTH))).alias("vector"))
+
+    each = kept(rows.select(*key, F.explode(words).alias("word")), "words", lean=True)
+    known = asked(each, space)
+    return in_turns(each, key, made, "means")

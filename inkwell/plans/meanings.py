@@ -30,9 +30,9 @@ space AS (SELECT t.word, t.total, coalesce(m.vector, list_transform(range({ws.WI
 UNIT = "CASE WHEN len(list_filter({v}, lambda x: x <> 0)) > 0 THEN list_transform({v}, lambda x: CAST(x AS DOUBLE)) END"
 
 
-def space(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The word vectors of all documents."""
-    return ws.vectors(table(spark, sf_dir, "documents").select(tx.tokens(F.col("text")).alias("tokens")))
+def space(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """The word vectors of all documents; of the words in `only`, if it is given."""
+    return ws.vectors(table(spark, sf_dir, "documents").select(tx.tokens(F.col("text")).alias("tokens")), only=only)
 
 
 @query(f"WITH {SPACE} SELECT word, total, array_to_string(vector, ' ') AS vector FROM space")
@@ -50,7 +50,8 @@ SELECT id, round(CAST(sum(kept) AS DOUBLE) / count(*), 6) AS coverage, coalesce(
 def meaning_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each turn's content the next one keeps, words of like use included."""
     rows = met(spark, sf_dir).select("id", cp.content(F.col("prev")).alias("a"), cp.content(F.col("text")).alias("b")).where(F.size("a") > 0)
-    found = ws.coverage(rows, "id", F.col("a"), F.col("b"), space(spark, sf_dir), WORD_LIKE)
+    words = rows.select(F.explode(F.concat("a", "b")).alias("word"))
+    found = ws.coverage(rows, "id", F.col("a"), F.col("b"), space(spark, sf_dir, words), WORD_LIKE)
     return found.select("id", F.round((F.col("n") - F.size("missing")) / F.col("n"), 6).alias("coverage"), "missing")
 
 

@@ -108,6 +108,35 @@ def test_no_pairs_stay_on_the_disk(spark):
     assert made and max(pq.read_metadata(p).num_rows for p in made) <= 3000
 
 
+def left_by(spark, df) -> int:
+    """Shuffle bytes on the disk when df has been written."""
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    now = lambda: sum(p.stat().st_size for d in dirs for p in Path(d).rglob("shuffle_*.data"))
+    before = now()
+    df.write.format("noop").mode("overwrite").save()
+    return now() - before
+
+
+def test_words_of_rows_carry_their_vectors_in_turns(spark):
+    """What is left to do when coverage and means return shuffles no vectors, and every row is there."""
+    space = ws.vectors(spark.createDataFrame([(t,) for t in corpus()], "text string").select(tx.tokens(F.col("text")).alias("tokens")))
+    rows = spark.range(3000).select("id", F.split(F.lit("the car drove along the wet road"), " ").alias("a"), F.split(F.lit("the automobile turned left"), " ").alias("b"))
+    covered = ws.coverage(rows, "id", F.col("a"), F.col("b"), space, 0.6)
+    assert left_by(spark, covered) < 100_000 and covered.count() == 3000
+    assert {(r["n"], tuple(r["missing"])) for r in covered.collect()} == {(7, tuple(covered.first()["missing"]))}
+    sums = ws.means(rows, ["id"], F.col("a"), space)
+    vector = {r["word"]: r["vector"] for r in space.collect()}
+    want = [sum(v) for v in zip(*(vector[w] for w in "the car drove along the wet road".split()), strict=True)]
+    assert left_by(spark, sums) < 100_000 and sums.count() == 3000 and {tuple(r["vector"]) for r in sums.collect()} == {tuple(want)}
+
+
+def test_vectors_of_some_words_are_those_of_all(spark):
+    frame = spark.createDataFrame([(t,) for t in corpus()], "text string").select(tx.tokens(F.col("text")).alias("tokens"))
+    some = spark.createDataFrame([("car",), ("the",), ("car",), ("unseen",), ("alone",), (None,)], "word string")
+    every = {tuple(r) for r in ws.vectors(frame).selectExpr("word", "total", "to_json(vector)").collect()}
+    assert {tuple(r) for r in ws.vectors(frame, only=some, bucket=100).selectExpr("word", "total", "to_json(vector)").collect()} == {r for r in every if r[0] in ("car", "the")}
+
+
 def test_packed_numbers_come_back():
     for numbers in ([], [0], [1, 255, 256], [-1, -(2**63), 2**63 - 1], list(range(1000))):
         assert ws.unpacked(ws.packed(np.array(numbers, np.int64))).tolist() == numbers
