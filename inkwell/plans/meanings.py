@@ -70,7 +70,8 @@ def meaning_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of a turn's sentences the next one has a sentence of like meaning for: sums of word vectors against each other."""
     sides = F.array(F.struct(F.lit("a").alias("side"), tx.sentences(F.col("prev")).alias("l")), F.struct(F.lit("b").alias("side"), tx.sentences(F.col("text")).alias("l")))
     parts = met(spark, sf_dir).select("id", F.explode(sides).alias("s")).select("id", "s.side", F.posexplode("s.l").alias("i", "p"))
-    sums = ws.means(parts.select("id", "side", "i", cp.content(F.col("p")).alias("words")), ["id", "side", "i"], F.col("words"), space(spark, sf_dir))
+    rows = parts.select("id", "side", "i", cp.content(F.col("p")).alias("words"))
+    sums = ws.means(rows, ["id", "side", "i"], F.col("words"), space(spark, sf_dir, rows.select(F.explode("words").alias("word"))))
     placed = parts.select("id", "side", "i").join(sums, ["id", "side", "i"], "left").withColumn("v", ws.unit(F.col("vector")))
     lists = [F.collect_list(F.when(F.col("side") == s, F.struct("v"))).alias(s) for s in "ab"]
     kept = F.size(F.filter("a", lambda x: F.exists("b", lambda y: ws.like(x["v"], y["v"]) >= SENTENCE_LIKE)))
