@@ -12,6 +12,7 @@ from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..operators import metric as me
 from ..operators import wordspace as ws
+from ..sources.shared import kept
 from .made import MET, SENTS_OF, met
 from .pairs import content_sql
 from .registry import query, table, tokens_sql
@@ -91,8 +92,8 @@ def meaning_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
     palette = fit.withColumn("_r", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("total"), "word"))).where(F.col("_r") <= PALETTE).drop("_r")
     asked = table(spark, sf_dir, "benchmark").select(F.explode(cp.content(F.col("text"))).alias("word")).distinct()
     number = lambda df: df.withColumn("id", F.xxhash64("word"))
-    queries = number(asked.join(fit, "word"))
-    shelf = number(palette)
+    queries = kept(number(asked.join(fit, "word")), "asked", lean=True)
+    shelf = kept(number(palette), "shelf", lean=True)
     near = me.nearest(me.unit(queries, "id", "vector", by="kind"), me.unit(shelf, "id", "vector", by="kind"), 1, least=REPLACED_LIKE)
     named = near.join(shelf.select("id", F.col("word").alias("replacement")), "id").select(F.col("query").alias("id"), "replacement", "likeness")
     general = F.create_map(*(F.lit(x) for p in (("NOUN", "structure"), ("VERB", "form"), ("ADJ", "clear"), ("ADV", "thus")) for x in p))
