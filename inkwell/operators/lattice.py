@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import annotate as an
+from ..sources.shared import kept
 
 TAGS = an.TAGS
 AT = {t: i for i, t in enumerate(TAGS)}
@@ -215,22 +216,28 @@ def counted(rows: DataFrame, tokens: str, model: Model) -> Model:
     width = len(TAGS)
     schema = "kind int, key string, " + ", ".join(f"_{i} long" for i in range(width))
 
-    def told(known: Model, follows: np.ndarray, last: np.ndarray, seen: dict[str, np.ndarray]) -> pa.RecordBatch:
-        out: dict[tuple[int, str], np.ndarray] = {(0, str(i)): row for i, row in enumerate(follows)} | {(0, "end"): last}
-        for w, row in seen.items():
-            if w in known.words:
-                out[1, w] = row
-            elif not w.isdigit():
-                for n in range(min(LONGEST, len(w)) + 1):
-                    key = 2, w[len(w) - n :]
-                    out[key] = out[key] + row if key in out else row
-        out = {k: row for k, row in out.items() if row.any()}
-        counts = np.array(list(out.values()), np.int64).reshape(len(out), width)
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.int32()), pa.array([k[1] for k in out], pa.string()), *(pa.array(counts[:, i]) for i in range(width))], names=["kind", "key", *(f"_{i}" for i in range(width))])
+    def told(known: Model, follows: np.ndarray, last: np.ndarray, seen: dict[str, int], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def batch(kind: int, keys: pa.Array, rows: np.ndarray) -> pa.RecordBatch:
+            some = rows.any(axis=1)
+            keys, rows = keys.filter(pa.array(some)), rows[some]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), keys, *(pa.array(rows[:, i]) for i in range(width))], names=["kind", "key", *(f"_{i}" for i in range(width))])
+
+        yield batch(0, pa.array([*(str(i) for i in range(width + 1)), "end"], pa.string()), np.vstack([follows, last]))
+        words, of = list(seen), np.fromiter((1 if w in known.words else 0 if w.isdigit() else 2 for w in seen), np.int8, len(seen))
+        yield batch(1, pa.array([words[i] for i in np.flatnonzero(of == 1)], pa.string()), counts[: len(seen)][of == 1])
+        other, rows = pa.array([words[i] for i in np.flatnonzero(of == 2)], pa.string()), counts[: len(seen)][of == 2]
+        sizes = pc.utf8_length(other).to_numpy()
+        for n in range(LONGEST + 1):
+            long = sizes >= n
+            ends = pc.utf8_slice_codeunits(other.filter(pa.array(long)), -n) if n else pa.array([""] * len(other), pa.string())
+            ends = ends.dictionary_encode()
+            codes, keys = ends.indices.to_numpy(), ends.dictionary
+            sums = [np.bincount(codes, weights=rows[long, i], minlength=len(keys)).astype(np.int64) for i in range(width)]
+            yield batch(2, keys, np.stack(sums, axis=1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, lines = sent.value, Emissions(sent.value)
-        follows, last, seen = np.zeros((width + 1, width), np.int64), np.zeros(width, np.int64), {}
+        follows, last, seen, counts = np.zeros((width + 1, width), np.int64), np.zeros(width, np.int64), {}, np.zeros((1024, width), np.int64)
         for batch in batches:
             names, codes, sizes, tags = decoded(batch.column(0), known, lines)
             if not len(tags):
@@ -240,15 +247,18 @@ def counted(rows: DataFrame, tokens: str, model: Model) -> Model:
             before[np.cumsum(sizes)[:-1]] = width
             follows += np.bincount(before * width + tags, minlength=(width + 1) * width).reshape(width + 1, width)
             last += np.bincount(tags[np.cumsum(sizes) - 1], minlength=width)
-            for w, row in zip(names, np.bincount(codes * width + tags, minlength=len(names) * width).reshape(len(names), width), strict=True):
-                seen[w] = seen[w] + row if w in seen else row
+            at = np.fromiter((seen.setdefault(w, len(seen)) for w in names), np.int64, len(names))
+            if len(seen) > len(counts):
+                counts = np.vstack([counts, np.zeros((len(seen), width), np.int64)])
+            counts[at] += np.bincount(codes * width + tags, minlength=len(names) * width).reshape(len(names), width)
             if len(seen) > MOST_WORDS:
-                yield told(known, follows, last, seen)
-                follows, last, seen = np.zeros_like(follows), np.zeros_like(last), {}
-        yield told(known, follows, last, seen)
+                yield from told(known, follows, last, seen, counts)
+                follows, last, seen, counts = np.zeros_like(follows), np.zeros_like(last), {}, np.zeros((1024, width), np.int64)
+        yield from told(known, follows, last, seen, counts)
 
     sums = [F.sum(f"_{i}").alias(f"_{i}") for i in range(width)]
     counts = rows.select(tokens).mapInArrow(run, schema).groupBy("kind", "key").agg(*sums).withColumn("total", sum((F.col(f"_{i}") for i in range(width)), F.lit(0)))
+    counts = kept(counts, "counts", lean=True)  # two queries read it, and texts are decoded once
     small = counts.where("kind < 2").collect()  # as many rows as tags and closed words at most
     suffixes = counts.where("kind = 2").orderBy(F.desc("total"), "key").limit(MOST_SUFFIXES).collect()
     told_of = lambda r: {t: float(r[f"_{i}"]) for i, t in enumerate(TAGS)}

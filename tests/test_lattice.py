@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import uuid
 
 from inkwell.operators import lattice as la
 
@@ -44,5 +45,23 @@ def test_counting_learns_and_does_not_depend_on_partitions(spark):
     assert la.counted(rows.limit(0), "tokens", la.first_model()).follows == la.first_model().follows
 
 
+def test_a_round_reads_its_rows_once(spark, tmp_path):
+    def seen(batches):
+        (tmp_path / uuid.uuid4().hex).touch()
+        yield from batches
+
+    rows = spark.createDataFrame([("the river stood".split(),)] * 9, "tokens array<string>").repartition(3).mapInArrow(seen, "tokens array<string>")
+    la.counted(rows, "tokens", la.first_model())
+    assert len(list(tmp_path.iterdir())) == 3
+
+
+def test_suffixes_are_counted_by_characters(spark):
+    """Words shorter than a suffix, of several bytes a character, closed ones and digits."""
+    texts = ["a blorping größe stood", "größe é 42 élan", "é"]
+    model = la.counted(spark.createDataFrame([(t.split(),) for t in texts], "tokens array<string>"), "tokens", la.first_model())
+    want = {w[len(w) - n :] for t in texts for w in t.split() if w not in model.words and not w.isdigit() for n in range(min(la.LONGEST, len(w)) + 1)}
+    assert model.suffixes.keys() == want | {""} and {"é", "röße", "élan", "ping"} <= want
+
+
 def test_very_long_sentence():
     assert len(la.decode([["word"] * 200_000, ["x"]], la.first_model())[0]) == 200_000
